@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.jaccard_join import jaccard_components
+from parlance.llm.suffix_dedup import removal_digests
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +17,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join,)}
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op6_suffix_array_dedup)}
 
 #: DuckDB SQL of those queries that SQL can express over whole tables.
 ORACLES: dict[str, str] = {}
