@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.jaccard_join import jaccard_components
+from parlance.llm.ngram_lm import lm_scores
 from parlance.llm.suffix_dedup import removal_digests
 
 
@@ -13,6 +14,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_read(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
@@ -21,7 +26,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op6_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_lm, op4_ngram_jaccard_join, op6_suffix_array_dedup)}
 
 #: DuckDB SQL of those queries that SQL can express over whole tables.
 ORACLES: dict[str, str] = {}
