@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.jaccard_join import jaccard_components
 from parlance.llm.ngram_lm import lm_scores
+from parlance.llm.packing import pack_documents
 from parlance.llm.suffix_dedup import removal_digests
 
 
@@ -26,7 +28,11 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_lm, op4_ngram_jaccard_join, op6_suffix_array_dedup)}
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_lm, op4_ngram_jaccard_join, op6_suffix_array_dedup, op8_best_fit_packing)}
 
 #: DuckDB SQL of those queries that SQL can express over whole tables.
 ORACLES: dict[str, str] = {}
