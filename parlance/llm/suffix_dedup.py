@@ -9,9 +9,10 @@ that can match meet in one shard, and only anchors that occur at least twice nee
 
 1. every text's anchors go to the bucket of their hash; those that repeat come back as positions of their texts;
 2. texts with repeated anchors send, for each, the bytes around it (at most 2 * LENGTH - k) to its bucket;
-3. a bucket sorts the suffixes that start there, by their first LENGTH bytes and then by place in the corpus. Where
-   neighbours agree in all LENGTH bytes, the one before is the previous smaller position, and the factor is long enough;
-   the next smaller position lies beyond the run, where the common prefix is shorter;
+3. a bucket sorts the suffixes that start there, by their first LENGTH bytes (by a hash of them: only whether a common
+   prefix reaches LENGTH matters) and then by place in the corpus. Where neighbours agree in all LENGTH bytes, the one
+   before is the previous smaller position, and the factor is long enough; the next smaller position lies beyond the
+   run, where the common prefix is shorter;
 4. the spans of each text are merged and cut out.
 
 Equal texts count once (a later copy of LENGTH bytes or more goes as a whole). In steps 1 and 2 a task settles what
@@ -34,7 +35,7 @@ LENGTH, GRAM = 100, 28
 _U64 = np.uint64
 _LOW = _U64(0xFFFFFFFF)
 #: A task settles what repeats within so many anchors, or bytes around them.
-ANCHORS, BYTES = 400_000, 12 << 20
+ANCHORS, BYTES = 400_000, 4 << 20
 
 
 def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
@@ -67,36 +68,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return grams[place[fresh]], place[fresh], start[fresh], start[np.r_[fresh[1:] - 1, len(start) - 1]]
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray, text_id: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The starts in suffix order (bytes to a depth of length, then (text_id, at)), and which agree with the one before in all of them.
+def suffix_order(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The starts (given in corpus order) in suffix order, and which agree with the one before in all length bytes.
 
-    Suffixes are sorted eight bytes at a time. A run of ties whose length bytes are all the same isn't sorted further.
+    Only whether a common prefix reaches the length matters, so suffixes are ordered by a hash of their first length
+    bytes instead of the bytes: equal ones are next to each other either way, and stay in corpus order among themselves.
     """
     whole = window_hashes(data, length)[starts]
-    padded = np.r_[data, np.zeros(8, np.uint8)]
-    eight = np.zeros(len(data), _U64)
-    for j in range(8):
-        eight = (eight << _U64(8)) | padded[j : j + len(data)]
-    rank = np.zeros(len(starts), np.int64)
-    order = np.arange(len(starts))
-    open_ = order
-    for depth in range(0, length, 8):
-        if not len(open_):
-            break
-        key = eight[starts[open_] + min(depth, length - 8)]
-        by = open_[np.lexsort((whole[open_], key, rank[open_]))]
-        key, low, full = eight[starts[by] + min(depth, length - 8)], rank[by], whole[by]
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1])]
-        run = np.cumsum(fresh) - 1
-        cuts = np.flatnonzero(fresh)
-        # A run keeps its place among all suffixes: the rank that it had, plus those sorted before it within that.
-        group = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        rank[by] = low + cuts[run] - np.repeat(group, np.diff(np.r_[group, len(by)]))
-        mixed = np.zeros(len(cuts), bool)
-        np.logical_or.at(mixed, run[1:], (full[1:] != full[:-1]) & ~fresh[1:])
-        open_ = by[mixed[run]]
-    order = np.lexsort((at, text_id, whole, rank))
-    return order, np.r_[False, (rank[order][1:] == rank[order][:-1]) & (whole[order][1:] == whole[order][:-1])]
+    order = np.argsort(whole, kind="stable")
+    whole = whole[order]
+    return order, np.r_[False, whole[1:] == whole[:-1]][: len(whole)]
 
 
 def _spans_of(doc: np.ndarray, cid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -225,12 +206,12 @@ class _Portion:
     def settle(self) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
         """(doc, cid, start) of the starts whose string starts earlier within the portion, and which anchors have any other start."""
         _, doc, cid, lo, many = self.cols
-        n = many.astype(np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        at = _runs(n, lo.astype(np.int64))
-        # Suffixes of one text come in the order of their starts, and texts in that of their ids.
-        rank = np.unique(np.stack([doc, cid], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
-        order, same = suffix_order(self.raw, _runs(n, self.begin), rank[row], at)
+        corpus = np.lexsort((lo, cid, doc))
+        n = many.astype(np.int64)[corpus]
+        row = np.repeat(corpus, n)
+        at = _runs(n, lo.astype(np.int64)[corpus])
+        order, same = suffix_order(self.raw, _runs(n, self.begin[corpus]))
+        # In a run of equal prefixes the one before is the previous smaller position: an earlier match.
         later = order[same]
         first = np.zeros(len(n), bool)
         first[row[order[~same]]] = True
