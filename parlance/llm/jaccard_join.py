@@ -59,8 +59,8 @@ def _node_ids(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """A bit for each hash, in a width of two to four times the set's size."""
-    width = max(64, 1 << int(2 * len(values) - 1).bit_length())
+    """A bit for each hash, in a width of four to eight times the set's size."""
+    width = max(64, 1 << int(4 * len(values) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(values & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -195,28 +195,36 @@ def _stars(batches):
                 rest = reach[reach != c]
                 if len(rest):
                     at = np.flatnonzero(reach == c)[0]
-                    high = np.maximum(n[rest], n[c])
                     bound = overlap_bound(rows[at][None, :], rows[reach != c], n[c], n[rest])
-                    rest = rest[(bound >= _need(high)) & linked(bound, n[rest], n[c])]
+                    rest = rest[linked(bound, n[rest], n[c])]
                     out.append(np.stack([np.minimum(sid[rest], sid[c]), np.maximum(sid[rest], sid[c])], axis=1))
         yield from _pairs_out(out)
 
 
-def _crossing(batches):
-    """Members (tile, sid, n, bits, component) to the pairs of different components that their bitmaps let pass."""
-    for _, sid, n, bits, comp in _by_tile(batches):
-        out = []
-        for core, reach in _banded(n):
-            rows = _matrix([bits[i] for i in reach])
-            place = {r: k for k, r in enumerate(reach.tolist())}
-            for c in core.tolist():
-                other = np.flatnonzero((comp[reach] != comp[c]) & ((n[reach] > n[c]) | (n[reach] == n[c]) & (sid[reach] > sid[c])))
-                if len(other):
+def _crossing(best: bool):
+    """Members to the pairs of different components that their bitmaps let pass; best: for each member and other component, the likeliest one."""
+
+    def run(batches):
+        for _, sid, n, bits, comp in _by_tile(batches):
+            out = []
+            for core, reach in _banded(n):
+                rows = _matrix([bits[i] for i in reach])
+                place = {r: k for k, r in enumerate(reach.tolist())}
+                for c in core.tolist():
+                    other = np.flatnonzero((comp[reach] != comp[c]) & ((n[reach] > n[c]) | (n[reach] == n[c]) & (sid[reach] > sid[c])))
+                    if not len(other):
+                        continue
                     far = reach[other]
                     bound = overlap_bound(rows[place[c]][None, :], rows[other], n[c], n[far])
-                    far = far[(bound >= _need(np.maximum(n[far], n[c]))) & linked(bound, n[far], n[c])]
+                    fit = linked(bound, n[far], n[c])
+                    far, bound = far[fit], bound[fit]
+                    if best:
+                        far = far[np.lexsort((n[far] - 2 * bound, comp[far]))]
+                        far = far[np.unique(comp[far], return_index=True)[1]]
                     out.append(np.stack([np.minimum(sid[far], sid[c]), np.maximum(sid[far], sid[c])], axis=1))
-        yield from _pairs_out(out)
+            yield from _pairs_out(out)
+
+    return run
 
 
 def _pairs_out(out: list[np.ndarray]):
@@ -342,15 +350,14 @@ class _Join:
             stars = self.by_tile(members.withColumn("comp", F.lit(None).cast("long"))).mapInArrow(_stars, "a long, b long")
             links = links.unionByName(self.links(stars))
             found = shared.table(components(links), "found")
-            now = members.join(found.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-            now = shared.table(now, "members")
-            mixed = now.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("tile")
-            crossing = self.by_tile(now.join(mixed, "tile")).mapInArrow(_crossing, "a long, b long")
-            more = self.links(crossing)
-            if not shared.empty(more):
-                links = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
-            else:
-                return found.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+            for best in (True, False):
+                now = members.join(found.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+                now = shared.table(now, "members")
+                mixed = now.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("tile")
+                more = self.links(self.by_tile(now.join(mixed, "tile")).mapInArrow(_crossing(best), "a long, b long"))
+                if not shared.empty(more):
+                    found = shared.table(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "found")
+            return found.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
         return components(links).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
 
 
