@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.llm.chat_format import DIGESTS_SQL, chat_digests
 from parlance.llm.jaccard_join import jaccard_components
+from parlance.llm.mixing import mixture_report
 from parlance.llm.ngram_lm import lm_scores
+from parlance.llm.order_minhash import fingerprints
 from parlance.llm.packing import pack_documents
 from parlance.llm.suffix_dedup import removal_digests
+from parlance.llm.vp_search import vector_neighbours
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,19 +24,61 @@ def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_read(spark, sf_dir, "documents"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_digests(_read(spark, sf_dir, "conversations")).drop("n_out_of_order")
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(_read(spark, sf_dir, "documents"))
 
 
+def op7_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_lm, op4_ngram_jaccard_join, op6_suffix_array_dedup, op8_best_fit_packing)}
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_report(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_lm,
+        op2_order_minhash,
+        op4_ngram_jaccard_join,
+        op5_chat_format,
+        op6_suffix_array_dedup,
+        op7_vp_tree_neighbours,
+        op8_best_fit_packing,
+        op9_source_mixing,
+    )
+}
 
 #: DuckDB SQL of those queries that SQL can express over whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_chat_format": DIGESTS_SQL,
+    "op7_vp_tree_neighbours": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.norm * c.norm) AS score
+  FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) t
+WHERE rank <= 5
+""",
+}
