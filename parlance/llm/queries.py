@@ -13,6 +13,7 @@ from parlance.llm.ngram_lm import lm_scores
 from parlance.llm.order_minhash import fingerprints
 from parlance.llm.packing import pack_documents
 from parlance.llm.suffix_dedup import removal_digests
+from parlance.llm.toxicity import toxicity
 from parlance.llm.vp_search import vector_neighbours
 
 
@@ -28,6 +29,10 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
@@ -41,7 +46,8 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_neighbours(_read(spark, sf_dir, "embeddings"))
+    # Rounded as its SQL is: sums of products in another order differ in the last bits.
+    return vector_neighbours(_read(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 12))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +63,7 @@ QUERIES = {
     for f in (
         op1_ngram_lm,
         op2_order_minhash,
+        op3_toxicity_chain,
         op4_ngram_jaccard_join,
         op5_chat_format,
         op6_suffix_array_dedup,
@@ -71,13 +78,13 @@ ORACLES = {
     "op5_chat_format": DIGESTS_SQL,
     "op7_vp_tree_neighbours": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0),
 n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.norm * c.norm) AS score
   FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
-SELECT query_id, rank, vec_id, score FROM (
+SELECT query_id, rank, vec_id, round(score, 12) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) t
 WHERE rank <= 5
 """,
