@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.chat_format import DIGESTS_SQL, chat_digests
 from parlance.llm.jaccard_join import jaccard_components
+from parlance.llm.line_crf import quality
 from parlance.llm.mixing import mixture_report
 from parlance.llm.ngram_lm import lm_scores
 from parlance.llm.order_minhash import fingerprints
@@ -58,6 +59,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(_read(spark, sf_dir, "documents"))
 
 
+def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +75,7 @@ QUERIES = {
         op7_vp_tree_neighbours,
         op8_best_fit_packing,
         op9_source_mixing,
+        op10_line_crf_quality,
     )
 }
 
