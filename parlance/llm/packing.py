@@ -19,52 +19,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm import shared
+from parlance.llm import shared, text
 
 CAPACITY = 2048
 #: Pieces in a partition, partitions that pool what they give up, and bins that one gives up.
 PIECES, POOL, GIVEN = 150_000, 64, 48
-#: Words whose ids a task keeps.
-_KEPT_WORDS = 250_000
+#: Words whose ids a task keeps, and bytes of text that it works on at once.
+_KEPT_WORDS, _CHUNK = 700_000, 2 << 20
 
-_tokenizers: dict = {}
 
+class Vocabulary:
+    """A tokenizer, and the ids of words that it has seen.
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+    Tokens of this kind of vocabulary never span white space, and a letter and the comma or full stop after it are never
+    one token; so a text is cut into such words, each different one is encoded once, and ids are gathered from there.
+    Case doesn't matter to the vocabulary, so A-Z are one with a-z, but not in words with "<", where special tokens are.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path), {}
-    return _tokenizers[path]
-
-
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids and then id 0, as little-endian 32-bit integers.
-
-    The vocabulary's tokens never span white space, so a word's ids don't depend on its neighbours: words are encoded
-    once and looked up after that.
-    """
-    tokenizer, known = _tokenizer(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    fresh = list({w for ws in split for w in ws if w not in known})
-    if len(known) + len(fresh) > _KEPT_WORDS:
-        known.clear()
-        fresh = list({w for ws in split for w in ws})
-    known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True))
-    return [b"".join([*map(known.__getitem__, ws), b"\0\0\0\0"]) for ws in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.blocks: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+
+    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word. Words of letters alone are encoded in one string: each has one token that ends a word."""
+        out: list = [None] * len(words)
+        plain = [k for k, w in enumerate(words) if w.isalpha()]
+        for s in range(0, len(plain), 4000):
+            part = plain[s : s + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words[k] for k in part)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(part) and (not len(part) or last[-1] == len(ids)):
+                for k, x in zip(part, np.split(ids, last[:-1]), strict=True):
+                    out[k] = x
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, "<u4")
+        return out
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, cuts) of texts, each closed by an id 0."""
+        starts, ends = text.bounds(data, offsets)
+        letter = (data >= 97) & (data <= 122) | (data >= 65) & (data <= 90)
+        mark = (data == 46) | (data == 44)
+        tail = (ends > starts + 1) & mark[ends - 1] & letter[np.maximum(ends - 2, 0)]
+        doc = np.searchsorted(starts, offsets)
+        units = np.r_[0, np.cumsum(1 + tail)]
+        first, doc = units[:-1], units[doc]
+        begin = np.repeat(starts, 1 + tail)
+        end = np.repeat(ends, 1 + tail)
+        end[first[tail]] -= 1
+        begin[first[tail] + 1] = ends[tail] - 1
+        hashes = text.spans_hash(text._LOWER[data], begin, end)
+        signs = np.r_[0, np.cumsum(data == 60)]
+        special = np.flatnonzero(signs[end] > signs[begin])
+        if len(special):
+            hashes[special] = text.mix(text.spans_hash(data, begin[special], end[special]) + np.uint64(1))
+        every, at, place = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) + len(every) > _KEPT_WORDS:
+            self.forget()
+        slots = np.array([self.known.get(h, -1) for h in every.tolist()], np.int64)
+        fresh = np.flatnonzero(slots < 0)
+        if len(fresh):
+            raw = data.tobytes()
+            new = self._encode([raw[s:e].decode("utf-8", "replace") for s, e in zip(begin[at[fresh]].tolist(), end[at[fresh]].tolist(), strict=True)])
+            base = len(self.known)
+            slots[fresh] = np.arange(base, base + len(fresh))
+            self.known.update(zip(every[fresh].tolist(), range(base, base + len(fresh)), strict=True))
+            self.blocks.append(np.concatenate(new))
+            self.sizes.append(np.array([len(x) for x in new]))
+        if len(self.blocks) > 1:
+            self.blocks, self.sizes = [np.concatenate(self.blocks)], [np.concatenate(self.sizes)]
+        size = self.sizes[0] if self.sizes else np.zeros(1, np.int64)
+        offset = np.cumsum(size) - size
+        slot = slots[place]
+        # A unit's ids, and after a text's last unit its id 0.
+        n = size[slot] if len(slot) else np.zeros(0, np.int64)
+        total = np.r_[0, np.cumsum(n)]
+        cuts = total[doc] + np.arange(len(doc))
+        ids = np.zeros(cuts[-1], "<u4")
+        if len(slot):
+            shift = np.repeat(np.searchsorted(doc[1:], np.arange(len(slot)), "right"), n)
+            source = np.repeat(offset[slot] - total[:-1], n) + np.arange(total[-1])
+            ids[np.arange(total[-1]) + shift] = self.blocks[0][source]
+        return ids, cuts
+
+
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def vocabulary(path: str) -> Vocabulary:
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
 
 
 def _cut(path: str, capacity: int):
     def run(batches):
-        from parlance.llm import text
-
+        words = vocabulary(path)
         for batch in batches:
-            for part in text.chunks(batch, "text"):
-                rows = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode([t or "" for t in part.column("text").to_pylist()], path), strict=True):
-                    n = len(ids) // 4
-                    rows += [(doc, k, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])) for k, s in enumerate(range(0, n, capacity))]
+            for part in text.chunks(batch, "text", _CHUNK):
+                ids, cuts = words.encode(*text.buffer(part.column("text")))
+                raw, rows = ids.tobytes(), []
+                for doc, s, e in zip(part.column("doc_id").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    rows += [(doc, k, a - s, min(capacity, e - a), zlib.crc32(raw[4 * a : 4 * min(a + capacity, e)])) for k, a in enumerate(range(s, e, capacity))]
                 doc, piece, start, length, crc = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
