@@ -33,10 +33,10 @@ def gaps(merged: DataFrame, keys: list[str], boundary: int) -> DataFrame:
 def concurrency(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """keys, max_active, min_active, mean_active (weighted by time), from starts and ends alone."""
     deltas = df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("x"))
-    merged = deltas.groupBy(*keys, F.col("x.t").alias("t")).agg(F.sum("x.d").alias("d"))
-    by = Window.partitionBy(*keys).orderBy("t")
-    steps = merged.withColumns({"k": F.sum("d").over(by), "span": F.lead("t").over(by) - F.col("t")}).where("span is not null")
-    return steps.groupBy(*keys).agg(F.max("k").alias("max_active"), F.min("k").alias("min_active"), (F.sum(F.col("k") * F.col("span")) / F.sum("span")).alias("mean_active"))
+    merged = deltas.groupBy(*keys, F.col("x.t").alias("t__")).agg(F.sum("x.d").alias("d__"))
+    by = Window.partitionBy(*keys).orderBy("t__")
+    steps = merged.withColumns({"on__": F.sum("d__").over(by), "span__": F.lead("t__").over(by) - F.col("t__")}).where("span__ is not null")
+    return steps.groupBy(*keys).agg(F.max("on__").alias("max_active"), F.min("on__").alias("min_active"), (F.sum(F.col("on__") * F.col("span__")) / F.sum("span__")).alias("mean_active"))
 
 
 def bucketed(df: DataFrame, start: str, end: str, width: int, name: str = "bucket__") -> DataFrame:

@@ -48,7 +48,7 @@ def balanced_pool(speakers: DataFrame, keys: list[str], value: str, number: str,
 def spread_pool(vectors: DataFrame, keys: list[str], number: str, vector: str, size: int, seed: int) -> DataFrame:
     """keys, pick, number: a pool of high diversity: again and again one of the three members farthest from those picked."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(number, ignore_index=True)
         x = np.stack(pdf[vector].to_numpy()).astype(float)
         rng = generator(seed, "spread", *key)
@@ -68,7 +68,7 @@ def spread_pool(vectors: DataFrame, keys: list[str], number: str, vector: str, s
 def matched_pool(speakers: DataFrame, keys: list[str], number: str, value: str, size: int) -> DataFrame:
     """keys, pick, number: for each of size even quantiles of the values, the nearest member not yet taken."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([value, number], ignore_index=True)
         v, free, picks = pdf[value].to_numpy(float), np.ones(len(pdf), bool), []
         for q in (np.arange(min(size, len(pdf))) + 0.5) / size:
@@ -106,7 +106,7 @@ def plan(rows: DataFrame) -> DataFrame:
     another one moves on. A slot takes the speaker that has rested longest, among three.
     """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         scenario, seed = key
         voices, mean, horizon = int(pdf["voices"].iloc[0]), float(pdf["mean"].iloc[0]), int(pdf["seconds"].iloc[0] * 1e6)
         rng = generator(seed, "plan", scenario)
