@@ -207,13 +207,15 @@ class _Portion:
         """(doc, cid, start) of the starts whose string starts earlier within the portion, and which anchors have any other start."""
         _, doc, cid, lo, many = self.cols
         corpus = np.lexsort((lo, cid, doc))
+        # A repeated row is the same text, not a copy of it.
+        corpus = corpus[np.r_[True, np.any([np.diff(c[corpus]) != 0 for c in (doc, cid, lo)], axis=0)]]
         n = many.astype(np.int64)[corpus]
         row = np.repeat(corpus, n)
         at = _runs(n, lo.astype(np.int64)[corpus])
         order, same = suffix_order(self.raw, _runs(n, self.begin[corpus]))
         # In a run of equal prefixes the one before is the previous smaller position: an earlier match.
         later = order[same]
-        first = np.zeros(len(n), bool)
+        first = np.zeros(len(doc), bool)
         first[row[order[~same]]] = True
         return (doc[row[later]], cid[row[later]], at[later]), first
 
@@ -348,9 +350,9 @@ def removed_spans(docs: DataFrame, doc: str = "doc_id", column: str = "text") ->
 
     keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns), raw.alias("raw__"), F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)).alias("doc__"))
     keyed = keyed.withColumn("cid__", F.xxhash64("raw__"))
-    marks = marks.select(F.col("doc_id").alias("doc__"), F.col("cid").alias("cid__"), "copy", F.col("runs").alias("runs__"))
+    marks = marks.select(F.col("doc_id").alias("doc__"), F.col("cid").alias("cid__"), F.col("copy").alias("copied__"), F.col("runs").alias("runs__"))
     joined = keyed.join(marks, ["doc__", "cid__"], "left")
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("raw__"), F.coalesce("copy", F.lit(False)).alias("copy__"), "runs__")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("raw__"), F.coalesce("copied__", F.lit(False)).alias("copy__"), "runs__")
 
 
 def cut(raw: bytes, copy: bool, runs: bytes | None) -> tuple[bytes, list[tuple[int, int]]]:
