@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Extensions that a scan takes.
 EXTENSIONS = ("wav", "wave", "aif", "aiff", "aifc", "flac", "mp3", "ogg", "oga", "opus", "m4a", "mp4", "aac")
-#: Those that read_wav can decode.
-DECODABLE = ("wav", "wave")
 
 
 def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:

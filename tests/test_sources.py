@@ -40,6 +40,17 @@ def test_decoding_pcm(bits):
     assert (rate, channels) == (8000, 1) and np.allclose(got, x, atol=0.01)
 
 
+def test_decoding_aiff():
+    import struct
+
+    x = np.array([0.0, 0.5, -0.5])
+    body = (x * 32767).astype(">i2").tobytes()
+    comm = struct.pack(">hIhHQ", 1, 3, 16, 16383 + 15, int(44_100 * 2.0 ** (63 - 15)))
+    chunks = b"COMM" + struct.pack(">I", len(comm)) + comm + b"SSND" + struct.pack(">I", 8 + len(body)) + bytes(8) + body
+    rate, channels, got = wav.decode_aiff(b"FORM" + struct.pack(">I", 4 + len(chunks)) + b"AIFF" + chunks)
+    assert (rate, channels) == (44_100, 1) and np.allclose(got, x, atol=1e-4)
+
+
 def test_scan_and_corpus_job(spark, folder):
     found = files.scan(spark, str(folder))
     assert sorted(r.ext for r in found.select("ext").collect()) == ["mp3", "wav", "wav", "wav", "wav", "wav", "wav"]
