@@ -44,7 +44,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     norm = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
-    now = shared.table(norm.mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()  # noqa: E731  of different edges
+    now = shared.table(norm.mapInArrow(shared.tidy(_forest), "u long, v long").distinct(), "edges")
+    was = mark(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -53,9 +55,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: u and its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        after = shared.table(small.where("u != v").distinct(), "edges")
-        changed = not shared.empty(after.exceptAll(now)) or after.count() != now.count()
-        now = after
-        if not changed:
+        now = shared.table(small.where("u != v").distinct(), "edges")
+        before, was = was, mark(now)
+        if before == was:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -29,10 +29,13 @@ from parlance.llm.components import components
 PERCENT = 80
 #: A tile of up to so many sets gives its pairs at once; a larger one begins with stars around so many members.
 SMALL_TILE, CENTRES = 8, 3
+#: A tile of more sets than this is cut into parts by a hash: stars stay within a part, and crossing pairs of parts are
+#: compared in a cell of their own, so no task holds more than two parts.
+PART = 4_096
 #: At most so many frequent shingles come last in the order (8 bytes each are broadcast), each in at least so many texts of one task's portion.
-FREQUENT, OFTEN = 50_000, 12
+FREQUENT, OFTEN = 50_000, 10
 #: A task looks for frequent shingles in portions of so many hashes.
-PORTION = 2 << 20
+PORTION = 1 << 20
 
 
 def _need(n: np.ndarray) -> np.ndarray:
@@ -183,8 +186,8 @@ def _centrality(rows: np.ndarray) -> np.ndarray:
 
 
 def _stars(batches):
-    """Members, a tile's rows next to each other, to pairs with the most central members of each band of sizes."""
-    for _, sid, n, bits, _ in _by_tile(batches):
+    """Members, a cell's rows next to each other, to pairs with the most central members of each band of sizes."""
+    for _, sid, n, bits, _, _ in _by_cell(batches):
         out = []
         for core, reach in _banded(n):
             rows = _matrix([bits[i] for i in reach])
@@ -202,16 +205,17 @@ def _stars(batches):
 
 
 def _crossing(best: bool):
-    """Members to the pairs of different components that their bitmaps let pass; best: for each member and other component, the likeliest one."""
+    """Members, a cell's rows next to each other, to the pairs of different components that their bitmaps let pass; best: for each member and other component, the likeliest one."""
 
     def run(batches):
-        for _, sid, n, bits, comp in _by_tile(batches):
+        for cell, sid, n, bits, comp, part in _by_cell(batches):
             out = []
             for core, reach in _banded(n):
                 rows = _matrix([bits[i] for i in reach])
                 place = {r: k for k, r in enumerate(reach.tolist())}
                 for c in core.tolist():
-                    other = np.flatnonzero((comp[reach] != comp[c]) & ((n[reach] > n[c]) | (n[reach] == n[c]) & (sid[reach] > sid[c])))
+                    elsewhere = part[reach] != part[c] if cell[1] != cell[2] else True
+                    other = np.flatnonzero((comp[reach] != comp[c]) & elsewhere & ((n[reach] > n[c]) | (n[reach] == n[c]) & (sid[reach] > sid[c])))
                     if not len(other):
                         continue
                     far = reach[other]
@@ -233,24 +237,27 @@ def _pairs_out(out: list[np.ndarray]):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _by_tile(batches):
-    """(tile, sid, n, bits, component) of each run of rows of one tile."""
+_CELL = ("tile", "low", "high")
+
+
+def _by_cell(batches):
+    """(cell, sid, n, bits, component, part) of each run of rows of one cell: a tile, and the two parts that it compares."""
     held: list = []
-    tile = None
+    cell = None
     for batch in batches:
-        for t, s, n, b, c in zip(*(batch.column(k).to_pylist() for k in ("tile", "sid", "n", "bits", "comp")), strict=True):
-            if t != tile and held:
-                yield _as_tile(tile, held)
+        for *at, s, n, b, c, p in zip(*(batch.column(k).to_pylist() for k in (*_CELL, "sid", "n", "bits", "comp", "part")), strict=True):
+            if at != cell and held:
+                yield _as_cell(cell, held)
                 held = []
-            tile = t
-            held.append((s, n, b, c))
+            cell = at
+            held.append((s, n, b, c, p))
     if held:
-        yield _as_tile(tile, held)
+        yield _as_cell(cell, held)
 
 
-def _as_tile(tile, held):
-    sid, n, bits, comp = zip(*held, strict=True)
-    return tile, np.array(sid, np.int64), np.array(n, np.int64), bits, np.array([0 if c is None else c for c in comp], np.int64)
+def _as_cell(cell, held):
+    sid, n, bits, comp, part = zip(*held, strict=True)
+    return cell, np.array(sid, np.int64), np.array(n, np.int64), bits, np.array([0 if c is None else c for c in comp], np.int64), np.array(part)
 
 
 _CHECK_SCHEMA = "bucket int, a long, b long, n long, elements binary"
@@ -312,34 +319,40 @@ class _Join:
         self.spark, self.buckets = docs.sparkSession, shared.n_buckets(docs.sparkSession)
         self.docs = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(column).alias("text"))
         #: A row for each document: doc_id, n (set size), sid (null for the empty set), bits.
-        self.rows = shared.table(self.docs.mapInArrow(_nodes("doc_id", "text"), "doc_id long, n long, sid long, bits binary"), "sets")
+        self.rows = shared.table(self.docs.mapInArrow(shared.tidy(_nodes("doc_id", "text")), "doc_id long, n long, sid long, bits binary"), "sets")
         #: A row for each different set: sid, n, bits, and one document that has it.
         self.nodes = shared.table(self.rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")), "nodes")
 
     def candidates(self) -> DataFrame:
-        counted = self.docs.mapInArrow(_frequent("text"), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+        counted = self.docs.mapInArrow(shared.tidy(_frequent("text")), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
         late = counted.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
         postings = self.docs.mapInArrow(_postings("text", self.buckets, self.spark.sparkContext.broadcast(np.sort(late))), shared.BLOB_SCHEMA)
-        return shared.table(shared.route(postings, self.buckets).mapInArrow(_tiles, "x long, y long, kind int"), "tiles")
+        return shared.table(shared.route(postings, self.buckets).mapInArrow(shared.tidy(_tiles), "x long, y long, kind int"), "tiles")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of sids that link, as (u, v)."""
         side = lambda k: self.nodes.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-        near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long")
+        near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(shared.tidy(_bounded), "a long, b long")
         near = shared.table(near.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(self.buckets)).cast("int")), "pairs")
         needed = near.select(F.col("a").alias("sid"), "bucket").unionByName(near.select(F.col("b").alias("sid"), "bucket"))
         needed = needed.groupBy("sid").agg(F.collect_set("bucket").alias("buckets")).join(self.nodes.select("sid", "doc_id"), "sid")
-        sets = self.docs.join(needed, "doc_id").select("text", "sid", "buckets").mapInArrow(_arrays, _CHECK_SCHEMA)
+        sets = self.docs.join(needed, "doc_id").select("text", "sid", "buckets").mapInArrow(shared.tidy(_arrays), _CHECK_SCHEMA)
         asked = near.select("bucket", "a", "b", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("elements"))
-        return shared.table(sets.unionByName(asked).repartitionById(self.buckets, F.col("bucket")).mapInArrow(_verify, "u long, v long"), "links")
+        return shared.table(sets.unionByName(asked).repartitionById(self.buckets, F.col("bucket")).mapInArrow(shared.tidy(_verify), "u long, v long"), "links")
 
     def members(self, tiles: DataFrame) -> DataFrame:
-        return tiles.where("kind = 1").select(F.col("x").alias("tile"), F.col("y").alias("sid"))
-
-    def by_tile(self, members: DataFrame) -> DataFrame:
-        """Members with their bitmaps, each tile's rows in one partition and next to each other."""
-        rows = members.join(self.nodes.select("sid", "n", "bits"), "sid").select("tile", "sid", "n", "bits", "comp")
-        return rows.repartition(self.buckets, "tile").sortWithinPartitions("tile")
+        """(tile, sid, parts, part): members of larger tiles, and which of the tile's parts they are in."""
+        rows = tiles.where("kind = 1").select(F.col("x").alias("tile"), F.col("y").alias("sid"))
+        sizes = rows.groupBy("tile").agg(F.ceil(F.count("*") / PART).alias("parts"))
+        rows = rows.join(sizes, "tile").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+        return shared.table(rows, "members")
+
+    def by_cell(self, members: DataFrame, across: bool) -> DataFrame:
+        """Members with their bitmaps, each cell's rows in one partition and next to each other; across: a cell for each two parts."""
+        other = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)) if across else F.col("part")
+        rows = members.withColumn("other", other).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+        rows = rows.join(self.nodes.select("sid", "n", "bits"), "sid").select(*_CELL, "sid", "n", "bits", "comp", "part")
+        return rows.repartition(self.buckets, *_CELL).sortWithinPartitions(*_CELL)
 
     def components(self) -> DataFrame:
         """(sid, comp) of every node that links to another one."""
@@ -347,14 +360,14 @@ class _Join:
         links = self.links(tiles.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
         members = self.members(tiles)
         if not shared.empty(members):
-            stars = self.by_tile(members.withColumn("comp", F.lit(None).cast("long"))).mapInArrow(_stars, "a long, b long")
+            stars = self.by_cell(members.withColumn("comp", F.lit(None).cast("long")), False).mapInArrow(shared.tidy(_stars), "a long, b long")
             links = links.unionByName(self.links(stars))
             found = shared.table(components(links), "found")
             for best in (True, False):
                 now = members.join(found.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-                now = shared.table(now, "members")
+                now = shared.table(now, "labelled")
                 mixed = now.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("tile")
-                more = self.links(self.by_tile(now.join(mixed, "tile")).mapInArrow(_crossing(best), "a long, b long"))
+                more = self.links(self.by_cell(now.join(mixed, "tile"), True).mapInArrow(shared.tidy(_crossing(best)), "a long, b long"))
                 if not shared.empty(more):
                     found = shared.table(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "found")
             return found.select(F.col("node").alias("sid"), F.col("component").alias("comp"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm import text
+from parlance.llm import shared, text
 from parlance.llm.linear import fit_logistic, sigmoid
 
 #: At most so many labelled documents of each class are learnt from; steps of the field's training.
@@ -57,7 +57,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         own[:, k] = (total[ends] - total[starts]) / size
     own[:, 6] = np.log1p(length) / 5
     begin, end = text.bounds(data, offsets)
-    hashes = text.spans_hash(text._LOWER[data], begin, end)
+    hashes = text.spans_hash(text.LOWER[data], begin, end)
     at = np.searchsorted(begin, starts)
     to = np.searchsorted(begin, ends)
     n = np.maximum(to - at, 1)
@@ -196,4 +196,4 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = lambda df: F.coalesce(F.crc32(df["doc_id"].cast("string").cast("binary")) % 3 == 1, F.lit(False))
     model = train(docs.where(~held(docs)), labels.where(~held(labels)))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held(docs).alias("held_out"), "text")
-    return slim.mapInArrow(_scores(model), "doc_id long, held_out boolean, score double, predicted int")
+    return slim.mapInArrow(shared.tidy(_scores(model)), "doc_id long, held_out boolean, score double, predicted int")

@@ -292,14 +292,14 @@ def train(docs: DataFrame, column: str = "text") -> Model:
     texts = docs.select(F.col(column).alias("text"))
     buckets = shared.n_buckets(spark)
     folder = shared.new_folder(spark, "ngram")
-    counted = texts.mapInArrow(_hot(buckets), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(shared.tidy(_hot(buckets)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total = counted.where("word is null").agg(F.sum("n").alias("total"))
     # At most SPREAD * buckets contexts can have that share.
     often = counted.where("word is not null").crossJoin(F.broadcast(total)).where(F.col("n") * SPREAD * buckets > F.col("total")).orderBy(F.desc("n")).limit(SPREAD * buckets)
     hot = np.sort(often.select("word").toPandas()["word"].to_numpy(np.int64).view(_U64))
-    pairs = texts.mapInArrow(_pairs(buckets, spark.sparkContext.broadcast(hot)), shared.BLOB_SCHEMA)
-    step = shared.table(shared.route(pairs, buckets).mapInArrow(_count_pairs(folder, buckets), _STEP), "words")
-    words = shared.route(step.where("bucket is not null").select("bucket", "n", "blob"), buckets).mapInArrow(_count_words(folder), "totals array<long>")
+    pairs = texts.mapInArrow(shared.tidy(_pairs(buckets, spark.sparkContext.broadcast(hot))), shared.BLOB_SCHEMA)
+    step = shared.table(shared.route(pairs, buckets).mapInArrow(shared.tidy(_count_pairs(folder, buckets)), _STEP), "words")
+    words = shared.route(step.where("bucket is not null").select("bucket", "n", "blob"), buckets).mapInArrow(shared.tidy(_count_words(folder)), "totals array<long>")
     add = lambda rows, n: np.sum([r.totals for r in rows] or [[0] * n], axis=0).tolist()  # noqa: E731  a row for each bucket
     return Model(folder, buckets, hot, add(step.where("totals is not null").select("totals").collect(), 6), add(words.collect(), 8))
 
@@ -322,7 +322,7 @@ def _scores(model: Model):
 def score(docs: DataFrame, model: Model, doc: str = "doc_id", column: str = "text", held_out: str = "held_out") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of docs."""
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(held_out).alias("held_out"), F.col(column).alias("text"))
-    return slim.mapInArrow(_scores(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return slim.mapInArrow(shared.tidy(_scores(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:

@@ -155,4 +155,4 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", column: str = "text") ->
     spark = docs.sparkSession
     rows, parts = _deal(docs, doc, column, shared.n_buckets(spark))
     dealt = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("wrap", F.col("doc_id").asc_nulls_first(), F.col("own").desc(), "text")
-    return dealt.select("doc_id", "text", "own").mapInArrow(_fingerprints, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.select("doc_id", "text", "own").mapInArrow(shared.tidy(_fingerprints), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

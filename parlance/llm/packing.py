@@ -25,7 +25,7 @@ CAPACITY = 2048
 #: Pieces in a partition, partitions that pool what they give up, and bins that one gives up.
 PIECES, POOL, GIVEN = 150_000, 64, 48
 #: Words whose ids a task keeps, and bytes of text that it works on at once.
-_KEPT_WORDS, _CHUNK = 700_000, 2 << 20
+_KEPT_WORDS, _CHUNK = 250_000, 1 << 20
 
 
 class Vocabulary:
@@ -80,7 +80,7 @@ class Vocabulary:
         end = np.repeat(ends, 1 + tail)
         end[first[tail]] -= 1
         begin[first[tail] + 1] = ends[tail] - 1
-        hashes = text.spans_hash(text._LOWER[data], begin, end)
+        hashes = text.spans_hash(text.LOWER[data], begin, end)
         signs = np.r_[0, np.cumsum(data == 60)]
         special = np.flatnonzero(signs[end] > signs[begin])
         if len(special):
@@ -209,7 +209,7 @@ def _pack(capacity: int, give: int):
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc: str = "doc_id", column: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every row; tokenizer: the vocabulary file's path on all machines."""
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(column).alias("text"))
-    return slim.mapInArrow(_cut(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(shared.tidy(_cut(tokenizer, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

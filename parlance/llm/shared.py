@@ -6,9 +6,12 @@ instead of millions of tiny ones; Spark still partitions, shuffles, retries and
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A task emits its blobs once it holds so many bytes.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 10 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -111,5 +114,20 @@ def route(blobs: DataFrame, buckets: int) -> DataFrame:
     return blobs.repartitionById(buckets, F.col("bucket"))
 
 
+def tidy(run: Callable) -> Callable:
+    """A task's function that gives its memory back when it ends: Python workers live on, and idle ones would keep it."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def empty(df: DataFrame) -> bool:
     return not df.take(1)

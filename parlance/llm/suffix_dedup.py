@@ -340,11 +340,11 @@ def removed_spans(docs: DataFrame, doc: str = "doc_id", column: str = "text") ->
     heads = shared.table(texts.where(F.length("text") >= LENGTH).select("doc_id", "cid", F.length("text").alias("n")).distinct(), "heads")
     firsts = shared.table(heads.groupBy("cid", "n").agg(F.min("doc_id").alias("first")), "firsts")
 
-    found = texts.where(F.length("text") >= LENGTH).select("text", "cid").mapInArrow(_anchor_rows(buckets), _SCHEMA)
-    places = shared.route(shared.route(found, buckets).mapInArrow(_repeated(buckets), _SCHEMA), buckets).mapInArrow(_by_text, "cid long, places binary")
+    found = texts.where(F.length("text") >= LENGTH).select("text", "cid").mapInArrow(shared.tidy(_anchor_rows(buckets)), _SCHEMA)
+    places = shared.route(shared.route(found, buckets).mapInArrow(shared.tidy(_repeated(buckets)), _SCHEMA), buckets).mapInArrow(shared.tidy(_by_text), "cid long, places binary")
     places = shared.table(places.join(firsts.select("cid", F.col("first").alias("doc_id")), "cid"), "places")
-    around = texts.join(places, ["doc_id", "cid"]).select("doc_id", "cid", "text", "places").mapInArrow(_around_rows(buckets), _SCHEMA)
-    spans = shared.route(shared.route(around, buckets).mapInArrow(_factor_rows(buckets), _SCHEMA), buckets).mapInArrow(_merged, "doc_id long, cid long, runs binary")
+    around = texts.join(places, ["doc_id", "cid"]).select("doc_id", "cid", "text", "places").mapInArrow(shared.tidy(_around_rows(buckets)), _SCHEMA)
+    spans = shared.route(shared.route(around, buckets).mapInArrow(shared.tidy(_factor_rows(buckets)), _SCHEMA), buckets).mapInArrow(shared.tidy(_merged), "doc_id long, cid long, runs binary")
     copies = heads.join(firsts, ["cid", "n"]).where("doc_id > first").select("doc_id", "cid", F.lit(True).alias("copy"), F.lit(None).cast("binary").alias("runs"))
     marks = shared.table(spans.select("doc_id", "cid", F.lit(False).alias("copy"), "runs").unionByName(copies), "spans")
 
@@ -383,7 +383,7 @@ def _digests(batches):
 def removal_digests(docs: DataFrame, doc: str = "doc_id", column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; see removed_spans()."""
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(column).alias("text"))
-    return removed_spans(slim).select("doc_id", "raw__", "copy__", "runs__").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed_spans(slim).select("doc_id", "raw__", "copy__", "runs__").mapInArrow(shared.tidy(_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _cut_texts(column: str):
@@ -400,4 +400,4 @@ def _cut_texts(column: str):
 
 def remove_repeats(docs: DataFrame, doc: str = "doc_id", column: str = "text") -> DataFrame:
     """docs with repeated strings cut out of their texts; a code point that loses some of its bytes loses all. Null stays null."""
-    return removed_spans(docs, doc, column).mapInArrow(_cut_texts(column), docs.schema)
+    return removed_spans(docs, doc, column).mapInArrow(shared.tidy(_cut_texts(column)), docs.schema)

@@ -13,8 +13,8 @@ CHUNK_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
@@ -94,7 +94,7 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words with A-Z lower-cased, and where each text's words begin (n + 1 cuts)."""
     starts, ends = bounds(data, offsets)
-    return spans_hash(_LOWER[data], starts, ends), np.searchsorted(starts, offsets)
+    return spans_hash(LOWER[data], starts, ends), np.searchsorted(starts, offsets)
 
 
 _SHINGLE = 5

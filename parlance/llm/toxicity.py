@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm import text
+from parlance.llm import shared, text
 from parlance.llm.linear import fit_logistic, sigmoid
 
 #: At most so many labelled texts of each class are fitted on; features, folds, and languages with a category of their own.
@@ -35,7 +35,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     for _ in range(3):
         ends = ends - ((ends > starts + 1) & _PUNCTUATION[data[ends - 1]])
         starts = starts + ((ends > starts + 1) & _PUNCTUATION[data[np.minimum(starts, len(data) - 1)]])
-    low = text._LOWER[data]
+    low = text.LOWER[data]
     doc = np.searchsorted(offsets, starts, "right") - 1
     long = ends - starts > STEM
     both = text.spans_hash(low, np.r_[starts, starts[long]], np.r_[ends, starts[long] + STEM])
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
     pick = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most 2 * sample rows are broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(F.broadcast(pick(1).unionByName(pick(0))), "doc_id")
-    rows = rows.mapInArrow(_sample_features, "doc_id long, lang string, toxic int, features binary")
+    rows = rows.mapInArrow(shared.tidy(_sample_features), "doc_id long, lang string, toxic int, features binary")
     fitted = rows.withColumns({"prior": F.lit(float(prior)), "one": F.lit(1)}).groupBy("one").applyInPandas(_fit, "model string").collect()
     return json.loads(fitted[0]["model"]) if fitted else None
 
@@ -146,7 +146,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     and nothing is predicted. Equal rows are scored alike; other columns are ignored; an empty table gives none.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(_scores(train(docs, labels)), "doc_id long, categories array<double>, score double, predicted int")
+    return slim.mapInArrow(shared.tidy(_scores(train(docs, labels))), "doc_id long, categories array<double>, score double, predicted int")
 
 
 def _keep(model: dict | None):
@@ -163,4 +163,4 @@ def _keep(model: dict | None):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the chain predicts as toxic; all columns stay as they are."""
-    return docs.mapInArrow(_keep(train(docs, labels)), docs.schema)
+    return docs.mapInArrow(shared.tidy(_keep(train(docs, labels))), docs.schema)

@@ -133,7 +133,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     sides = vectors.withColumn("shard", spread(vectors, shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("is_query", F.lit(False))
     asked = queries.withColumn("block", spread(queries, blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("is_query", F.lit(True))
     cells = sides.unionByName(asked).withColumn("cell", F.col("shard") * blocks + F.col("block"))
-    found = cells.repartitionById(shards * blocks, F.col("cell")).select("shard", "block", "is_query", "vec_id", "embedding").mapInArrow(_search(k, factor), "query_id long, vec_id long, score double")
+    found = cells.repartitionById(shards * blocks, F.col("cell")).select("shard", "block", "is_query", "vec_id", "embedding").mapInArrow(shared.tidy(_search(k, factor)), "query_id long, vec_id long, score double")
     found = shared.table(found, "near")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

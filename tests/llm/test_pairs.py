@@ -48,8 +48,10 @@ def test_join_of_nothing(no_docs):
     assert jaccard_join.jaccard_components(no_docs).count() == 0
 
 
-def test_join_of_large_groups(spark):
+@pytest.mark.parametrize("part", [4096, 7])
+def test_join_of_large_groups(spark, monkeypatch, part):
     """Groups over SMALL_TILE whose copies are near their base and not each other, and a passage that all texts quote."""
+    monkeypatch.setattr(jaccard_join, "PART", part)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     quoted = [word() for _ in range(30)]
