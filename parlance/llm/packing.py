@@ -25,15 +25,21 @@ CAPACITY = 2048
 #: Pieces in a partition, partitions that pool what they give up, and bins that one gives up.
 PIECES, POOL, GIVEN = 150_000, 64, 48
 #: Words whose ids a task keeps, and bytes of text that it works on at once.
-_KEPT_WORDS, _CHUNK = 250_000, 1 << 20
+_KEPT_WORDS, _CHUNK = 1_200_000, 2 << 20
+
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+#: Longer runs of punctuation stay with their word.
+_MARKS = 4
 
 
 class Vocabulary:
     """A tokenizer, and the ids of words that it has seen.
 
-    Tokens of this kind of vocabulary never span white space, and a letter and the comma or full stop after it are never
-    one token; so a text is cut into such words, each different one is encoded once, and ids are gathered from there.
-    Case doesn't matter to the vocabulary, so A-Z are one with a-z, but not in words with "<", where special tokens are.
+    Tokens of this kind of vocabulary never span white space, nor a letter and the punctuation that ends its word; so a
+    text is cut into such words, each different one is encoded once, and ids are gathered from there. Case doesn't
+    matter to the vocabulary, so A-Z are one with a-z. Words with "<", where special tokens may be, are left as they are.
     """
 
     def __init__(self, path: str):
@@ -41,77 +47,89 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # no word comes twice
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.blocks: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
+        # Sorted hashes of words, where each word's ids begin, and how many they are.
+        self.hashes, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, "<u4")
+
+    def _has(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, ids, sizes): the words' numbers in the order of their ids, and how many ids each has.
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word. Words of letters alone are encoded in one string: each has one token that ends a word."""
-        out: list = [None] * len(words)
+        Words of letters alone are encoded in one string: each has one token that ends a word.
+        """
+        order, ids, sizes, rest = [], [], [], [k for k, w in enumerate(words) if not w.isalpha()]
         plain = [k for k, w in enumerate(words) if w.isalpha()]
         for s in range(0, len(plain), 4000):
             part = plain[s : s + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words[k] for k in part)], add_special_tokens=False)[0].ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == len(part) and (not len(part) or last[-1] == len(ids)):
-                for k, x in zip(part, np.split(ids, last[:-1]), strict=True):
-                    out[k] = x
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, e in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, "<u4")
-        return out
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join([words[k] for k in part])], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[got]) + 1
+            if len(last) == len(part) and last[-1] == len(got):
+                order += part
+                ids.append(got)
+                sizes.append(np.diff(last, prepend=0))
+            else:
+                rest += part
+        if rest:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)]
+            order += rest
+            sizes.append(np.array([len(x) for x in each]))
+            ids.append(np.array([k for x in each for k in x], "<u4"))
+        return np.array(order, np.int64), np.concatenate(ids), np.concatenate(sizes).astype(np.int32)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, cuts) of texts, each closed by an id 0."""
         starts, ends = text.bounds(data, offsets)
-        letter = (data >= 97) & (data <= 122) | (data >= 65) & (data <= 90)
-        mark = (data == 46) | (data == 44)
-        tail = (ends > starts + 1) & mark[ends - 1] & letter[np.maximum(ends - 2, 0)]
+        signs = np.r_[0, np.cumsum(data == 60)]
+        plain = signs[ends] == signs[starts]
+        run, more = np.zeros(len(starts), np.int64), plain.copy()
+        for _ in range(_MARKS + 1):
+            more &= (ends - run > starts) & _MARK[data[np.maximum(ends - 1 - run, 0)]]
+            run += more
+        tail = plain & (run > 0) & (run <= _MARKS) & (ends - run > starts) & _LETTER[data[np.maximum(ends - 1 - run, 0)]]
         doc = np.searchsorted(starts, offsets)
         units = np.r_[0, np.cumsum(1 + tail)]
         first, doc = units[:-1], units[doc]
         begin = np.repeat(starts, 1 + tail)
         end = np.repeat(ends, 1 + tail)
-        end[first[tail]] -= 1
-        begin[first[tail] + 1] = ends[tail] - 1
+        end[first[tail]] -= run[tail]
+        begin[first[tail] + 1] = (ends - run)[tail]
         hashes = text.spans_hash(text.LOWER[data], begin, end)
-        signs = np.r_[0, np.cumsum(data == 60)]
         special = np.flatnonzero(signs[end] > signs[begin])
         if len(special):
             hashes[special] = text.mix(text.spans_hash(data, begin[special], end[special]) + np.uint64(1))
         every, at, place = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(every) > _KEPT_WORDS:
+        if len(self.hashes) + len(every) > _KEPT_WORDS:
             self.forget()
-        slots = np.array([self.known.get(h, -1) for h in every.tolist()], np.int64)
-        fresh = np.flatnonzero(slots < 0)
+        fresh = np.flatnonzero(~self._has(every))
         if len(fresh):
             raw = data.tobytes()
-            new = self._encode([raw[s:e].decode("utf-8", "replace") for s, e in zip(begin[at[fresh]].tolist(), end[at[fresh]].tolist(), strict=True)])
-            base = len(self.known)
-            slots[fresh] = np.arange(base, base + len(fresh))
-            self.known.update(zip(every[fresh].tolist(), range(base, base + len(fresh)), strict=True))
-            self.blocks.append(np.concatenate(new))
-            self.sizes.append(np.array([len(x) for x in new]))
-        if len(self.blocks) > 1:
-            self.blocks, self.sizes = [np.concatenate(self.blocks)], [np.concatenate(self.sizes)]
-        size = self.sizes[0] if self.sizes else np.zeros(1, np.int64)
-        offset = np.cumsum(size) - size
-        slot = slots[place]
+            order, ids, size = self._encode([raw[s:e].decode("utf-8", "replace") for s, e in zip(begin[at[fresh]].tolist(), end[at[fresh]].tolist(), strict=True)])
+            hashes = np.r_[self.hashes, every[fresh[order]]]
+            order = np.argsort(hashes, kind="stable")
+            self.begin = np.r_[self.begin, len(self.ids) + (np.cumsum(size) - size).astype(np.int32)][order]
+            self.hashes, self.size, self.ids = hashes[order], np.r_[self.size, size][order], np.r_[self.ids, ids]
+        slot = np.searchsorted(self.hashes, every)[place]
         # A unit's ids, and after a text's last unit its id 0.
-        n = size[slot] if len(slot) else np.zeros(0, np.int64)
+        n = self.size[slot].astype(np.int64)
         total = np.r_[0, np.cumsum(n)]
         cuts = total[doc] + np.arange(len(doc))
         ids = np.zeros(cuts[-1], "<u4")
         if len(slot):
             shift = np.repeat(np.searchsorted(doc[1:], np.arange(len(slot)), "right"), n)
-            source = np.repeat(offset[slot] - total[:-1], n) + np.arange(total[-1])
-            ids[np.arange(total[-1]) + shift] = self.blocks[0][source]
+            source = np.repeat(self.begin[slot] - total[:-1], n) + np.arange(total[-1])
+            ids[np.arange(total[-1]) + shift] = self.ids[source]
         return ids, cuts
 
 
