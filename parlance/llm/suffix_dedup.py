@@ -35,7 +35,7 @@ LENGTH, GRAM = 100, 28
 _U64 = np.uint64
 _LOW = _U64(0xFFFFFFFF)
 #: A task settles what repeats within so many anchors, or bytes around them.
-ANCHORS, BYTES = 400_000, 4 << 20
+ANCHORS, BYTES = 300_000, 1_500_000
 
 
 def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
@@ -326,7 +326,7 @@ _LAST = (1 << 63) - 1
 
 
 def removed_spans(docs: DataFrame, doc: str = "doc_id", column: str = "text") -> DataFrame:
-    """docs with raw__ (the text's bytes; null: empty), copy__ (all of it goes) and runs__ (removed runs [from, to) as int32 pairs; null if none).
+    """docs with copy__ (all of the text goes) and runs__ (its removed runs of UTF-8 bytes [from, to) as int32 pairs; null if none).
 
     The order is by doc_id (null last) and start. Rows with the same doc_id and different texts are different texts of
     one place (the smaller hash first); fully equal rows are the same text and get the same runs. Texts under LENGTH
@@ -334,13 +334,12 @@ def removed_spans(docs: DataFrame, doc: str = "doc_id", column: str = "text") ->
     """
     spark = docs.sparkSession
     buckets = shared.n_buckets(spark)
-    raw = F.coalesce(F.encode(F.col(column), "UTF-8"), F.lit(b""))
-    texts = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)).alias("doc_id"), raw.alias("text"))
-    texts = texts.withColumn("cid", F.xxhash64("text"))
-    heads = shared.table(texts.where(F.length("text") >= LENGTH).select("doc_id", "cid", F.length("text").alias("n")).distinct(), "heads")
+    place, content = F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)), F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+    texts = docs.select(place.alias("doc_id"), F.col(column).alias("text"), content.alias("cid")).where(F.octet_length("text") >= LENGTH)
+    heads = shared.table(texts.select("doc_id", "cid", F.octet_length("text").alias("n")).distinct(), "heads")
     firsts = shared.table(heads.groupBy("cid", "n").agg(F.min("doc_id").alias("first")), "firsts")
 
-    found = texts.where(F.length("text") >= LENGTH).select("text", "cid").mapInArrow(shared.tidy(_anchor_rows(buckets)), _SCHEMA)
+    found = texts.select("text", "cid").mapInArrow(shared.tidy(_anchor_rows(buckets)), _SCHEMA)
     places = shared.route(shared.route(found, buckets).mapInArrow(shared.tidy(_repeated(buckets)), _SCHEMA), buckets).mapInArrow(shared.tidy(_by_text), "cid long, places binary")
     places = shared.table(places.join(firsts.select("cid", F.col("first").alias("doc_id")), "cid"), "places")
     around = texts.join(places, ["doc_id", "cid"]).select("doc_id", "cid", "text", "places").mapInArrow(shared.tidy(_around_rows(buckets)), _SCHEMA)
@@ -348,11 +347,10 @@ def removed_spans(docs: DataFrame, doc: str = "doc_id", column: str = "text") ->
     copies = heads.join(firsts, ["cid", "n"]).where("doc_id > first").select("doc_id", "cid", F.lit(True).alias("copy"), F.lit(None).cast("binary").alias("runs"))
     marks = shared.table(spans.select("doc_id", "cid", F.lit(False).alias("copy"), "runs").unionByName(copies), "spans")
 
-    keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns), raw.alias("raw__"), F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)).alias("doc__"))
-    keyed = keyed.withColumn("cid__", F.xxhash64("raw__"))
+    keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns), place.alias("doc__"), content.alias("cid__"))
     marks = marks.select(F.col("doc_id").alias("doc__"), F.col("cid").alias("cid__"), F.col("copy").alias("copied__"), F.col("runs").alias("runs__"))
     joined = keyed.join(marks, ["doc__", "cid__"], "left")
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("raw__"), F.coalesce("copied__", F.lit(False)).alias("copy__"), "runs__")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("copied__", F.lit(False)).alias("copy__"), "runs__")
 
 
 def cut(raw: bytes, copy: bool, runs: bytes | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -372,9 +370,10 @@ def cut(raw: bytes, copy: bool, runs: bytes | None) -> tuple[bytes, list[tuple[i
 def _digests(batches):
     for batch in batches:
         out = []
-        for doc, raw, copy, runs in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "raw__", "copy__", "runs__")), strict=True):
-            kept, gone = cut(raw, copy, runs)
-            out.append((doc, len(raw), sum(e - s for s, e in gone), len(gone), hashlib.sha256(kept).hexdigest()))
+        for doc, s, copy, runs in zip(*(batch.column(k) for k in ("doc_id", "text", "copy__", "runs__")), strict=True):
+            raw = (s.as_py() or "").encode()
+            kept, gone = cut(raw, copy.as_py(), runs.as_py())
+            out.append((doc.as_py(), len(raw), sum(e - s for s, e in gone), len(gone), hashlib.sha256(kept).hexdigest()))
         if out:
             doc, *rest, sha = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *(pa.array(x, pa.int64()) for x in rest), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -383,16 +382,18 @@ def _digests(batches):
 def removal_digests(docs: DataFrame, doc: str = "doc_id", column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; see removed_spans()."""
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(column).alias("text"))
-    return removed_spans(slim).select("doc_id", "raw__", "copy__", "runs__").mapInArrow(shared.tidy(_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed_spans(slim).select("doc_id", "text", "copy__", "runs__").mapInArrow(shared.tidy(_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _cut_texts(column: str):
     def run(batches):
         for batch in batches:
-            kept = [cut(raw, copy, runs)[0].decode("utf-8", "ignore") if copy or runs else None for raw, copy, runs in zip(*(batch.column(k).to_pylist() for k in ("raw__", "copy__", "runs__")), strict=True)]
-            old = batch.column(column).to_pylist()
-            fresh = pa.array([o if k is None else k for o, k in zip(old, kept, strict=True)], batch.schema.field(column).type)
-            names = [c for c in batch.schema.names if c not in ("raw__", "copy__", "runs__")]
+            kept = []
+            for s, copy, runs in zip(batch.column(column), batch.column("copy__").to_pylist(), batch.column("runs__"), strict=True):
+                s, runs = s.as_py(), runs.as_py()
+                kept.append(cut(s.encode(), copy, runs)[0].decode("utf-8", "ignore") if s and (copy or runs) else s)
+            fresh = pa.array(kept, batch.schema.field(column).type)
+            names = [c for c in batch.schema.names if c not in ("copy__", "runs__")]
             yield pa.RecordBatch.from_arrays([fresh if c == column else batch.column(c) for c in names], names=names)
 
     return run
