@@ -80,7 +80,7 @@ def _nodes(doc: str, column: str):
         for part, values, cuts in _sets(batches, column):
             n = np.diff(cuts)
             maps = [bitmap(values[s:e]) if e > s else None for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(doc).cast(pa.int64()), pa.array(n), pa.array(_node_ids(values, cuts), mask=n == 0), pa.array(maps, pa.binary())], names=["doc_id", "n", "sid", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(doc).cast(pa.int64()), pa.array(n), pa.array(_node_ids(values, cuts), mask=n == 0), pa.array(maps, pa.binary()), part.column("content")], names=["doc_id", "n", "sid", "bits", "content"])
 
     return run
 
@@ -260,17 +260,11 @@ def _as_cell(cell, held):
     return cell, np.array(sid, np.int64), np.array(n, np.int64), bits, np.array([0 if c is None else c for c in comp], np.int64), np.array(part)
 
 
-_CHECK_SCHEMA = "bucket int, a long, b long, n long, elements binary"
-
-
 def _arrays(batches):
-    """(text, sid, buckets) to a row of the sorted set for each bucket that needs it."""
-    for batch in batches:
-        for part in text.chunks(batch, "text"):
-            values, cuts = text.shingle_sets(*text.buffer(part.column("text")))
-            rows = [(k, sid, e - s, values[s:e].tobytes()) for s, e, sid, to in zip(cuts[:-1].tolist(), cuts[1:].tolist(), part.column("sid").to_pylist(), part.column("buckets").to_pylist(), strict=True) for k in to]
-            bucket, sid, n, raw = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(sid, pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], names=["bucket", "a", "b", "n", "elements"])
+    """(text, sid) to (sid, elements): the sorted set."""
+    for part, values, cuts in _sets(batches, "text"):
+        raw = [values[s:e].tobytes() for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column("sid"), pa.array(raw, pa.binary())], names=["sid", "elements"])
 
 
 def _verify(batches):
@@ -314,14 +308,18 @@ def _bounded(batches):
         yield batch.filter(pa.array(keep)).select(["a", "b"])
 
 
+#: Where a text without a doc_id stands.
+_LAST = (1 << 63) - 1
+
+
 class _Join:
     def __init__(self, docs: DataFrame, doc: str, column: str):
         self.spark, self.buckets = docs.sparkSession, shared.n_buckets(docs.sparkSession)
-        self.docs = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(column).alias("text"))
+        self.docs = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(column).alias("text"), F.xxhash64(column).alias("content"))
         #: A row for each document: doc_id, n (set size), sid (null for the empty set), bits.
-        self.rows = shared.table(self.docs.mapInArrow(shared.tidy(_nodes("doc_id", "text")), "doc_id long, n long, sid long, bits binary"), "sets")
-        #: A row for each different set: sid, n, bits, and one document that has it.
-        self.nodes = shared.table(self.rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")), "nodes")
+        self.rows = shared.table(self.docs.mapInArrow(shared.tidy(_nodes("doc_id", "text")), "doc_id long, n long, sid long, bits binary, content long"), "sets")
+        #: A row for each different set: sid, n, bits, the smallest doc_id, and where one text with that set is.
+        self.nodes = shared.table(self.rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("at"), "content")).alias("text")), "nodes")
 
     def candidates(self) -> DataFrame:
         counted = self.docs.mapInArrow(shared.tidy(_frequent("text")), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -335,9 +333,8 @@ class _Join:
         near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(shared.tidy(_bounded), "a long, b long")
         near = shared.table(near.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(self.buckets)).cast("int")), "pairs")
         needed = near.select(F.col("a").alias("sid"), "bucket").unionByName(near.select(F.col("b").alias("sid"), "bucket"))
-        needed = needed.groupBy("sid").agg(F.collect_set("bucket").alias("buckets")).join(self.nodes.select("sid", "doc_id"), "sid")
-        sets = self.docs.join(needed, "doc_id").select("text", "sid", "buckets").mapInArrow(shared.tidy(_arrays), _CHECK_SCHEMA)
-        asked = near.select("bucket", "a", "b", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("elements"))
+        sets = self.sets.join(needed.distinct(), "sid").select("bucket", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
+        asked = near.select("bucket", "a", "b", F.lit(None).cast("binary").alias("elements"))
         return shared.table(sets.unionByName(asked).repartitionById(self.buckets, F.col("bucket")).mapInArrow(shared.tidy(_verify), "u long, v long"), "links")
 
     def members(self, tiles: DataFrame) -> DataFrame:
@@ -357,12 +354,17 @@ class _Join:
     def components(self) -> DataFrame:
         """(sid, comp) of every node that links to another one."""
         tiles = self.candidates()
-        links = self.links(tiles.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        members = self.members(tiles)
-        if not shared.empty(members):
-            stars = self.by_cell(members.withColumn("comp", F.lit(None).cast("long")), False).mapInArrow(shared.tidy(_stars), "a long, b long")
-            links = links.unionByName(self.links(stars))
-            found = shared.table(components(links), "found")
+        named = tiles.select(F.explode(F.when(F.col("kind") == 0, F.array("x", "y")).otherwise(F.array("y"))).alias("sid")).distinct()
+        named = self.nodes.select("sid", "text.at", "text.content").join(named, "sid")
+        texts = self.docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("at"), "content", "text").join(named, ["at", "content"])
+        #: The sorted set of every node that is in a tile with another one.
+        self.sets = shared.table(texts.select("text", "sid").mapInArrow(shared.tidy(_arrays), "sid long, elements binary"), "arrays")
+        pairs, members = tiles.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")), self.members(tiles)
+        large = not shared.empty(members)
+        if large:
+            pairs = pairs.unionByName(self.by_cell(members.withColumn("comp", F.lit(None).cast("long")), False).mapInArrow(shared.tidy(_stars), "a long, b long"))
+        found = shared.table(components(self.links(pairs)), "found")
+        if large:
             for best in (True, False):
                 now = members.join(found.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
                 now = shared.table(now, "labelled")
@@ -370,8 +372,7 @@ class _Join:
                 more = self.links(self.by_cell(now.join(mixed, "tile"), True).mapInArrow(shared.tidy(_crossing(best)), "a long, b long"))
                 if not shared.empty(more):
                     found = shared.table(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "found")
-            return found.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-        return components(links).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+        return found.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
 
 
 def jaccard_components(docs: DataFrame, doc: str = "doc_id", column: str = "text") -> DataFrame:

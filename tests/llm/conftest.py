@@ -23,7 +23,10 @@ def odd_rows():
     ]
     rows = [(k * 7, t, "en", f"s{k % 3}", len(t or ""), k, "b", 1, "s", 0.5) for k, t in enumerate(texts)]
     rows.append((None, base, None, None, None, None, None, None, None, None))
-    rows.append((None, words(rng, 50), None, None, None, None, None, None, None, None))
+    rows.append((28, far + " and more", "en", "s0", 1, 1, "b", 1, "s", 0.5))
+    lonely = words(rng, 50)
+    rows.append((None, lonely + " end", None, None, None, None, None, None, None, None))
+    rows.append((None, lonely, None, None, None, None, None, None, None, None))
     rows.append(rows[0])
     return rows
 
