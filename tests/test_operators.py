@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import columns as C
 from parlance.functions import signal
-from parlance.operators import configs, curation, fingerprints, graphs, intervals, joins, planning, sequences, spread, stats
+from parlance.operators import configs, curation, fingerprints, graphs, intervals, joins, planning, sequences, spatial, spread, stats
 from parlance.streaming import stateful
 
 
@@ -131,6 +131,17 @@ def test_nested_children_may_be_missing(spark):
     assert {r.k: r.vs for r in rows.collect()} == {1: [4, 5], 2: []}
 
 
+def test_spatial(spark):
+    rows = table(spark, [("a", 0.0, 0.5), ("a", 3.0, 0.25)], "z string, position double, activity double").withColumn("g", spatial.placement_gains(F.col("position"), 4))
+    assert all(sum(x * x for x in r.g) == pytest.approx(1) for r in rows.collect())
+    power = spatial.expected_power(rows, ["z"], "activity", "g")
+    assert power.agg(F.sum("power")).first()[0] == pytest.approx(0.75)
+    trim = {r.channel: r.trim_db for r in spatial.trims(power, ["z"]).collect()}
+    assert trim[0] == -3.0 and trim[2] > 0
+    assert {r.z: r.talkers for r in spatial.zone_counts(table(spark, [("a", 9.0), ("b", 1.0), ("c", 0.01)], "z string, m double"), "z", "m", 10).collect()} == {"a": 9, "b": 1, "c": 1}
+    assert spatial.least_loaded(table(spark, [(1, 2, 0.5), (1, 1, 0.5), (1, 0, 0.9)], "k int, o int, e double"), ["k"], "o", "e").first().o == 1
+
+
 def test_graph_components(spark):
     edges = table(spark, [(5, 4), (4, 3), (9, 8), (3, 1)], "u long, v long")
     assert {r.node: r.component for r in graphs.components(edges).collect()} == {1: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
