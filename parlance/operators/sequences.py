@@ -45,13 +45,20 @@ def later_copies(df: DataFrame, content: Column, order: list[str]) -> DataFrame:
     return keyed.join(first, "content__").where(F.struct(*order) != F.col("first__")).drop("content__", "first__")
 
 
+def _checkpoints(df: DataFrame) -> bool:
+    """Whether the session has a checkpoint folder."""
+    return bool(df.sparkSession.sparkContext.getCheckpointDir())
+
+
 def dense_ids(known: DataFrame, fresh: DataFrame, name: str, number: str) -> DataFrame:
     """known and new names with ids: new ones, in order, go on after the largest that is known.
 
     Ranges of names are numbered by themselves and moved up by what the ranges before them hold, so no task sorts all.
     """
     new = fresh.select(name).distinct().join(known.select(name), name, "left_anti")
+    # Ranges come from samples, so they are drawn once and kept.
     dealt = new.repartitionByRange(name).withColumn("part__", F.spark_partition_id())
+    dealt = dealt.checkpoint() if _checkpoints(dealt) else dealt.cache()
     sizes = dealt.groupBy("part__").agg(F.count("*").alias("n__"))
     before = sizes.withColumn("before__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n__")
     top = known.agg(F.coalesce(F.max(number), F.lit(0)).alias("top__"))

@@ -1,7 +1,8 @@
-"""Running values over long series whose keys may be few or uneven: rows are dealt by ranges of key and order, not by key.
+"""Running values over long series whose keys may be few or uneven: rows are dealt by key and stretch of time, not by key.
 
-A window by key puts all rows of a key into one task. Here a key with many rows spans many ranges: running values are
-taken within each range, and what the ranges before add comes from one row for each range and key.
+A window by key puts all rows of a key into one task. Here a key spans many stretches: running values are taken within
+each, and what the stretches before add comes from one row for each stretch and key. A stretch is a fixed width of the
+clock, so a row's stretch doesn't depend on samples or partitions.
 """
 
 from __future__ import annotations
@@ -10,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df with range__, the number of the range of (keys, order) that a row falls into."""
-    return df.repartitionByRange(*keys, *order).withColumn("range__", F.spark_partition_id())
+def dealt(df: DataFrame, at: Column, width: int) -> DataFrame:
+    """df with range__, the stretch of the clock that a row falls into; the order of rows must begin with that clock."""
+    return df.withColumn("range__", F.floor(at / F.lit(width)))
 
 
 def _combined(how: str, a: Column, b: Column) -> Column:
@@ -42,29 +43,29 @@ def following(rows: DataFrame, keys: list[str], order: list[str], value: str, na
     return out.withColumn(name, F.when(F.col("last__"), F.col("later__")).otherwise(F.col("next__"))).drop("next__", "last__", "later__")
 
 
-def concurrency(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+def concurrency(df: DataFrame, keys: list[str], width: int, start: str = "start", end: str = "end") -> DataFrame:
     """intervals.concurrency() for few or uneven keys."""
     deltas = df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("x"))
-    merged = dealt(deltas.groupBy(*keys, F.col("x.t").alias("t__")).agg(F.sum("x.d").alias("d__")), keys, ["t__"])
+    merged = dealt(deltas.groupBy(*keys, F.col("x.t").alias("t__")).agg(F.sum("x.d").alias("d__")), F.col("t__"), width)
     steps = following(running(merged, keys, ["t__"], "d__", "on__"), keys, ["t__"], "t__", "until__").where("until__ is not null")
     steps = steps.withColumn("span__", F.col("until__") - F.col("t__"))
     return steps.groupBy(*keys).agg(F.max("on__").alias("max_active"), F.min("on__").alias("min_active"), (F.sum(F.col("on__") * F.col("span__")) / F.sum("span__")).alias("mean_active"))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], at: Column, width: int, name: str) -> DataFrame:
     """df with each row's place (from 1) by key and order."""
-    rows = dealt(df.withColumn("one__", F.lit(1).cast("long")), keys, order)
+    rows = dealt(df.withColumn("one__", F.lit(1).cast("long")), at, width)
     return running(rows, keys, order, "one__", name).drop("one__", "range__")
 
 
-def over_last(df: DataFrame, keys: list[str], order: list[str], n: int, values: dict, block: int = 1 << 16) -> DataFrame:
+def over_last(df: DataFrame, keys: list[str], order: list[str], at: Column, width: int, n: int, values: dict, block: int = 1 << 16) -> DataFrame:
     """df with aggregates of the last n rows of a key up to each row (fewer at its start).
 
     Rows are numbered and cut into blocks; a block also gets the n - 1 rows before it, so no task sorts a whole key.
     values: name to a function of a window that gives a column.
     """
     block = max(block, 8 * n)
-    rows = numbered(df, keys, order, "place__").withColumn("block__", F.floor((F.col("place__") - 1) / block))
+    rows = numbered(df, keys, order, at, width, "place__").withColumn("block__", F.floor((F.col("place__") - 1) / block))
     ahead = (F.col("place__") - 1) % block >= block - (n - 1)
     copies = F.array_compact(F.array(F.col("block__"), F.when(ahead, F.col("block__") + 1)))
     rows = rows.withColumn("in__", F.explode(copies))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parlance.operators import intervals, sequences, spread
+from parlance.operators.intervals import micros
 from parlance.plans.joins import _ISLANDS, islands_of
 from parlance.plans.registry import DAY, HOUR, SPANS, Tables, query, spans
 
@@ -17,7 +18,7 @@ r AS (SELECT event_type, t, sum(d) OVER (PARTITION BY event_type ORDER BY t) AS
 SELECT event_type, max(k)::BIGINT AS max_active, min(k)::BIGINT AS min_active, round(sum(k * span) / sum(span), 9) AS mean_active FROM r WHERE span IS NOT NULL GROUP BY 1
 """)
 def win_concurrency(t: Tables):
-    return spread.concurrency(spans(t), ["event_type"], "t0", "t1").select("event_type", "max_active", "min_active", F.round("mean_active", 9).alias("mean_active"))
+    return spread.concurrency(spans(t), ["event_type"], DAY, "t0", "t1").select("event_type", "max_active", "min_active", F.round("mean_active", 9).alias("mean_active"))
 
 
 @query(f"WITH {_ISLANDS} SELECT user_id, island, a AS start, b AS \"end\", n FROM islands")
@@ -77,7 +78,7 @@ g AS (SELECT event_type, rn - lag(rn) OVER (PARTITION BY event_type, user_id ORD
 SELECT event_type, min(gap) AS least, round(quantile_cont(gap::DOUBLE, 0.05), 6) AS p5 FROM g WHERE gap IS NOT NULL GROUP BY 1
 """)
 def win_reuse_gap(t: Tables):
-    rows = spread.numbered(t.events, ["event_type"], ["ts", "event_id"], "rn")
+    rows = spread.numbered(t.events, ["event_type"], ["ts", "event_id"], micros("ts"), DAY, "rn")
     rows = rows.withColumn("gap", F.col("rn") - F.lag("rn").over(Window.partitionBy("event_type", "user_id").orderBy("rn"))).where("gap is not null")
     return rows.groupBy("event_type").agg(F.min("gap").alias("least"), F.round(F.percentile("gap", 0.05), 6).alias("p5"))
 
@@ -105,7 +106,7 @@ def win_quartile(t: Tables):
 def win_trailing_mean(t: Tables):
     """In whole hundredths, so that the order of additions makes no difference."""
     cents = F.round(F.col("value") * 100).cast("long")
-    rows = spread.over_last(t.events, ["event_type"], ["ts", "event_id"], 1000, {"mean": lambda by: F.sum(cents).over(by).cast("double") / F.count("*").over(by) / 100})
+    rows = spread.over_last(t.events, ["event_type"], ["ts", "event_id"], micros("ts"), DAY, 1000, {"mean": lambda by: F.sum(cents).over(by).cast("double") / F.count("*").over(by) / 100})
     return rows.select("event_id", "mean")
 
 
@@ -117,7 +118,7 @@ r AS (SELECT event_type, run, count(*) AS n FROM g GROUP BY event_type, run, tot
 SELECT event_type, n AS length, count(*) AS gaps FROM r GROUP BY 1, 2
 """)
 def win_gap_sessions(t: Tables):
-    means = spread.over_last(t.events, ["event_type"], ["ts", "event_id"], 1000, {"mean": lambda by: F.avg("value").over(by)})
+    means = spread.over_last(t.events, ["event_type"], ["ts", "event_id"], micros("ts"), DAY, 1000, {"mean": lambda by: F.avg("value").over(by)})
     rows = sequences.runs(means, ["event_type"], ["ts", "event_id"], F.col("value") < 0.063 * F.col("mean"))
     return rows.where("closed").groupBy("event_type", F.col("n").alias("length")).agg(F.count("*").alias("gaps"))
 
@@ -137,7 +138,7 @@ def win_centred_mean(t: Tables):
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS run FROM events")
 def win_prefix(t: Tables):
-    rows = spread.dealt(t.events, ["user_id"], ["ts", "event_id"])
+    rows = spread.dealt(t.events, micros("ts"), DAY)
     return spread.running(rows, ["user_id"], ["ts", "event_id"], "value", "run").select("event_id", F.round("run", 4).alias("run"))
 
 
