@@ -36,16 +36,17 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[label[part]])], names=["u", "v"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, scratch: shared.Scratch | None = None) -> DataFrame:
     """(u long, v long) edges, any order and repeats, to (node, component): each node's smallest reachable node.
 
     Nodes without an edge to another node don't appear. Every round is written to the shared folder. First each
-    partition contracts its own edges, so a hub's edges shrink to one star for each partition before any shuffle.
+    partition contracts its own edges, so a hub's edges shrink to one star for each partition before any shuffle. With a
+    scratch the result must be used before that is cleared.
     """
-    spark = edges.sparkSession
+    table = scratch.table if scratch else shared.table
     norm = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
     mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()  # noqa: E731  of different edges
-    now = shared.table(norm.mapInArrow(shared.tidy(_forest), "u long, v long").distinct(), "edges")
+    now = table(norm.mapInArrow(shared.tidy(_forest), "u long, v long").distinct(), "edges")
     was = mark(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -55,7 +56,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: u and its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = shared.table(small.where("u != v").distinct(), "edges")
+        now = table(small.where("u != v").distinct(), "edges")
         before, was = was, mark(now)
         if before == was:
             break

@@ -200,7 +200,7 @@ def _stars(batches):
                     at = np.flatnonzero(reach == c)[0]
                     bound = overlap_bound(rows[at][None, :], rows[reach != c], n[c], n[rest])
                     rest = rest[linked(bound, n[rest], n[c])]
-                    out.append(np.stack([np.minimum(sid[rest], sid[c]), np.maximum(sid[rest], sid[c])], axis=1))
+                    out.append(np.stack([np.minimum(sid[rest], sid[c]), np.maximum(sid[rest], sid[c]), np.full(len(rest), sid[c])], axis=1))
         yield from _pairs_out(out)
 
 
@@ -225,7 +225,7 @@ def _crossing(best: bool):
                     if best:
                         far = far[np.lexsort((n[far] - 2 * bound, comp[far]))]
                         far = far[np.unique(comp[far], return_index=True)[1]]
-                    out.append(np.stack([np.minimum(sid[far], sid[c]), np.maximum(sid[far], sid[c])], axis=1))
+                    out.append(np.stack([np.minimum(sid[far], sid[c]), np.maximum(sid[far], sid[c]), np.minimum(comp[far], comp[c])], axis=1))
             yield from _pairs_out(out)
 
     return run
@@ -234,9 +234,11 @@ def _crossing(best: bool):
 def _pairs_out(out: list[np.ndarray]):
     if out:
         pairs = np.unique(np.concatenate(out), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(3)], names=["a", "b", "home"])
 
 
+#: Pairs of two sets, and the set or component around which they are verified; so many of one home make another bucket.
+_PAIRS, HOME = "a long, b long, home long", 20_000
 _CELL = ("tile", "low", "high")
 
 
@@ -305,7 +307,7 @@ def _bounded(batches):
                 i = at[s : s + max(1, (1 << 24) // int(w))]
                 bound = overlap_bound(np.stack([fold(bits_a[k], int(w)) for k in i]), np.stack([fold(bits_b[k], int(w)) for k in i]), n_a[i], n_b[i])
                 keep[i] = linked(np.maximum(bound, 0), n_a[i], n_b[i])
-        yield batch.filter(pa.array(keep)).select(["a", "b"])
+        yield batch.filter(pa.array(keep)).select(["a", "b", "home"])
 
 
 #: Where a text without a doc_id stands.
@@ -315,6 +317,7 @@ _LAST = (1 << 63) - 1
 class _Join:
     def __init__(self, docs: DataFrame, doc: str, column: str):
         self.spark, self.buckets = docs.sparkSession, shared.n_buckets(docs.sparkSession)
+        self.scratch = shared.Scratch(self.spark)
         self.docs = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(column).alias("text"), F.xxhash64(column).alias("content"))
         #: A row for each document: doc_id, n (set size), sid (null for the empty set), bits.
         self.rows = shared.table(self.docs.mapInArrow(shared.tidy(_nodes("doc_id", "text")), "doc_id long, n long, sid long, bits binary, content long"), "sets")
@@ -325,24 +328,27 @@ class _Join:
         counted = self.docs.mapInArrow(shared.tidy(_frequent("text")), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
         late = counted.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
         postings = self.docs.mapInArrow(_postings("text", self.buckets, self.spark.sparkContext.broadcast(np.sort(late))), shared.BLOB_SCHEMA)
-        return shared.table(shared.route(postings, self.buckets).mapInArrow(shared.tidy(_tiles), "x long, y long, kind int"), "tiles")
+        return self.scratch.table(shared.route(postings, self.buckets).mapInArrow(shared.tidy(_tiles), "x long, y long, kind int"), "tiles")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of sids that link, as (u, v)."""
+        """The pairs (a, b, home) of sids that link, as (u, v)."""
         side = lambda k: self.nodes.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-        near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(shared.tidy(_bounded), "a long, b long")
-        near = shared.table(near.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(self.buckets)).cast("int")), "pairs")
+        pairs = pairs.groupBy("a", "b").agg(F.min("home").alias("home"))
+        near = self.scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(shared.tidy(_bounded), _PAIRS), "pairs")
+        # Pairs of one home meet in one bucket, so a set travels there once; homes of many pairs have several buckets.
+        homes = near.groupBy("home").agg(F.ceil(F.count("*") / HOME).alias("spread"))
+        near = near.join(homes, "home").withColumn("bucket", F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("b"), F.col("spread"))), F.lit(self.buckets)).cast("int"))
         needed = near.select(F.col("a").alias("sid"), "bucket").unionByName(near.select(F.col("b").alias("sid"), "bucket"))
         sets = self.sets.join(needed.distinct(), "sid").select("bucket", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
         asked = near.select("bucket", "a", "b", F.lit(None).cast("binary").alias("elements"))
-        return shared.table(sets.unionByName(asked).repartitionById(self.buckets, F.col("bucket")).mapInArrow(shared.tidy(_verify), "u long, v long"), "links")
+        return self.scratch.table(sets.unionByName(asked).repartitionById(self.buckets, F.col("bucket")).mapInArrow(shared.tidy(_verify), "u long, v long"), "links")
 
     def members(self, tiles: DataFrame) -> DataFrame:
         """(tile, sid, parts, part): members of larger tiles, and which of the tile's parts they are in."""
         rows = tiles.where("kind = 1").select(F.col("x").alias("tile"), F.col("y").alias("sid"))
         sizes = rows.groupBy("tile").agg(F.ceil(F.count("*") / PART).alias("parts"))
         rows = rows.join(sizes, "tile").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-        return shared.table(rows, "members")
+        return self.scratch.table(rows, "members")
 
     def by_cell(self, members: DataFrame, across: bool) -> DataFrame:
         """Members with their bitmaps, each cell's rows in one partition and next to each other; across: a cell for each two parts."""
@@ -358,20 +364,21 @@ class _Join:
         named = self.nodes.select("sid", "text.at", "text.content").join(named, "sid")
         texts = self.docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("at"), "content", "text").join(named, ["at", "content"])
         #: The sorted set of every node that is in a tile with another one.
-        self.sets = shared.table(texts.select("text", "sid").mapInArrow(shared.tidy(_arrays), "sid long, elements binary"), "arrays")
-        pairs, members = tiles.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")), self.members(tiles)
+        self.sets = self.scratch.table(texts.select("text", "sid").mapInArrow(shared.tidy(_arrays), "sid long, elements binary"), "arrays")
+        pairs, members = tiles.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("x").alias("home")), self.members(tiles)
         large = not shared.empty(members)
         if large:
-            pairs = pairs.unionByName(self.by_cell(members.withColumn("comp", F.lit(None).cast("long")), False).mapInArrow(shared.tidy(_stars), "a long, b long"))
-        found = shared.table(components(self.links(pairs)), "found")
+            pairs = pairs.unionByName(self.by_cell(members.withColumn("comp", F.lit(None).cast("long")), False).mapInArrow(shared.tidy(_stars), _PAIRS))
+        found = shared.table(components(self.links(pairs), scratch=self.scratch), "found")
         if large:
             for best in (True, False):
                 now = members.join(found.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-                now = shared.table(now, "labelled")
+                now = self.scratch.table(now, "labelled")
                 mixed = now.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("tile")
-                more = self.links(self.by_cell(now.join(mixed, "tile"), True).mapInArrow(shared.tidy(_crossing(best)), "a long, b long"))
+                more = self.links(self.by_cell(now.join(mixed, "tile"), True).mapInArrow(shared.tidy(_crossing(best)), _PAIRS))
                 if not shared.empty(more):
-                    found = shared.table(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "found")
+                    found = shared.table(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch=self.scratch), "found")
+        self.scratch.clear()
         return found.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
 
 

@@ -116,9 +116,14 @@ def _pairs(buckets: int, hot):
     return run
 
 
+def _store(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """The shared folder's file system, as tasks' Python can open it, and its path there."""
+    return pa.fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
 def _save(folder: str, name: str, values: np.ndarray) -> None:
     """An array as a file of the shared folder; a task that runs again replaces it by the same one."""
-    fs, path = pa.fs.FileSystem.from_uri(folder)
+    fs, path = _store(folder)
     fresh = f"{path}/.{name}-{uuid.uuid4().hex}"
     with fs.open_output_stream(fresh) as out:
         out.write(values.tobytes())
@@ -133,7 +138,7 @@ def _load(folder: str, name: str, dtype: str) -> np.ndarray:
     if key not in _open_arrays:
         for old in [k for k in _open_arrays if not k.startswith(folder)]:
             del _open_arrays[old]
-        fs, path = pa.fs.FileSystem.from_uri(folder)
+        fs, path = _store(folder)
         path = f"{path}/{name}"
         n = fs.get_file_info(path)
         if n.type == pa.fs.FileType.NotFound or not n.size:

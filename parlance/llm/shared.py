@@ -48,10 +48,28 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and any executor can read it."""
-    spark = df.sparkSession
-    path = new_folder(spark, name) + "/table"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, new_folder(df.sparkSession, name))
+
+
+def _written(df: DataFrame, folder: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(folder + "/table")
+    return df.sparkSession.read.schema(df.schema).parquet(folder + "/table")
+
+
+class Scratch:
+    """Tables that are deleted together, once nothing that is still to run reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.folders.append(new_folder(self.spark, name))
+        return _written(df, self.folders[-1])
+
+    def clear(self) -> None:
+        for folder in self.folders:
+            delete_folder(self.spark, folder)
+        self.folders = []
 
 
 def n_buckets(spark: SparkSession) -> int:

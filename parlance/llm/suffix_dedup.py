@@ -336,16 +336,18 @@ def removed_spans(docs: DataFrame, doc: str = "doc_id", column: str = "text") ->
     buckets = shared.n_buckets(spark)
     place, content = F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)), F.xxhash64(F.coalesce(F.col(column), F.lit("")))
     texts = docs.select(place.alias("doc_id"), F.col(column).alias("text"), content.alias("cid")).where(F.octet_length("text") >= LENGTH)
-    heads = shared.table(texts.select("doc_id", "cid", F.octet_length("text").alias("n")).distinct(), "heads")
-    firsts = shared.table(heads.groupBy("cid", "n").agg(F.min("doc_id").alias("first")), "firsts")
+    scratch = shared.Scratch(spark)
+    heads = scratch.table(texts.select("doc_id", "cid", F.octet_length("text").alias("n")).distinct(), "heads")
+    firsts = scratch.table(heads.groupBy("cid", "n").agg(F.min("doc_id").alias("first")), "firsts")
 
     found = texts.select("text", "cid").mapInArrow(shared.tidy(_anchor_rows(buckets)), _SCHEMA)
     places = shared.route(shared.route(found, buckets).mapInArrow(shared.tidy(_repeated(buckets)), _SCHEMA), buckets).mapInArrow(shared.tidy(_by_text), "cid long, places binary")
-    places = shared.table(places.join(firsts.select("cid", F.col("first").alias("doc_id")), "cid"), "places")
+    places = scratch.table(places.join(firsts.select("cid", F.col("first").alias("doc_id")), "cid"), "places")
     around = texts.join(places, ["doc_id", "cid"]).select("doc_id", "cid", "text", "places").mapInArrow(shared.tidy(_around_rows(buckets)), _SCHEMA)
     spans = shared.route(shared.route(around, buckets).mapInArrow(shared.tidy(_factor_rows(buckets)), _SCHEMA), buckets).mapInArrow(shared.tidy(_merged), "doc_id long, cid long, runs binary")
     copies = heads.join(firsts, ["cid", "n"]).where("doc_id > first").select("doc_id", "cid", F.lit(True).alias("copy"), F.lit(None).cast("binary").alias("runs"))
     marks = shared.table(spans.select("doc_id", "cid", F.lit(False).alias("copy"), "runs").unionByName(copies), "spans")
+    scratch.clear()
 
     keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns), place.alias("doc__"), content.alias("cid__"))
     marks = marks.select(F.col("doc_id").alias("doc__"), F.col("cid").alias("cid__"), F.col("copy").alias("copied__"), F.col("runs").alias("runs__"))
