@@ -62,8 +62,8 @@ def _node_ids(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """A bit for each hash, in a width of four to eight times the set's size."""
-    width = max(64, 1 << int(4 * len(values) - 1).bit_length())
+    """A bit for each hash, in a width of two to four times the set's size: unrelated sets still differ in far more bits than a link allows."""
+    width = max(64, 1 << int(2 * len(values) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(values & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
