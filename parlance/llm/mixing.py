@@ -137,14 +137,12 @@ def mix(docs: DataFrame, seed: int = 42, doc: str = "doc_id", column: str = "tex
 
 
 def taken(docs: DataFrame, seed: int = 42, doc: str = "doc_id", column: str = "text", source: str = "source") -> DataFrame:
-    """mix() with times__ settled: rows of a slot that is taken in part are ranked by the seeded hash."""
+    """mix() with times__ settled: rows of a slot are ranked by the seeded hash, which decides where a slot is taken in part."""
     rows = mix(docs, seed, doc, column, source)
-    whole = rows.where("extra__ = 0 or extra__ = n__").withColumn("times__", F.col("all__") + F.when(F.col("extra__") > 0, 1).otherwise(0))
-    part = rows.where("extra__ > 0 and extra__ < n__")
+    # The rank's keys are those of mix()'s join, so texts are shuffled once.
     rank = F.row_number().over(Window.partitionBy("key__", "size__", "slot__").orderBy("draw__", F.col(doc)))
-    part = part.withColumn("times__", F.col("all__") + F.when(rank <= F.col("extra__"), 1).otherwise(0))
-    keep = [*docs.columns, "size__", "source_size__", "target__", "times__"]
-    return whole.select(*(F.col(f"`{c}`") for c in keep)).unionByName(part.select(*(F.col(f"`{c}`") for c in keep)))
+    rows = rows.withColumn("times__", F.col("all__") + F.when(rank <= F.col("extra__"), 1).otherwise(0))
+    return rows.select(*(F.col(f"`{c}`") for c in [*docs.columns, "size__", "source_size__", "target__", "times__"]))
 
 
 def mixture_report(docs: DataFrame) -> DataFrame:
