@@ -180,7 +180,7 @@ def fp_build(t: Tables):
 
 @query(f"WITH {_VOTES} SELECT a, b, shift::BIGINT AS shift, votes, rank FROM votes")
 def fp_votes(t: Tables):
-    return fingerprints.votes(fingerprints.grams(t.documents)).select("a", "b", F.col("shift").cast("long").alias("shift"), "votes", F.col("rank").cast("long").alias("rank"))
+    return fingerprints.votes(t.documents).select("a", "b", F.col("shift").cast("long").alias("shift"), "votes", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""
@@ -189,15 +189,12 @@ SELECT v.a, v.b, v.shift::BIGINT AS shift, count(*) AS n, round(avg(CASE WHEN x.
 FROM votes v JOIN grams x ON x.doc_id = v.a JOIN grams y ON y.doc_id = v.b AND y.pos = x.pos + v.shift WHERE v.rank = 1 GROUP BY 1, 2, 3
 """)
 def fp_ber(t: Tables):
-    rows = fingerprints.grams(t.documents)
-    return fingerprints.mismatch(rows, fingerprints.votes(rows)).select("a", "b", F.col("shift").cast("long").alias("shift"), "n", "rate")
+    return fingerprints.mismatch(fingerprints.votes(t.documents, best=1)).select("a", "b", F.col("shift").cast("long").alias("shift"), "n", "rate")
 
 
 @query()
 def dedup_near(t: Tables):
-    rows = fingerprints.grams(t.documents)
-    near = fingerprints.mismatch(rows, fingerprints.votes(rows)).where("n >= 10 and rate < 0.2").select("a", "b")
-    return fingerprints.accepted(near, t.documents.select("doc_id"))
+    return fingerprints.near_duplicates(t.documents)
 
 
 @query("""

@@ -153,6 +153,41 @@ def test_greedy_acceptance_depends_on_order(spark):
     assert got == {1: True, 2: False, 3: True, 4: True}
 
 
+def test_frequent_grams_count_as_others_do(spark):
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(2)]
+    rows = [(k, " ".join(f"c{i}" for i in range(20))) for k in range(50)]
+    rows += [(100 + k, f"x{k} {passages[k % 2]} y{k}") for k in range(100)] + [(300, " ".join(passages)), (301, " ".join(passages) + " end")]
+    rows += [(400, "one two three four five"), (401, "one two three four  five"), (402, "a b a b a b a b"), (403, "a b a b a b a b"), (404, "a b a b a b q")]
+    docs = table(spark, rows, "doc_id long, text string")
+    held = {}
+    for k, text in rows:
+        w = text.split()
+        held[k] = [tuple(w[i : i + 4]) for i in range(len(w) - 3)]
+    want, best = {}, {}
+    for a in sorted(held):
+        for b in (x for x in sorted(held) if x > a):
+            n = {}
+            for i, g in enumerate(held[a]):
+                for j, h in enumerate(held[b]):
+                    if g == h:
+                        n[j - i] = n.get(j - i, 0) + 1
+            top = sorted((-v, s) for s, v in n.items() if v >= 2)[:8]
+            want |= {(a, b, s): (-v, r + 1) for r, (v, s) in enumerate(top)}
+            if top:
+                s = top[0][1]
+                over = [held[a][i] == held[b][i + s] for i in range(len(held[a])) if 0 <= i + s < len(held[b])]
+                best[a, b] = (len(over), round(over.count(False) / len(over), 6))
+    found = fingerprints.votes(docs).cache()
+    assert {(r.a, r.b, r["shift"]): (r.votes, r["rank"]) for r in found.collect()} == want
+    assert {(r.a, r.b): (r.n, r.rate) for r in fingerprints.mismatch(found).collect()} == best
+    kept = set()
+    for x in sorted(held):
+        if not any(n >= 10 and rate < 0.2 for y in kept for n, rate in [best.get((y, x), (0, 1.0))]):
+            kept.add(x)
+    assert {r.doc_id for r in fingerprints.near_duplicates(docs).where("accepted").collect()} == kept
+    assert kept & set(range(50)) == {0} and best[300, 301] == (57, 0.0) and 301 not in kept
+
+
 def test_pools(spark):
     rows = table(spark, [("g", k, float(k % 13)) for k in range(40)], "g string, id long, v double")
     balanced = planning.balanced_pool(rows, ["g"], "v", "id", 10, 3).groupBy("quartile").count().collect()
