@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,22 +69,78 @@ FEATURE_WEIGHTS = [1.0, 0.5, 0.5, 0.5, 0.25, 0.25, 0.25]
 
 
 def pair_distances(vectors: DataFrame, weights: list[float] = FEATURE_WEIGHTS) -> DataFrame:
-    """a, b, distance of all ordered pairs of a pool of speakers, which a caller keeps small; language is label."""
+    """a, b, distance of all ordered pairs of speakers, which are as many as their square; language is label."""
     a = vectors.select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), F.col("label").alias("la"))
     b = vectors.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), F.col("label").alias("lb"))
     far = C.weighted_distance(F.col("ea"), F.col("eb"), weights) + F.when(F.col("la") != F.col("lb"), 1.0).otherwise(0.0)
     return a.crossJoin(b).where("a <> b").select("a", "b", far.alias("distance"))
 
 
+#: Rows of a block, and query rows that are compared with a block at once.
+BLOCK, STEP = 8192, 256
+
+
+def _by_blocks(vectors: DataFrame, weights: list[float], reduced, kind: str) -> DataFrame:
+    """What reduced makes of distances (query ids, ids in order, distances; infinite to itself) of every pair of blocks."""
+    k = max(4, -(-vectors.count() // BLOCK))
+    rows = vectors.select("vec_id", "label", F.transform(F.slice("embedding", 1, len(weights)), lambda x: x.cast("double")).alias("e"), F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int").alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    asked = rows.select("vec_id", "label", "e", F.lit(True).alias("asks"), F.col("block").alias("i"), every.alias("j"))
+    other = rows.select("vec_id", "label", "e", F.lit(False).alias("asks"), every.alias("i"), F.col("block").alias("j"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id", ignore_index=True)
+        asks, ids, x, labels = pdf["asks"].to_numpy(bool), pdf["vec_id"].to_numpy(), np.stack(pdf["e"].to_numpy()), pd.factorize(pdf["label"])[0]
+        qi, qx, ql, bi, bx, bl = ids[asks], x[asks], labels[asks], ids[~asks], x[~asks], labels[~asks]
+        out = []
+        for at in range(0, len(qi) if len(bi) else 0, STEP):
+            q = slice(at, at + STEP)
+            d = np.zeros((len(qi[q]), len(bi)))
+            for c, w in enumerate(weights):
+                d += (qx[q, c, None] - bx[None, :, c]) ** 2 * w
+            d = np.sqrt(d) + ((ql[q, None] != bl) & (ql[q, None] >= 0) & (bl >= 0))
+            d[qi[q, None] == bi] = np.inf
+            out.append(reduced(qi[q], bi, d))
+        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in kind.split(", ")])
+
+    return asked.unionByName(other).groupBy("i", "j").applyInPandas(run, kind)
+
+
+def nearest(vectors: DataFrame, weights: list[float] = FEATURE_WEIGHTS) -> DataFrame:
+    """a, b, distance: the nearest other speaker of each (the smallest number on ties of 6 digits), by blocks."""
+
+    def least(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+        d = np.round(d, 6)
+        at = d.argmin(1)
+        rows = pd.DataFrame({"a": a, "b": b[at], "distance": d[np.arange(len(a)), at]})
+        return rows[np.isfinite(rows["distance"])]
+
+    found = _by_blocks(vectors, weights, least, "a long, b long, distance double")
+    return found.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"), F.min("distance").alias("distance"))
+
+
+def distance_sums(vectors: DataFrame, weights: list[float] = FEATURE_WEIGHTS) -> DataFrame:
+    """a, total: the distances of each speaker to all others added up, by blocks."""
+
+    def added(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+        others = np.isfinite(d)
+        return pd.DataFrame({"a": a, "distance": np.where(others, d, 0.0).sum(1)})[others.any(1)]
+
+    return _by_blocks(vectors, weights, added, "a long, distance double").groupBy("a").agg(F.round(F.sum("distance"), 6).alias("total"))
+
+
 def medoid(distances: DataFrame) -> DataFrame:
     """The member whose distances add up to least, the smallest number on ties."""
-    sums = distances.groupBy("a").agg(F.round(F.sum("distance"), 6).alias("total"))
+    return least_total(distances.groupBy("a").agg(F.round(F.sum("distance"), 6).alias("total")))
+
+
+def least_total(sums: DataFrame) -> DataFrame:
     return sums.agg(F.min_by("a", F.struct("total", "a")).alias("medoid"), F.min("total").alias("total"))
 
 
-def nearest_to_medoid(distances: DataFrame, n: int) -> DataFrame:
+def nearest_to_medoid(vectors: DataFrame, n: int, weights: list[float] = FEATURE_WEIGHTS) -> DataFrame:
     """A pool of low diversity: the medoid and those nearest to it."""
-    centre = medoid(distances)
-    near = distances.join(F.broadcast(centre), F.col("a") == F.col("medoid")).select(F.col("b").alias("vec_id"), "distance")
-    near = near.unionByName(centre.select(F.col("medoid").alias("vec_id"), F.lit(0.0).alias("distance")))
+    centre = vectors.join(F.broadcast(least_total(distance_sums(vectors, weights))), F.col("vec_id") == F.col("medoid")).select("medoid", F.col("embedding").alias("em"), F.col("label").alias("lm"))
+    far = C.weighted_distance(F.col("em"), F.col("embedding"), weights) + F.when(F.col("lm") != F.col("label"), 1.0).otherwise(0.0)
+    near = vectors.crossJoin(F.broadcast(centre)).select("vec_id", F.when(F.col("vec_id") == F.col("medoid"), 0.0).otherwise(far).alias("distance"))
     return near.orderBy(F.round("distance", 9), "vec_id").limit(n)

@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 from parlance.operators import curation, fingerprints, intervals, joins, stats
 from parlance.plans.registry import DAY, HOUR, SPANS, Tables, query, spans
 
+#: The SQL of the distances covers these ids only; the queries cover all.
 _FIRST_VECTORS = 100
 
 
-def _pool(t: Tables):
-    """A pool of speakers: the small set that distances of all pairs are meant for."""
-    return t.embeddings.where(F.col("vec_id") < _FIRST_VECTORS)
-
-
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
 def join_inner(t: Tables):
     return t.orders.join(t.customer.where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
@@ -141,18 +137,17 @@ pairs AS (SELECT a.vec_id AS a, b.vec_id AS b,
 
 @query(f"WITH {_PAIRS} SELECT a, b, round(distance, 6) AS distance FROM pairs")
 def pair_distance(t: Tables):
-    return curation.pair_distances(_pool(t)).select("a", "b", F.round("distance", 6).alias("distance"))
+    return curation.pair_distances(t.embeddings).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {_PAIRS} SELECT a, arg_min(b, [round(distance, 6), b]) AS b, round(min(distance), 6) AS distance FROM pairs GROUP BY 1")
 def nearest(t: Tables):
-    rows = curation.pair_distances(_pool(t)).withColumn("distance", F.round("distance", 6))
-    return rows.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"), F.min("distance").alias("distance"))
+    return curation.nearest(t.embeddings)
 
 
 @query(f"WITH {_PAIRS}, sums AS (SELECT a, round(sum(distance), 6) AS total FROM pairs GROUP BY 1) SELECT arg_min(a, [total, a]) AS medoid, min(total) AS total FROM sums")
 def medoid(t: Tables):
-    return curation.medoid(curation.pair_distances(_pool(t)))
+    return curation.least_total(curation.distance_sums(t.embeddings))
 
 
 @query(f"""
@@ -161,7 +156,7 @@ near AS (SELECT b AS vec_id, distance FROM pairs, m WHERE a = medoid UNION ALL S
 SELECT vec_id, round(distance, 6) AS distance FROM near ORDER BY round(distance, 9), vec_id LIMIT 20
 """)
 def pool_low(t: Tables):
-    return curation.nearest_to_medoid(curation.pair_distances(_pool(t)), 20).select("vec_id", F.round("distance", 6).alias("distance"))
+    return curation.nearest_to_medoid(t.embeddings, 20).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 _GRAMS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
