@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.operators import intervals
+from parlance.operators import intervals, spread
 
 
 def generator(seed: int, *name: object) -> np.random.Generator:
@@ -46,23 +46,41 @@ def balanced_pool(speakers: DataFrame, keys: list[str], value: str, number: str,
 
 
 def spread_pool(vectors: DataFrame, keys: list[str], number: str, vector: str, size: int, seed: int) -> DataFrame:
-    """keys, pick, number: a pool of high diversity: again and again one of the three members farthest from those picked."""
+    """keys, pick, number: a first member by chance, then in each round one of the three farthest from all before.
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(number, ignore_index=True)
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
-        rng = generator(seed, "spread", *key)
-        picks = [int(rng.integers(len(x)))]
-        far = np.linalg.norm(x - x[picks[0]], axis=1)
-        while len(picks) < min(size, len(x)):
-            far[picks] = -1
-            best = np.argsort(-far, kind="stable")[: min(3, len(x) - len(picks))]
-            picks.append(int(rng.choice(best)))
-            far = np.minimum(far, np.linalg.norm(x - x[picks[-1]], axis=1))
-        return pd.DataFrame({**{k: [v] * len(picks) for k, v in zip(keys, key, strict=True)}, "pick": range(len(picks)), "number": pdf[number].to_numpy()[picks]})
-
-    kinds = ", ".join(f"{k} {vectors.schema[k].dataType.simpleString()}" for k in keys)
-    return vectors.select(*keys, number, vector).groupBy(*keys).applyInPandas(run, f"{kinds}, pick int, number long")
+    A round is a broadcast of each group's last pick, a new least distance of each row and the first three of each group,
+    so no task has a whole group.
+    """
+    held = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+    rows = vectors.select(*keys, F.to_json(F.struct(*keys)).alias("g__"), number, F.transform(vector, lambda x: x.cast("double")).alias("v__"))
+    groups = rows.groupBy("g__").agg(*(F.first(k).alias(k) for k in keys), F.count("*").alias("n__"))
+
+    def draw(parts):
+        for pdf in parts:
+            out = []
+            for g, names, n in zip(pdf["g__"], pdf["names__"], pdf["n__"], strict=True):
+                rng = generator(seed, "spread", *names)
+                out.append((g, 0, int(rng.integers(n))))
+                out += [(g, r, int(rng.choice(min(3, n - r)))) for r in range(1, min(size, n))]
+            yield pd.DataFrame(out, columns=["g__", "pick", "draw__"])
+
+    names = F.array(*(F.col(k).cast("string") for k in keys)).alias("names__")
+    drawn = held(groups.select("g__", names, "n__").mapInPandas(draw, "g__ string, pick int, draw__ long"))
+    place = spread.numbered(rows.select("g__", number), ["g__"], [number], F.col(number), 1 << 16, "place__")
+    first = place.join(F.broadcast(drawn.where("pick = 0")), "g__").where("place__ = draw__ + 1").select("g__", number, "pick")
+    last = held(rows.join(F.broadcast(first), ["g__", number]).select("g__", number, "pick", "v__"))
+    picks, left = last, rows.select("g__", number, "v__", F.lit(float("inf")).alias("far__"))
+    for r in range(1, size):
+        before = last.select("g__", F.col(number).alias("last__"), F.col("v__").alias("p__"))
+        squares = F.zip_with("v__", "p__", lambda x, y: (x - y) * (x - y))
+        far = F.least("far__", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)))
+        left = held(left.join(F.broadcast(before), "g__").select("g__", number, "v__", F.when(F.col(number) == F.col("last__"), -1.0).otherwise(far).alias("far__")))
+        rank = F.row_number().over(Window.partitionBy("g__").orderBy(F.desc("far__"), number))
+        best = left.where("far__ >= 0").select("g__", number, "far__").withColumn("rank__", rank).where("rank__ <= 3")
+        chosen = best.join(F.broadcast(drawn.where(F.col("pick") == r)), "g__").where("rank__ = draw__ + 1").select("g__", number, "pick")
+        last = held(left.join(F.broadcast(chosen), ["g__", number]).select("g__", number, "pick", "v__"))
+        picks = picks.unionByName(last)
+    return picks.join(groups, "g__").select(*keys, "pick", F.col(number).cast("long").alias("number"))
 
 
 def matched_pool(speakers: DataFrame, keys: list[str], number: str, value: str, size: int) -> DataFrame:

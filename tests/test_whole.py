@@ -1,9 +1,11 @@
 """Queries over whole tables and whole values, where their SQL has a part of them."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from parlance import plans
+from parlance.operators import planning
 from tests.test_oracles import DATA, TABLES, rows
 
 
@@ -20,3 +22,20 @@ def test_distances_cover_all_vectors(spark, duck, name):
     sql = plans.ORACLES[name].replace(" WHERE vec_id < 100", "")
     assert sql != plans.ORACLES[name]
     assert rows(plans.QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(sql).df())
+
+
+def test_spread_pool_picks_from_all_vectors(spark):
+    vectors = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas()
+    want = set()
+    for label, pdf in vectors.groupby("label"):
+        pdf = pdf.sort_values("vec_id", ignore_index=True)
+        x, rng = np.stack(pdf["embedding"].to_numpy()).astype(float), planning.generator(7, "spread", label)
+        picks = [int(rng.integers(len(x)))]
+        far = np.linalg.norm(x - x[picks[0]], axis=1)
+        while len(picks) < min(6, len(x)):
+            far[picks] = -1
+            picks.append(int(rng.choice(np.argsort(-far, kind="stable")[: min(3, len(x) - len(picks))])))
+            far = np.minimum(far, np.linalg.norm(x - x[picks[-1]], axis=1))
+        want |= {(label, k, int(pdf["vec_id"][p])) for k, p in enumerate(picks)}
+    got = {tuple(r) for r in plans.QUERIES["pool_high"](spark, DATA).collect()}
+    assert got == want and any(number >= 400 for _, _, number in got)
