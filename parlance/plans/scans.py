@@ -80,8 +80,8 @@ def range_read(t: Tables):
 @query("SELECT doc_id, source, left(replace(text, chr(10), ' '), 40) AS head FROM documents")
 def csv_parse(t: Tables):
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    line = F.concat_ws(",", F.col("doc_id").cast("string"), quoted(F.col("source")), quoted(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 40)))
-    parsed = t.documents.select(F.from_csv(line, "doc_id long, source string, head string", {"quote": '"', "escape": '"', "mode": "FAILFAST", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("r"))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), quoted(F.col("source")), quoted(F.col("text")))
+    parsed = t.documents.select(F.from_csv(line, "doc_id long, source string, head string", {"quote": '"', "escape": '"', "mode": "FAILFAST", "multiLine": "true", "maxCharsPerColumn": "-1", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("r"))
     return parsed.select("r.doc_id", "r.source", F.coalesce("r.head", F.lit("")).alias("head"))
 
 
@@ -158,7 +158,7 @@ def clip_events(t: Tables):
 
 @query("SELECT vec_id, list_transform(list_slice(embedding, 1, 4), lambda x: round(pow(10.0, x::DOUBLE / 10), 6)) AS power FROM embeddings")
 def db_to_power(t: Tables):
-    return t.embeddings.select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.round(C.power(x.cast("double")), 6)).alias("power"))
+    return t.embeddings.select("vec_id", F.transform("embedding", lambda x: F.round(C.power(x.cast("double")), 6)).alias("power"))
 
 
 @query("""

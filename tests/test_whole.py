@@ -39,3 +39,19 @@ def test_spread_pool_picks_from_all_vectors(spark):
         want |= {(label, k, int(pdf["vec_id"][p])) for k, p in enumerate(picks)}
     got = {tuple(r) for r in plans.QUERIES["pool_high"](spark, DATA).collect()}
     assert got == want and any(number >= 400 for _, _, number in got)
+
+
+def test_csv_parse_keeps_whole_texts(spark, tmp_path):
+    odd = ['"', 'a "quoted", b', "line\nbreak\r\nand\rmore", "\n", " spaces ", "\\", 'back\\"slash\\', "", ",", "tab\tüñ ", "x" * 200_000, 'y""', "#", "\n\n\"\n"]
+    spark.createDataFrame([(k, x, "s\"0,\n") for k, x in enumerate(odd)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), DATA):
+        want = {r.doc_id: (r.source, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+        got = {r.doc_id: (r.source, r["head"]) for r in plans.QUERIES["csv_parse"](spark, folder).collect()}
+        assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {} and len(got) == len(want)
+
+
+@pytest.mark.parametrize("name", ["db_to_power", "array_l2"])
+def test_all_components_are_given(spark, duck, name):
+    sql = plans.ORACLES[name].replace("list_slice(embedding, 1, 4)", "embedding")
+    assert sql != plans.ORACLES[name]
+    assert rows(plans.QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(sql).df())
