@@ -36,19 +36,20 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[label[part]])], names=["u", "v"])
 
 
-def components(edges: DataFrame, rounds: int = 60, scratch: shared.Scratch | None = None) -> DataFrame:
+def components(edges: DataFrame, scratch: shared.Scratch | None = None) -> DataFrame:
     """(u long, v long) edges, any order and repeats, to (node, component): each node's smallest reachable node.
 
-    Nodes without an edge to another node don't appear. Every round is written to the shared folder. First each
-    partition contracts its own edges, so a hub's edges shrink to one star for each partition before any shuffle. With a
-    scratch the result must be used before that is cleared.
+    Nodes without an edge to another node don't appear. Rounds go on until no edge changes (their number is about the
+    logarithm of the longest path); every round is written to the shared folder. First each partition contracts
+    its own edges, so a hub's edges shrink to one star for each partition before any shuffle. With a scratch the result
+    must be used before that is cleared.
     """
     table = scratch.table if scratch else shared.table
     norm = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
     mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()  # noqa: E731  of different edges
     now = table(norm.mapInArrow(shared.tidy(_forest), "u long, v long").distinct(), "edges")
     was = mark(now)
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         # Large star: every larger neighbour of u goes to the smallest one around u.
@@ -59,5 +60,4 @@ def components(edges: DataFrame, rounds: int = 60, scratch: shared.Scratch | Non
         now = table(small.where("u != v").distinct(), "edges")
         before, was = was, mark(now)
         if before == was:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
