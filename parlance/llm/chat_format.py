@@ -47,7 +47,8 @@ def format_chats(rows: DataFrame, template: Template = CHAT) -> DataFrame:
 
     Turns are in order of turn, ties by role and text, nulls first. A null role or text counts as empty. Every
     conversation is formatted; n_out_of_order counts the turns that the machine doesn't allow, and one more if it
-    doesn't stop in a final state. Rows with a null conv_id are one conversation. Other columns are ignored.
+    doesn't stop in a final state. Rows with a null conv_id are one conversation. Other columns are ignored. A
+    conversation is one row, so all its turns must fit into a task's memory (and 2 GB of text).
     """
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("has"), F.coalesce("turn", F.lit(0)).alias("turn"), blank("role").alias("role"), blank("text").alias("text")))).alias("turns"))
@@ -96,21 +97,34 @@ def chat_digests(rows: DataFrame) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.col("n_out_of_order").cast("long").alias("n_out_of_order"))
 
 
-#: The same from the rows, where DuckDB can say it: what is read back must be what went in.
+#: The same from the rows, where DuckDB can say it: what is read back must be what went in. The machine is walked turn by turn.
 DIGESTS_SQL = r"""
-WITH rows AS (
+WITH RECURSIVE rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 moved AS (
-  SELECT *, lag(role) OVER w AS before, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+  SELECT *, row_number() OVER w AS k,
     replace(replace(replace(role, '\', '\s'), chr(10), '\n'), '<|', '<\p') AS safe_role,
     replace(replace(replace(text, '\', '\s'), chr(10), '\n'), '<|', '<\p') AS safe_text
-  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+moves(state, role, next) AS (VALUES
+  ('start', 'system', 'system'), ('start', 'user', 'user'), ('system', 'user', 'user'), ('user', 'assistant', 'assistant'),
+  ('assistant', 'user', 'user'), ('assistant', 'tool', 'tool'), ('tool', 'assistant', 'assistant')),
+walk(conv_id, k, state, wrong) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 'start', 0::BIGINT FROM rows
+  UNION ALL
+  SELECT w.conv_id, m.k, coalesce(t.next, w.state), w.wrong + CASE WHEN t.next IS NULL THEN 1 ELSE 0 END
+  FROM walk w JOIN moved m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.k = w.k + 1
+  LEFT JOIN moves t ON t.state = w.state AND t.role = m.role),
+stopped AS (
+  SELECT conv_id, arg_max(wrong, k) + CASE WHEN arg_max(state, k) = 'assistant' THEN 0 ELSE 1 END AS n_out_of_order
+  FROM walk GROUP BY conv_id)
+SELECT d.*, s.n_out_of_order FROM (
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(12 + length(safe_role) + 1 + length(safe_text) + 11)::BIGINT AS formatted_chars
-FROM moved GROUP BY conv_id
+FROM moved GROUP BY conv_id) d JOIN stopped s ON s.conv_id IS NOT DISTINCT FROM d.conv_id
 """
