@@ -3,7 +3,7 @@
 On unit vectors the largest cosine is the smallest chord, which is a metric. A shard's tree splits its vectors by their
 distance to a vantage point. A query that has found its k-th nearest at distance r needs the far side of a split at
 distance m only if |d - m| <= r; this bound is relaxed to factor * |d - m| <= r, so 1 is exact search and larger factors
-visit less. A task takes one shard and one block of queries, and moves the whole block through the tree at once.
+visit less. A task takes one shard, builds its tree once, and moves queries through it a batch at a time.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from parlance.llm import shared
 
-#: Vectors of a shard and queries of a block, at most about; vectors of a leaf.
-SHARD, BLOCK, LEAF = 16_384, 4_096, 128
+#: Vectors of a shard, at most about, and of a leaf.
+SHARD, LEAF = 8_192, 128
 
 
 def usable(column: str = "embedding"):
@@ -65,6 +65,8 @@ class Tree:
                     name = np.where(which >= 0, ids[which], np.iinfo(np.int64).max)
                     top = np.lexsort((name, -every), axis=1)[:, :k]
                     best[a], row[a] = np.take_along_axis(every, top, 1), np.take_along_axis(which, top, 1)
+                    # A query's own row isn't found, not even where there are fewer than k others.
+                    row[a] = np.where(np.isneginf(best[a]), -1, row[a])
                 return
             point, middle, near, far = self.nodes[node]
             d = chord(queries[active] @ self.unit[point])
@@ -84,35 +86,68 @@ def chord(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * cosine, 0))
 
 
-def _matrix(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
-    return [np.asarray(x, np.float64) for x in batch.column(column).to_pylist()]
+def _vectors(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """All components of a batch's vectors, one after the other, and where each begins (n + 1 cuts)."""
+    col = batch.column(column)
+    cuts = col.offsets.to_numpy()
+    return col.values.to_numpy(zero_copy_only=False)[cuts[0] : cuts[-1]], cuts - cuts[0]
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    # Scaled first: squares of very large or small components would leave the range.
-    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+def _by_length(flat: np.ndarray, cuts: np.ndarray):
+    """(rows, matrix) of the vectors of each length."""
+    n = np.diff(cuts)
+    for length in np.unique(n):
+        rows = np.flatnonzero(n == length)
+        yield rows, flat[cuts[rows][:, None] + np.arange(length)]
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors whose squares stay within the range of doubles: only very large or small ones change, by a power of two."""
+    most = np.frexp(np.abs(vectors).max(axis=1))[1]
+    return np.ldexp(vectors, np.where(np.abs(most) > 400, -most, 0)[:, None])
+
+
+def _norm(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.cumsum(vectors * vectors, axis=1)[:, -1])
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of rows of two matrices; products are added up from the first component to the last."""
+    return np.cumsum(a * b, axis=1)[:, -1] / (_norm(a) * _norm(b))
 
 
 def _search(k: int, factor: float):
+    """A shard's rows, its vectors before the queries, to each query's k nearest of them: a tree for each length of vector, through which queries go a batch at a time."""
+
     def run(batches):
-        cells: dict[tuple, tuple[list, list, list, list]] = {}
+        held: dict[int, list] = {}
+        trees: dict[int, tuple] = {}
         for batch in batches:
-            for shard, block, is_query, vec, v in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "is_query", "vec_id")), _matrix(batch, "embedding"), strict=True):
-                ids, vectors, q_ids, queries = cells.setdefault((shard, block, len(v)), ([], [], [], []))
-                (q_ids if is_query else ids).append(vec)
-                (queries if is_query else vectors).append(v)
-        for ids, vectors, q_ids, queries in cells.values():
-            if not ids or not q_ids:
+            if not batch.num_rows:
+                continue
+            asks = np.asarray(batch.column("is_query").to_numpy(zero_copy_only=False), bool)
+            vec, vectors = batch.column("vec_id").to_numpy(), list(_by_length(*_vectors(batch, "embedding")))
+            for rows, matrix in vectors:
+                own = ~asks[rows]
+                if own.any():
+                    held.setdefault(matrix.shape[1], []).append((vec[rows[own]], matrix[own]))
+            if not asks.any():
                 continue
-            order = np.argsort(np.array(ids, np.int64), kind="stable")
-            ids, unit = np.array(ids, np.int64)[order], _unit(np.stack(vectors)[order])
-            q_ids, q_unit = np.array(q_ids, np.int64), _unit(np.stack(queries))
-            cos, rows = Tree(unit).search(q_unit, q_ids, ids, k, factor)
-            q, j = np.nonzero(rows >= 0)
-            found = rows[q, j]
-            score = np.clip((q_unit[q] * unit[found]).sum(axis=1), -1, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(ids[found]), pa.array(score)], names=["query_id", "vec_id", "score"])
+            for length, parts in held.items():
+                ids, every = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(ids, kind="stable")
+                every = _scaled(every[order])
+                trees[length] = ids[order], every, Tree(every / _norm(every)[:, None])
+            held = {}
+            for rows, matrix in vectors:
+                rows, matrix = rows[asks[rows]], _scaled(matrix[asks[rows]])
+                if not len(rows) or matrix.shape[1] not in trees:
+                    continue
+                ids, every, tree = trees[matrix.shape[1]]
+                cos, found = tree.search(matrix / _norm(matrix)[:, None], vec[rows], ids, k, factor)
+                q, j = np.nonzero(found >= 0)
+                at = found[q, j]
+                yield pa.RecordBatch.from_arrays([pa.array(vec[rows][q]), pa.array(ids[at]), pa.array(cosine(matrix[q], every[at]))], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -122,19 +157,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
 
     Both have vec_id and embedding (numbers); rows with a null vec_id, and vectors that usable() excludes, take no part.
     Vectors of different lengths aren't compared. A repeated vec_id counts as one vector of that id for each different
-    row. With factor 1 the result is exact. An empty table gives an empty result.
+    row. With factor 1 the result is exact. An empty table gives an empty result. Vectors are shuffled once, to their
+    shards; queries go to every shard, which an exact search can't avoid. A shard of equal vectors is one leaf.
     """
     spark = vectors.sparkSession
     slim = lambda df: df.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     vectors, queries = slim(vectors).distinct(), slim(queries).distinct()
     shards = max(1, -(-vectors.count() // SHARD))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    spread = lambda df, n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "embedding"), F.lit(n)).cast("int")
-    sides = vectors.withColumn("shard", spread(vectors, shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("is_query", F.lit(False))
-    asked = queries.withColumn("block", spread(queries, blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("is_query", F.lit(True))
-    cells = sides.unionByName(asked).withColumn("cell", F.col("shard") * blocks + F.col("block"))
-    found = cells.repartitionById(shards * blocks, F.col("cell")).select("shard", "block", "is_query", "vec_id", "embedding").mapInArrow(shared.tidy(_search(k, factor)), "query_id long, vec_id long, score double")
-    found = shared.table(found, "near")
+    sides = vectors.withColumns({"shard": F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"), "is_query": F.lit(False)})
+    asked = queries.withColumns({"shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), "is_query": F.lit(True)})
+    dealt = sides.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("is_query")
+    found = shared.table(dealt.select("is_query", "vec_id", "embedding").mapInArrow(shared.tidy(_search(k, factor)), "query_id long, vec_id long, score double"), "near")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
