@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from parlance.llm.chat_format import DIGESTS_SQL, chat_digests
 from parlance.llm.jaccard_join import jaccard_components
@@ -39,7 +38,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_digests(_read(spark, sf_dir, "conversations")).drop("n_out_of_order")
+    return chat_digests(_read(spark, sf_dir, "conversations"))
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +46,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Rounded as its SQL is: sums of products in another order differ in the last bits.
-    return vector_neighbours(_read(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 12))
+    return vector_neighbours(_read(spark, sf_dir, "embeddings"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +83,14 @@ ORACLES = {
     "op7_vp_tree_neighbours": """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND list_sum(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0
+    AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
 n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.norm * c.norm) AS score
   FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
-SELECT query_id, rank, vec_id, round(score, 12) AS score FROM (
+SELECT query_id, rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) t
 WHERE rank <= 5
 """,
