@@ -3,9 +3,11 @@
 1. A document's ids (and a closing id 0) are cut into pieces only where they exceed the capacity. Full pieces are
    sequences by themselves.
 2. The other pieces are dealt to partitions by a hash, so each has a similar mix of lengths, and packed there by best-fit
-   decreasing. A lower bound certifies a partition whose bin count equals it.
-3. Partitions exchange documents: each gives up its least filled bins, groups of partitions pool them and run best-fit
-   decreasing again, and keep the new bins if they are fewer. This repeats over groups of groups until one is left.
+   decreasing. A lower bound certifies a partition whose bin count equals it: its bins are final (so a partition of
+   PIECES pieces may have one bin more than its share of the whole).
+3. Partitions with a gap between bins and bound exchange documents: each gives up its least filled bins, groups of
+   partitions pool them and run best-fit decreasing again, and keep the new bins if they are fewer. What is certified
+   then is final, the rest goes to groups of groups, until one is left or nothing is given up.
 """
 
 from __future__ import annotations
@@ -202,7 +204,7 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return np.array(where, np.int64), np.array(offset, np.int64), np.array(full, np.int64)
 
 
-_PACKED = "part long, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, given boolean, certified boolean"
+_PACKED = "part long, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, given boolean, certified boolean, bins long, bound long"
 
 
 def _pack(capacity: int, give: int):
@@ -215,8 +217,10 @@ def _pack(capacity: int, give: int):
         if "old" in pdf and len(full) >= pdf["old"].nunique():
             where, offset = pd.factorize(pdf["old"])[0].astype(np.int64), pdf["offset"].to_numpy()
             full = np.bincount(where, lengths).astype(np.int64)
-        out = pdf.assign(bin=where, offset=offset, certified=len(full) == lower_bound(lengths, capacity))
-        loose = np.argsort(full, kind="stable")[:give]
+        bound = lower_bound(lengths, capacity)
+        out = pdf.assign(bin=where, offset=offset, certified=len(full) == bound, bins=len(full), bound=bound)
+        # The certificate decides: no other packing of these pieces has fewer bins, so they stay.
+        loose = np.argsort(full, kind="stable")[: give if len(full) > bound else 0]
         given = np.zeros(len(full), bool)
         given[loose[full[loose] < capacity]] = True
         return out.assign(given=given[where])[[c.split()[0] for c in _PACKED.split(", ")]]
@@ -231,28 +235,30 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc: str =
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces() with sequence_id, offset, and certified: whether the last partition that packed the piece met its lower bound.
+    """pieces() with sequence_id, offset, and certified, bins and bound of the last partition that packed the piece: whether it met its lower bound, and both numbers.
 
-    Ties in length go by doc_id and piece. Equal rows are pieces of their own.
+    Ties in length go by doc_id and piece. Equal rows are pieces of their own, dealt to partitions by their place in the
+    table of pieces, so repeated rows or null doc_ids don't meet in one.
     """
     cut = shared.table(cut, "pieces")
     whole = cut.where(F.col("length") >= capacity)
     rest = cut.where(F.col("length") < capacity)
+    # The place of a row in a written table is the same whenever it is read with the same settings.
     parts = max(1, -(-rest.count() // PIECES))
-    now = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    now = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts)))
     done, level = [], 0
     while True:
         last = parts == 1
         schema = _PACKED
         packed = shared.table(now.groupBy("part").applyInPandas(_pack(capacity, 0 if last else GIVEN), schema), "packed")
         done.append(packed.where("not given").withColumn("sequence_id", (F.lit(level << 54) + F.shiftleft("part", 20) + F.col("bin"))))
-        if last:
+        if last or shared.empty(packed.where("given")):
             break
         now = packed.where("given").withColumn("old", F.shiftleft("part", 20) + F.col("bin")).withColumn("part", F.floor(F.col("part") / POOL).cast("long"))
         now = now.select("part", "doc_id", "piece", "start", "length", "ids_crc32", "old", "offset")
         parts, level = -(-parts // POOL), level + 1
-    out = whole.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "certified": F.lit(True)})
-    cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"]
+    out = whole.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "certified": F.lit(True), "bins": F.lit(1).cast("long"), "bound": F.lit(1).cast("long")})
+    cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified", "bins", "bound"]
     out = out.select(cols)
     for d in done:
         out = out.unionByName(d.select(cols))
