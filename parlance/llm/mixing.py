@@ -113,16 +113,20 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, seed: int = 42, doc: str = "doc_id", column: str = "text", source: str = "source") -> DataFrame:
     """docs with size__, source_size__, target__ and times__: how often the mix takes the row (0 to MOST).
 
+    Where a column of docs ends in two underscores, these have more; see shared.namer().
+
     Null texts have size 0; rows of size 0 are never taken. A null source is a source of its own, last in order. Equal
     rows are rows of their own; which of them is taken makes no difference, and reruns agree. Columns keep their names;
     an empty table gives an empty result.
     """
-    base = docs.select(*(F.col(f"`{c}`") for c in docs.columns), n_words(F.col(column)).alias("size__"))
+    n = shared.namer(docs.columns)
+    base = docs.select(*(F.col(f"`{c}`") for c in docs.columns), n_words(F.col(column)).alias(n("size")))
     # Null can't be a join key: sources are told apart by a key that has none.
-    base = base.withColumn("key__", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("null")))
-    base = base.withColumn("draw__", F.xxhash64(F.lit(seed), F.col(doc), "size__"))
-    base = base.withColumn("slot__", F.shiftrightunsigned("draw__", 54).cast("int"))
-    slots = base.groupBy(F.col("key__").alias("key"), F.col(source).alias("source"), F.col("size__").alias("size"), F.col("slot__").alias("slot")).agg(F.count("*").alias("n"))
+    base = base.withColumn(n("key"), F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("null")))
+    # With the text in it, rows without a doc_id, or of one doc_id, are dealt to all slots too.
+    base = base.withColumn(n("draw"), F.xxhash64(F.lit(seed), F.col(doc), n("size"), F.col(column)))
+    base = base.withColumn(n("slot"), F.shiftrightunsigned(n("draw"), 54).cast("int"))
+    slots = base.groupBy(F.col(n("key")).alias("key"), F.col(source).alias("source"), F.col(n("size")).alias("size"), F.col(n("slot")).alias("slot")).agg(F.count("*").alias("n"))
     slots = shared.table(slots, "slots")
     lengths = slots.groupBy("key", "source", "size").agg(F.sum("n").alias("n"))
     sources = shared.table(targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "targets")
@@ -132,26 +136,31 @@ def mix(docs: DataFrame, seed: int = 42, doc: str = "doc_id", column: str = "tex
     before = F.sum("n").over(Window.partitionBy("key", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
     cuts = slots.join(plan, ["key", "size"]).withColumn("before", F.coalesce(before, F.lit(0)))
     cuts = cuts.withColumn("extra", F.least(F.greatest(F.col("more") - F.col("before"), F.lit(0)), "n")).join(sources, "key")
-    cuts = cuts.select(F.col("key").alias("key__"), F.col("size").alias("size__"), F.col("slot").alias("slot__"), F.col("times").alias("all__"), F.col("extra").alias("extra__"), F.col("n").alias("n__"), F.col("source_size").alias("source_size__"), F.col("target").alias("target__"))
-    return base.join(cuts, ["key__", "size__", "slot__"])
+    cuts = cuts.select(F.col("key").alias(n("key")), F.col("size").alias(n("size")), F.col("slot").alias(n("slot")), F.col("times").alias(n("all")), F.col("extra").alias(n("extra")), F.col("n").alias(n("n")), F.col("source_size").alias(n("source_size")), F.col("target").alias(n("target")))
+    # Merged, never broadcast: there are as many slots as there are documents, up to SLOTS for each source and length; and
+    # taken() needs rows by these keys anyway.
+    return base.join(cuts.hint("merge"), [n("key"), n("size"), n("slot")])
 
 
 def taken(docs: DataFrame, seed: int = 42, doc: str = "doc_id", column: str = "text", source: str = "source") -> DataFrame:
     """mix() with times__ settled: rows of a slot are ranked by the seeded hash, which decides where a slot is taken in part."""
+    n = shared.namer(docs.columns)
     rows = mix(docs, seed, doc, column, source)
     # The rank's keys are those of mix()'s join, so texts are shuffled once.
-    rank = F.row_number().over(Window.partitionBy("key__", "size__", "slot__").orderBy("draw__", F.col(doc)))
-    rows = rows.withColumn("times__", F.col("all__") + F.when(rank <= F.col("extra__"), 1).otherwise(0))
-    return rows.select(*(F.col(f"`{c}`") for c in [*docs.columns, "size__", "source_size__", "target__", "times__"]))
+    rank = F.row_number().over(Window.partitionBy(n("key"), n("size"), n("slot")).orderBy(n("draw"), F.col(doc)))
+    rows = rows.withColumn(n("times"), F.col(n("all")) + F.when(rank <= F.col(n("extra")), 1).otherwise(0))
+    return rows.select(*(F.col(f"`{c}`") for c in [*docs.columns, *map(n, ("size", "source_size", "target", "times"))]))
 
 
 def mixture_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes of it, repeats counted) of every row."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    return taken(slim).select("doc_id", F.col("size__").alias("size"), F.col("source_size__").alias("source_size"), F.col("target__").alias("target"), (F.col("size__") * F.col("times__")).alias("taken"))
+    n = shared.namer(slim.columns)
+    return taken(slim).select("doc_id", F.col(n("size")).alias("size"), F.col(n("source_size")).alias("source_size"), F.col(n("target")).alias("target"), (F.col(n("size")) * F.col(n("times"))).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     """docs as the mix has them: rows that it takes, as often as it takes them."""
-    rows = taken(docs, seed).where("times__ > 0")
-    return rows.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("times__")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    n = shared.namer(docs.columns)
+    rows = taken(docs, seed).where(F.col(n("times")) > 0)
+    return rows.withColumn(n("copy"), F.explode(F.sequence(F.lit(1), F.col(n("times"))))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -147,5 +147,13 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+def namer(columns: list[str]) -> Callable[[str], str]:
+    """Names for working columns that none of these columns has: a name with two underscores behind it, or more."""
+    mark = "__"
+    while any(c.endswith(mark) for c in columns):
+        mark += "_"
+    return lambda name: name + mark
+
+
 def empty(df: DataFrame) -> bool:
     return not df.take(1)
