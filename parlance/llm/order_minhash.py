@@ -1,11 +1,12 @@
 """Order MinHash: fingerprints of whole texts that follow edit distance, and each text's likeness to another.
 
 A text's k-mers of code points are numbered by occurrence (the second "abcd" isn't the first), and each numbered k-mer has
-one random value. The value's high bits choose one of COMPONENTS slots; in each slot the TUPLE smallest are selected, put
-back into text order, and their hashes, as a tuple, are hashed to the slot's component. A slot with fewer than TUPLE
-holds what it has; one with none is empty. Two texts' likeness is the share of equal components among the slots that
-either fills (1 if neither fills any). Moving a passage changes the order within tuples, so it lowers the likeness, as it
-raises edit distance; plain MinHash would not notice.
+one random value. Component c selects the TUPLE k-mers whose values come first from c / COMPONENTS of the way round the
+circle of values, puts them back into text order, and hashes their values as a tuple. One value serves all components: a
+text of many k-mers has enough in each arc of the circle, and in one of few the arcs overlap, so that a component always
+has TUPLE k-mers, if the text does. Two texts' likeness is the share of equal components (1 if both are empty). Moving a
+passage changes the order within tuples, so it lowers the likeness, as it raises edit distance; plain MinHash would not
+notice.
 """
 
 from __future__ import annotations
@@ -19,52 +20,60 @@ from pyspark.sql import functions as F
 
 from parlance.llm import shared, text
 
-#: Code points of a k-mer, components of a fingerprint (a power of two), and k-mers of a tuple.
+#: Code points of a k-mer, components of a fingerprint, and k-mers of a tuple.
 GRAM, COMPONENTS, TUPLE = 8, 64, 2
+#: Up to so many bits of a hash make room for the place of its k-mer; more k-mers are sorted with their places apart.
+PLACE_BITS = 16
 _U64 = np.uint64
-_SHIFT = _U64(64 - COMPONENTS.bit_length() + 1)
+_ARCS = np.array([(c << 64) // COMPONENTS for c in range(COMPONENTS)], _U64)
 
 
-def fingerprint(s: str) -> np.ndarray:
-    """A text's components, 0 for an empty slot. A text shorter than a k-mer is its own only k-mer; the empty one has none."""
-    code = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype(_U64)
-    out = np.zeros(COMPONENTS, _U64)
-    if not len(code):
-        return out
+def _order(h: np.ndarray) -> np.ndarray:
+    """Places in order of their hashes, equal hashes in text order."""
+    bits = int(len(h) - 1).bit_length()
+    if bits > PLACE_BITS:
+        return np.argsort(h, kind="stable")
+    # The place goes into the low bits, so one sort without indices does; 48 bits at least tell hashes apart.
+    low = (_U64(1) << _U64(bits)) - _U64(1)
+    return (np.sort((h & ~low) | np.arange(len(h), dtype=_U64)) & low).astype(np.int64)
+
+
+def _k_mers(code: np.ndarray) -> np.ndarray:
+    """A hash of each k-mer of code points; fewer code points are one k-mer."""
     n = max(1, len(code) - GRAM + 1)
     grams = np.zeros(n, _U64)
     for j in range(min(GRAM, len(code))):
         grams = grams * _U64(0x9E3779B97F4A7C15) + code[j : j + n] + _U64(1)
-    grams = text.mix(grams)
-    # The place goes into the low bits, so one sort brings equal k-mers together in text order.
-    bits = _U64(max(1, int(n - 1).bit_length()))
-    low = (_U64(1) << bits) - _U64(1)
-    packed = np.sort((grams & ~low) | np.arange(n, dtype=_U64))
-    gram, place = packed & ~low, packed & low
+    return text.mix(grams)
+
+
+def fingerprint(s: str) -> np.ndarray:
+    """A text's components. A text shorter than a k-mer is its own only k-mer; the empty one's components are 0."""
+    code = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype(_U64)
+    if not len(code):
+        return np.zeros(COMPONENTS, _U64)
+    grams = _k_mers(code)
+    n = len(grams)
+    place = _order(grams)
+    bits = _U64(max(0, min(int(n - 1).bit_length(), PLACE_BITS)))
+    gram = grams[place] >> bits if n <= 1 << PLACE_BITS else grams[place]
     fresh = np.r_[True, gram[1:] != gram[:-1]]
     index = np.arange(n)
-    occurrence = index - np.maximum.accumulate(np.where(fresh, index, 0))
-    value = text.mix(grams[place.astype(np.int64)] + occurrence.astype(_U64) * _U64(0xD1342543DE82EF95))
-    # The same trick orders values, slot by slot.
-    chosen = np.sort((value & ~low) | place)
-    start = np.searchsorted(chosen >> _SHIFT, np.arange(COMPONENTS + 1, dtype=_U64))
-    by_place = np.empty(n, _U64)
-    by_place[place.astype(np.int64)] = value
-    have = np.minimum(np.diff(start), TUPLE)
-    for size in range(1, TUPLE + 1):
-        slots = np.flatnonzero(have == size)
-        if len(slots):
-            places = np.sort((chosen[start[slots][:, None] + np.arange(size)] & low).astype(np.int64), axis=1)
-            h = np.full(len(slots), size, _U64)
-            for j in range(size):
-                h = text.mix(h * _U64(0xA0761D6478BD642F) + by_place[places[:, j]])
-            out[slots] = np.maximum(h, _U64(1))
-    return out
+    occurrence = np.empty(n, _U64)
+    occurrence[place] = index - np.maximum.accumulate(np.where(fresh, index, 0))
+    value = text.mix(grams + occurrence * _U64(0xD1342543DE82EF95))
+    by_value = _order(value)
+    first = np.searchsorted(value[by_value], _ARCS)
+    size = min(n, TUPLE)
+    chosen = np.sort(by_value[(first[:, None] + np.arange(size)) % n], axis=1)
+    out = np.full(COMPONENTS, size, _U64)
+    for j in range(size):
+        out = text.mix(out * _U64(0xA0761D6478BD642F) + value[chosen[:, j]])
+    return np.maximum(out, _U64(1))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    filled = (a != 0) | (b != 0)
-    return float((a == b)[filled].mean()) if filled.any() else 1.0
+    return float((a == b).mean())
 
 
 def _as_text(fp: np.ndarray) -> str:
