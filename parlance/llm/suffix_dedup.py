@@ -9,13 +9,13 @@ that can match meet in one shard, and only anchors that occur at least twice nee
 
 1. every text's anchors go to the bucket of their hash; those that repeat come back as positions of their texts;
 2. texts with repeated anchors send, for each, the bytes around it (at most 2 * LENGTH - k) to its bucket;
-3. a bucket sorts the suffixes that start there, by their first LENGTH bytes (by a hash of them: only whether a common
-   prefix reaches LENGTH matters) and then by place in the corpus. Where neighbours agree in all LENGTH bytes, the one
-   before is the previous smaller position, and the factor is long enough; the next smaller position lies beyond the
-   run, where the common prefix is shorter;
+3. a bucket puts the suffixes that start there into suffix order (by their first LENGTH bytes: whether a common prefix
+   reaches LENGTH is all that matters). The previous and the next smaller place in the corpus give each one's longest
+   previous factor; where that reaches LENGTH, the string starts earlier too;
 4. the spans of each text are merged and cut out.
 
-Equal texts count once (a later copy of LENGTH bytes or more goes as a whole). In steps 1 and 2 a task settles what
+Equal texts count once (a later copy of LENGTH bytes or more goes as a whole); they are told by a 64-bit hash and their
+length, so among m texts about m^2 / 2^65 pairs of one length are taken for equal. Strings are compared byte for byte. In steps 1 and 2 a task settles what
 repeats within its own portion and sends on only the first of each, so a passage that everybody quotes reaches its
 bucket once for each portion of a task.
 """
@@ -68,16 +68,59 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return grams[place[fresh]], place[fresh], start[fresh], start[np.r_[fresh[1:] - 1, len(start) - 1]]
 
 
+def _bytes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The first length bytes (8 or more) of each start as big-endian words, whose order is that of the bytes."""
+    at = np.minimum(np.arange(0, length, 8), length - 8)
+    return np.stack([data[(starts + k)[:, None] + np.arange(8)].view(">u8").ravel() for k in at]).astype(_U64)
+
+
 def suffix_order(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The starts (given in corpus order) in suffix order, and which agree with the one before in all length bytes.
+    """Starts in suffix order (by their first length bytes, equal ones as given), and whose common prefix with the one before reaches the length.
 
-    Only whether a common prefix reaches the length matters, so suffixes are ordered by a hash of their first length
-    bytes instead of the bytes: equal ones are next to each other either way, and stay in corpus order among themselves.
+    Only starts whose length bytes occur more than once can have a factor that long, so the others, told by a hash, are
+    left out first. Of the rest, those of one hash are compared byte for byte with the first of them, and the different
+    strings are sorted by their bytes.
     """
     whole = window_hashes(data, length)[starts]
     order = np.argsort(whole, kind="stable")
-    whole = whole[order]
-    return order, np.r_[False, whole[1:] == whole[:-1]][: len(whole)]
+    new = np.r_[True, whole[order[1:]] != whole[order[:-1]]][: len(order)]
+    many = ~(new & np.r_[new[1:], True][: len(new)])
+    order, new = order[many], new[many]
+    if not len(order):
+        return order, new
+    which, first = np.cumsum(new) - 1, order[new]
+    same = np.ones(len(order), bool)
+    for s in range(0, len(order), 1 << 16):
+        part = slice(s, s + (1 << 16))
+        same[part] = (_bytes(data, starts[order[part]], length) == _bytes(data, starts[first[which[part]]], length)).all(axis=0)
+    if not same.all():
+        # Different strings of one hash: all are named by their bytes instead.
+        _, first, which = np.unique(_bytes(data, starts[order], length), axis=1, return_index=True, return_inverse=True)
+        first, which = order[first], which.ravel()
+    rank = np.empty(len(first), np.int64)
+    rank[np.lexsort(_bytes(data, starts[first], length)[::-1])] = np.arange(len(first))
+    by = np.lexsort((order, rank[which]))
+    order, rank = order[by], rank[which][by]
+    return order, np.r_[False, rank[1:] == rank[:-1]]
+
+
+def factors(order: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Which suffixes of a suffix order have a longest previous factor that reaches the length.
+
+    It is the longer one of the common prefixes with the previous and the next smaller place in suffix order. Both are
+    looked for among neighbours whose common prefixes reach the length (same: with the one before), by pointers that skip
+    whatever stands later in the corpus.
+    """
+    n = len(order)
+    found = np.zeros(n, bool)
+    for near in (np.where(same, np.arange(n) - 1, -1), np.where(np.r_[same[1:], False][:n], np.arange(n) + 1, -1)):
+        open_ = np.flatnonzero(near >= 0)
+        while len(open_):
+            open_ = open_[order[near[open_]] > order[open_]]
+            near[open_] = near[near[open_]]
+            open_ = open_[near[open_] >= 0]
+        found |= near >= 0
+    return found
 
 
 def _spans_of(doc: np.ndarray, cid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -213,10 +256,10 @@ class _Portion:
         row = np.repeat(corpus, n)
         at = _runs(n, lo.astype(np.int64)[corpus])
         order, same = suffix_order(self.raw, _runs(n, self.begin[corpus]))
-        # In a run of equal prefixes the one before is the previous smaller position: an earlier match.
-        later = order[same]
+        later = np.zeros(len(row), bool)
+        later[order[factors(order, same)]] = True
         first = np.zeros(len(doc), bool)
-        first[row[order[~same]]] = True
+        first[row[~later]] = True
         return (doc[row[later]], cid[row[later]], at[later]), first
 
     def pick(self, keep: np.ndarray) -> _Portion:
@@ -330,7 +373,8 @@ def removed_spans(docs: DataFrame, doc: str = "doc_id", column: str = "text") ->
 
     The order is by doc_id (null last) and start. Rows with the same doc_id and different texts are different texts of
     one place (the smaller hash first); fully equal rows are the same text and get the same runs. Texts under LENGTH
-    bytes and empty ones lose nothing. All columns of docs are kept; an empty table gives an empty result.
+    bytes and empty ones lose nothing. All columns of docs are kept (where one ends in two underscores, the new ones have
+    more, see shared.namer()); an empty table gives an empty result.
     """
     spark = docs.sparkSession
     buckets = shared.n_buckets(spark)
@@ -349,10 +393,11 @@ def removed_spans(docs: DataFrame, doc: str = "doc_id", column: str = "text") ->
     marks = shared.table(spans.select("doc_id", "cid", F.lit(False).alias("copy"), "runs").unionByName(copies), "spans")
     scratch.clear()
 
-    keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns), place.alias("doc__"), content.alias("cid__"))
-    marks = marks.select(F.col("doc_id").alias("doc__"), F.col("cid").alias("cid__"), F.col("copy").alias("copied__"), F.col("runs").alias("runs__"))
-    joined = keyed.join(marks, ["doc__", "cid__"], "left")
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("copied__", F.lit(False)).alias("copy__"), "runs__")
+    name = shared.namer(docs.columns)
+    keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns), place.alias(name("doc")), content.alias(name("cid")))
+    marks = marks.select(F.col("doc_id").alias(name("doc")), F.col("cid").alias(name("cid")), F.col("copy").alias(name("copied")), F.col("runs").alias(name("runs")))
+    joined = keyed.join(marks, [name("doc"), name("cid")], "left")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(name("copied"), F.lit(False)).alias(name("copy")), name("runs"))
 
 
 def cut(raw: bytes, copy: bool, runs: bytes | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -387,15 +432,15 @@ def removal_digests(docs: DataFrame, doc: str = "doc_id", column: str = "text")
     return removed_spans(slim).select("doc_id", "text", "copy__", "runs__").mapInArrow(shared.tidy(_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _cut_texts(column: str):
+def _cut_texts(column: str, copied: str, spans: str):
     def run(batches):
         for batch in batches:
             kept = []
-            for s, copy, runs in zip(batch.column(column), batch.column("copy__").to_pylist(), batch.column("runs__"), strict=True):
+            for s, copy, runs in zip(batch.column(column), batch.column(copied).to_pylist(), batch.column(spans), strict=True):
                 s, runs = s.as_py(), runs.as_py()
                 kept.append(cut(s.encode(), copy, runs)[0].decode("utf-8", "ignore") if s and (copy or runs) else s)
             fresh = pa.array(kept, batch.schema.field(column).type)
-            names = [c for c in batch.schema.names if c not in ("copy__", "runs__")]
+            names = [c for c in batch.schema.names if c not in (copied, spans)]
             yield pa.RecordBatch.from_arrays([fresh if c == column else batch.column(c) for c in names], names=names)
 
     return run
@@ -403,4 +448,5 @@ def _cut_texts(column: str):
 
 def remove_repeats(docs: DataFrame, doc: str = "doc_id", column: str = "text") -> DataFrame:
     """docs with repeated strings cut out of their texts; a code point that loses some of its bytes loses all. Null stays null."""
-    return removed_spans(docs, doc, column).mapInArrow(shared.tidy(_cut_texts(column)), docs.schema)
+    name = shared.namer(docs.columns)
+    return removed_spans(docs, doc, column).mapInArrow(shared.tidy(_cut_texts(column, name("copy"), name("runs"))), docs.schema)
