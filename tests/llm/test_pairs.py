@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import jaccard_join, suffix_dedup
 from parlance.llm.components import components
@@ -69,6 +70,38 @@ def test_join_of_large_groups(spark, monkeypatch, part):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked_groups(rows)
 
 
+def test_hot_group_makes_few_pairs(spark, monkeypatch):
+    """A group twice as large has about twice the pairs, not four times."""
+    made = []
+    links = jaccard_join._Join.links
+
+    def counted(self, pairs):
+        pairs = self.scratch.table(pairs, "seen")
+        made[-1] += pairs.count()
+        return links(self, pairs)
+
+    monkeypatch.setattr(jaccard_join._Join, "links", counted)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(80)]
+    for size in (60, 120):
+        rows = []
+        for k in range(size):
+            t = list(base)
+            t[rng.randrange(80)] = word()
+            rows.append((k, " ".join(t)))
+        made.append(0)
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked_groups(rows)
+    assert made[1] < 3 * made[0]
+
+
+def test_join_over_many_portions(odd_docs, odd_rows):
+    """Copies, near copies and passages in portions of different tasks."""
+    got = jaccard_join.jaccard_components(odd_docs.repartition(9)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked_groups([r[:2] for r in odd_rows])
+
+
 def test_bit_counts_bound_overlap_from_above():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -123,6 +156,41 @@ def test_dedup_in_small_portions(spark, monkeypatch):
     assert Counter(tuple(r) for r in got) == removed(rows)
 
 
+def test_dedup_with_colliding_hashes(monkeypatch):
+    """Hashes of three bits: strings are removed for their bytes, never for their hash."""
+    rng = random.Random(7)
+    parts = ["".join(rng.choice("ab") for _ in range(rng.randint(90, 150))) for _ in range(6)]
+    rows = [(k, "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))) for k in range(20)]
+    weak = suffix_dedup.window_hashes
+    monkeypatch.setattr(suffix_dedup, "window_hashes", lambda data, n: weak(data, n) & np.uint64(7))
+    raw = [t.encode() for _, t in rows]
+    start = [np.arange(len(t) - 99) for t in raw]
+    cols = [np.zeros(len(raw), np.uint64), np.arange(len(raw)), np.arange(len(raw)), np.zeros(len(raw), np.int32), np.array([len(x) for x in start])]
+    (doc, _, at), _ = suffix_dedup._Portion(cols, np.frombuffer(b"".join(raw), np.uint8)).settle()
+    seen, want = set(), set()
+    for k, t in enumerate(raw):
+        for p in range(len(t) - 99):
+            (want if t[p : p + 100] in seen else set()).add((k, p))
+            seen.add(t[p : p + 100])
+    assert set(zip(doc.tolist(), at.tolist(), strict=True)) == want
+
+
+def test_factors_in_any_order_of_equal_strings():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        names = np.sort(rng.integers(0, 8, 40))
+        order = rng.permutation(40)
+        same = np.r_[False, names[1:] == names[:-1]]
+        want = [any(order[j] < order[i] for j in np.flatnonzero(names == names[i])) for i in range(40)]
+        assert suffix_dedup.factors(order, same).tolist() == want
+
+
+def test_dedup_with_clashing_columns(odd_docs):
+    clash = odd_docs.withColumns({c: F.lit(7) for c in ("copy__", "runs__", "doc__", "cid__", "copied__")})
+    got = suffix_dedup.remove_repeats(clash)
+    assert got.columns == clash.columns and got.agg(F.sum("copy__")).first()[0] == 7 * odd_docs.count()
+
+
 def test_cut_keeps_whole_code_points(spark):
     passage = "".join(chr(0x100 + k) for k in range(60))
     # The matches begin in the middle of the second text's first accented letter.
