@@ -24,18 +24,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without a doc_id can't be named as a group's document, and stay.
     """
-    groups = jaccard_components(docs)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("stay__")).distinct()
-    named = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("stay__"), "left_semi")
+    groups, name = jaccard_components(docs), shared.namer(docs.columns)
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias(name("stay"))).distinct()
+    named = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col(name("stay")), "left_semi")
     again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    named = named.withColumn("again__", again).where("again__ = 1").drop("again__")
+    named = named.withColumn(name("again"), again).where(F.col(name("again")) == 1).drop(name("again"))
     return named.unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without strings that earlier ones (or they themselves) have already; one that loses its whole text goes."""
-    out = suffix_dedup.remove_repeats(docs.withColumn("had__", F.length("text") > 0))
-    out = out.where("not coalesce(had__, false) or length(text) > 0").drop("had__")
+    had = shared.namer(docs.columns)("had")
+    out = suffix_dedup.remove_repeats(docs.withColumn(had, F.coalesce(F.length("text") > 0, F.lit(False))))
+    out = out.where(~F.col(had) | (F.length("text") > 0)).drop(had)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else out
 
 
