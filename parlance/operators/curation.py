@@ -68,24 +68,16 @@ def within_spread(rows: DataFrame, keys: list[str], value: str, limit: float, po
 FEATURE_WEIGHTS = [1.0, 0.5, 0.5, 0.5, 0.25, 0.25, 0.25]
 
 
-def pair_distances(vectors: DataFrame, weights: list[float] = FEATURE_WEIGHTS) -> DataFrame:
-    """a, b, distance of all ordered pairs of speakers, which are as many as their square; language is label."""
-    a = vectors.select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), F.col("label").alias("la"))
-    b = vectors.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), F.col("label").alias("lb"))
-    far = C.weighted_distance(F.col("ea"), F.col("eb"), weights) + F.when(F.col("la") != F.col("lb"), 1.0).otherwise(0.0)
-    return a.crossJoin(b).where("a <> b").select("a", "b", far.alias("distance"))
-
-
 #: Rows of a block, and query rows that are compared with a block at once.
 BLOCK, STEP = 8192, 256
 
 
-def _by_blocks(vectors: DataFrame, weights: list[float], reduced, kind: str) -> DataFrame:
-    """What reduced makes of distances (query ids, ids in order, distances; infinite to itself) of every pair of blocks."""
+def _by_blocks(vectors: DataFrame, weights: list[float], reduced, kind: str, asking: Column | None = None) -> DataFrame:
+    """What reduced makes of distances (query ids, ids in order, distances; infinite to itself) of every pair of blocks; asking: which rows are queries."""
     k = max(4, -(-vectors.count() // BLOCK))
     rows = vectors.select("vec_id", "label", F.transform(F.slice("embedding", 1, len(weights)), lambda x: x.cast("double")).alias("e"), F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int").alias("block"))
     every = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    asked = rows.select("vec_id", "label", "e", F.lit(True).alias("asks"), F.col("block").alias("i"), every.alias("j"))
+    asked = (rows if asking is None else rows.where(asking)).select("vec_id", "label", "e", F.lit(True).alias("asks"), F.col("block").alias("i"), every.alias("j"))
     other = rows.select("vec_id", "label", "e", F.lit(False).alias("asks"), every.alias("i"), F.col("block").alias("j"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -93,7 +85,7 @@ def _by_blocks(vectors: DataFrame, weights: list[float], reduced, kind: str) ->
         asks, ids, x, labels = pdf["asks"].to_numpy(bool), pdf["vec_id"].to_numpy(), np.stack(pdf["e"].to_numpy()), pd.factorize(pdf["label"])[0]
         qi, qx, ql, bi, bx, bl = ids[asks], x[asks], labels[asks], ids[~asks], x[~asks], labels[~asks]
         out = []
-        for at in range(0, len(qi) if len(bi) else 0, STEP):
+        for at in range(0, len(qi) if len(bi) and len(qi) else 0, STEP):
             q = slice(at, at + STEP)
             d = np.zeros((len(qi[q]), len(bi)))
             for c, w in enumerate(weights):
@@ -106,6 +98,16 @@ def _by_blocks(vectors: DataFrame, weights: list[float], reduced, kind: str) ->
     return asked.unionByName(other).groupBy("i", "j").applyInPandas(run, kind)
 
 
+def query_distances(vectors: DataFrame, every: int = 100, weights: list[float] = FEATURE_WEIGHTS) -> DataFrame:
+    """a, b, distance of each speaker whose number is divisible by every, to all other speakers, by blocks; language is label."""
+
+    def given(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(np.isfinite(d))
+        return pd.DataFrame({"a": a[i], "b": b[j], "distance": d[i, j]})
+
+    return _by_blocks(vectors, weights, given, "a long, b long, distance double", F.col("vec_id") % every == 0)
+
+
 def nearest(vectors: DataFrame, weights: list[float] = FEATURE_WEIGHTS) -> DataFrame:
     """a, b, distance: the nearest other speaker of each (the smallest number on ties of 6 digits), by blocks."""
 

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 from parlance.operators import curation, fingerprints, intervals, joins, stats
 from parlance.plans.registry import DAY, HOUR, SPANS, Tables, query, spans
 
-#: The SQL of the distances covers these ids only; the queries cover all.
-_FIRST_VECTORS = 100
-
-
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
 def join_inner(t: Tables):
     return t.orders.join(t.customer.where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
@@ -129,15 +125,15 @@ def join_theta_self(t: Tables):
 
 
 _WEIGHTS = "[1.0, 0.5, 0.5, 0.5, 0.25, 0.25, 0.25]"
-_PAIRS = f"""pool AS (SELECT vec_id, label, list_transform(list_slice(embedding, 1, 7), lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id < {_FIRST_VECTORS}),
+_PAIRS = f"""pool AS (SELECT vec_id, label, list_transform(list_slice(embedding, 1, 7), lambda x: x::DOUBLE) AS e FROM embeddings),
 pairs AS (SELECT a.vec_id AS a, b.vec_id AS b,
   sqrt(list_sum(list_transform(range(1, 8), lambda i: {_WEIGHTS}[i] * (a.e[i] - b.e[i]) * (a.e[i] - b.e[i])))) + CASE WHEN a.label <> b.label THEN 1.0 ELSE 0.0 END AS distance
   FROM pool a JOIN pool b ON a.vec_id <> b.vec_id)"""
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, round(distance, 6) AS distance FROM pairs")
+@query(f"WITH {_PAIRS} SELECT a, b, round(distance, 6) AS distance FROM pairs WHERE a % 100 = 0")
 def pair_distance(t: Tables):
-    return curation.pair_distances(t.embeddings).select("a", "b", F.round("distance", 6).alias("distance"))
+    return curation.query_distances(t.embeddings).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {_PAIRS} SELECT a, arg_min(b, [round(distance, 6), b]) AS b, round(min(distance), 6) AS distance FROM pairs GROUP BY 1")
@@ -162,10 +158,9 @@ def pool_low(t: Tables):
 _GRAMS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
 grams AS (SELECT doc_id, i - 1 AS pos, array_to_string(list_slice(w, i, i + 3), ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4) x)"""
 _VOTES = f"""{_GRAMS},
-rare AS (SELECT gram FROM grams GROUP BY 1 HAVING count(DISTINCT doc_id) BETWEEN 2 AND 40),
-kept AS (SELECT g.* FROM grams g JOIN rare USING (gram)),
-counted AS (SELECT a.doc_id AS a, b.doc_id AS b, b.pos - a.pos AS shift, count(*) AS votes FROM kept a JOIN kept b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2, 3 HAVING count(*) >= 2),
-votes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY votes DESC, shift) AS rank FROM counted) x WHERE rank <= 8)"""
+counted AS (SELECT a.doc_id AS a, b.doc_id AS b, b.pos - a.pos AS shift, count(*) AS votes FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  WHERE a.doc_id % 100 = 0 AND b.pos % 4 = 0 GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+votes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY votes DESC, b, shift) AS rank FROM counted) x WHERE rank <= 8)"""
 
 
 @query(f"WITH {_GRAMS} SELECT doc_id, count(*) AS n, count(DISTINCT gram) AS n_distinct FROM grams GROUP BY 1")
@@ -173,18 +168,27 @@ def fp_build(t: Tables):
     return fingerprints.grams(t.documents).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("gram").alias("n_distinct"))
 
 
+_asking = lambda: F.col("doc_id") % 100 == 0
+
+
 @query(f"WITH {_VOTES} SELECT a, b, shift::BIGINT AS shift, votes, rank FROM votes")
 def fp_votes(t: Tables):
-    return fingerprints.votes(t.documents).select("a", "b", F.col("shift").cast("long").alias("shift"), "votes", F.col("rank").cast("long").alias("rank"))
+    """Texts whose doc_id is divisible by 100 ask the index of all."""
+    return fingerprints.search(t.documents, _asking()).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""
-WITH {_VOTES}
-SELECT v.a, v.b, v.shift::BIGINT AS shift, count(*) AS n, round(avg(CASE WHEN x.gram <> y.gram THEN 1.0 ELSE 0.0 END), 6) AS rate
-FROM votes v JOIN grams x ON x.doc_id = v.a JOIN grams y ON y.doc_id = v.b AND y.pos = x.pos + v.shift WHERE v.rank = 1 GROUP BY 1, 2, 3
+WITH {_VOTES}, hashed AS (SELECT doc_id, pos, ('0x' || left(md5(gram), 8))::BIGINT AS x FROM grams),
+rated AS (
+  SELECT v.a, v.b, v.shift::BIGINT AS shift, v.rank, count(*) AS n, sum(bit_count(xor(x.x, y.x))) / (count(*) * 32.0) AS rate
+  FROM votes v JOIN hashed x ON x.doc_id = v.a JOIN hashed y ON y.doc_id = v.b AND y.pos = x.pos + v.shift GROUP BY 1, 2, 3, 4)
+SELECT a, b, shift, n, round(rate, 6) AS rate,
+  n >= 10 AND rate < 0.2 AND row_number() OVER (PARTITION BY a ORDER BY CASE WHEN n >= 10 AND rate < 0.2 THEN 0 ELSE 1 END, rate, rank) = 1 AS best
+FROM rated
 """)
 def fp_ber(t: Tables):
-    return fingerprints.mismatch(fingerprints.votes(t.documents, best=1)).select("a", "b", F.col("shift").cast("long").alias("shift"), "n", "rate")
+    found = fingerprints.search(t.documents, _asking())
+    return fingerprints.best_matches(fingerprints.bit_errors(t.documents, found)).select("a", "b", "shift", "n", F.round("rate", 6).alias("rate"), "best")
 
 
 @query()

@@ -111,7 +111,7 @@ def array_dot(t: Tables):
     return t.embeddings.select("vec_id", F.round(C.dot(F.col("embedding"), F.col("embedding")), 6).alias("dot"))
 
 
-@query("SELECT vec_id, list_transform(list_slice(embedding, 1, 4), lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * embedding[i]::DOUBLE))), 6)) AS unit FROM embeddings")
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * embedding[i]::DOUBLE))), 6)) AS unit FROM embeddings")
 def array_l2(t: Tables):
     return t.embeddings.select("vec_id", F.transform(C.unit_power(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
 

@@ -77,7 +77,7 @@ def range_read(t: Tables):
     return curation.frame_range(t.events, "user_id", ["ts", "event_id"], "value", 40, 40)
 
 
-@query("SELECT doc_id, source, left(replace(text, chr(10), ' '), 40) AS head FROM documents")
+@query("SELECT doc_id, source, coalesce(text, '') AS head FROM documents")
 def csv_parse(t: Tables):
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(",", F.col("doc_id").cast("string"), quoted(F.col("source")), quoted(F.col("text")))
@@ -156,7 +156,7 @@ def clip_events(t: Tables):
     return rows.select("event_id", F.greatest("t0", F.lit(a)).alias("t0"), F.least("t1", F.lit(b)).alias("t1")).where("t0 < t1")
 
 
-@query("SELECT vec_id, list_transform(list_slice(embedding, 1, 4), lambda x: round(pow(10.0, x::DOUBLE / 10), 6)) AS power FROM embeddings")
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(pow(10.0, x::DOUBLE / 10), 6)) AS power FROM embeddings")
 def db_to_power(t: Tables):
     return t.embeddings.select("vec_id", F.transform("embedding", lambda x: F.round(C.power(x.cast("double")), 6)).alias("power"))
 
