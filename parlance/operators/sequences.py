@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from parlance.operators import spread
+
 
 def runs(df: DataFrame, keys: list[str], order: list[str], flag: Column) -> DataFrame:
     """keys, run, n, first, last, closed: stretches of rows in a row for which the flag holds; closed: another row follows."""
@@ -71,12 +73,20 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, r
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def exponential_average(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float) -> DataFrame:
-    """df's keys and order with ema: s += alpha * (x - s), begun with the first value; a recursion over one key's rows."""
-
-    def run(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(ema=pdf[value].ewm(alpha=alpha, adjust=False).mean())[[*keys, *order, "ema"]]
+def exponential_average(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, at: Column, width: int) -> DataFrame:
+    """df's keys and order with ema: s += alpha * (x - s), begun with the first value. at and width: see spread.numbered().
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(*keys, *order, value).groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, *order]) + ", ema double")
+    What lies so far back that its weight is under 1e-18 can't change a double, so an average is a weighted sum over the
+    rows before it: one window over a block of rows, whose weights rise with their place. No task has a whole key.
+    """
+    from math import ceil, log
+
+    reach = ceil(log(1e-18) / log(1 - alpha)) + 1
+    rows = spread.numbered(df.select(*keys, *order, F.col(value).cast("double").alias("x__")), keys, order, at, width, "n__")
+    # Weights stay within the range of doubles: a block is as long as the reach, and sees one block before it.
+    rows = rows.withColumn("block__", F.floor((F.col("n__") - 1) / reach)).withColumn("in__", F.explode(F.array("block__", F.col("block__") + 1)))
+    grown = F.pow(F.lit(1 - alpha), -((F.col("n__") - 1) - (F.col("in__") - 1) * reach))
+    first = F.when(F.col("n__") == 1, 1.0).otherwise(alpha)
+    by = Window.partitionBy(*keys, "in__").orderBy("n__").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("ema", F.sum(F.col("x__") * first * grown).over(by) / grown)
+    return out.where("in__ = block__").select(*keys, *order, "ema")

@@ -220,6 +220,9 @@ def anchors(t: Tables):
     return intervals.anchors(islands_of(t), spans(t), ["user_id"], lead_in=8 * HOUR, remaining=2 * DAY, window=DAY, speech=100_000_000)
 
 
-@query()
+@query("""
+WITH n AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+SELECT a.event_id, round(sum(b.value * pow(0.8, a.n - b.n) * CASE WHEN b.n = 1 THEN 1.0 ELSE 0.2 END), 6) AS ema FROM n a JOIN n b ON a.user_id = b.user_id AND b.n <= a.n GROUP BY 1
+""")
 def ema(t: Tables):
-    return sequences.exponential_average(t.events, ["user_id"], ["ts", "event_id"], "value", 0.2).select("event_id", F.round("ema", 6).alias("ema"))
+    return sequences.exponential_average(t.events, ["user_id"], ["ts", "event_id"], "value", 0.2, micros("ts"), DAY).select("event_id", F.round("ema", 6).alias("ema"))
