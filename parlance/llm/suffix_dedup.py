@@ -68,10 +68,39 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return grams[place[fresh]], place[fresh], start[fresh], start[np.r_[fresh[1:] - 1, len(start) - 1]]
 
 
-def _bytes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """The first length bytes (8 or more) of each start as big-endian words, whose order is that of the bytes."""
-    at = np.minimum(np.arange(0, length, 8), length - 8)
-    return np.stack([data[(starts + k)[:, None] + np.arange(8)].view(">u8").ravel() for k in at]).astype(_U64)
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a big-endian number, so that numbers are in the order of the bytes."""
+    return np.ndarray((len(data) - 7,), ">u8", np.ascontiguousarray(data), strides=(1,))
+
+
+def _steps(length: int) -> np.ndarray:
+    """Where the words begin that cover length bytes (8 or more); the last may overlap the one before."""
+    return np.minimum(np.arange(0, length, 8), length - 8)
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    words, out = _words(data), np.ones(len(a), bool)
+    for k in _steps(length):
+        out &= words[a + k] == words[b + k]
+    return out
+
+
+def _ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Places of strings in byte order, equal ones at the same: sorted by a word, then those that tie by the next."""
+    words = _words(data)
+    order, place, open_ = np.arange(len(starts)), np.zeros(len(starts), np.int64), np.arange(len(starts))
+    for k in _steps(length):
+        w, tied = words[starts[order[open_]] + k].astype(_U64), place[open_]
+        by = np.lexsort((w, tied))
+        order[open_], w = order[open_][by], w[by]
+        new = np.r_[True, (w[1:] != w[:-1]) | (tied[1:] != tied[:-1])][: len(w)]
+        place[open_] = open_[np.flatnonzero(new)][np.cumsum(new) - 1]
+        open_ = open_[~(new & np.r_[new[1:], True][: len(new)])]
+        if not len(open_):
+            break
+    out = np.empty(len(starts), np.int64)
+    out[order] = place
+    return out
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -89,19 +118,22 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     if not len(order):
         return order, new
     which, first = np.cumsum(new) - 1, order[new]
-    same = np.ones(len(order), bool)
-    for s in range(0, len(order), 1 << 16):
-        part = slice(s, s + (1 << 16))
-        same[part] = (_bytes(data, starts[order[part]], length) == _bytes(data, starts[first[which[part]]], length)).all(axis=0)
-    if not same.all():
-        # Different strings of one hash: all are named by their bytes instead.
-        _, first, which = np.unique(_bytes(data, starts[order], length), axis=1, return_index=True, return_inverse=True)
-        first, which = order[first], which.ravel()
-    rank = np.empty(len(first), np.int64)
-    rank[np.lexsort(_bytes(data, starts[first], length)[::-1])] = np.arange(len(first))
-    by = np.lexsort((order, rank[which]))
-    order, rank = order[by], rank[which][by]
-    return order, np.r_[False, rank[1:] == rank[:-1]]
+    if _equal(data, starts[order], starts[first[which]], length).all():
+        rank = _ranks(data, starts[first], length)
+        # Whole runs of equal strings move to where their first one ranks.
+        size = np.bincount(which)
+        by = np.argsort(rank)
+        begin = np.empty(len(rank), np.int64)
+        begin[by] = np.cumsum(size[by]) - size[by]
+        out = np.empty_like(order)
+        out[begin[which] + np.arange(len(order)) - np.flatnonzero(new)[which]] = order
+        same = np.ones(len(order), bool)
+        same[begin] = False
+        return out, same
+    # Different strings of one hash: all are ranked by their bytes instead.
+    rank = _ranks(data, starts[order], length)
+    by = np.lexsort((order, rank))
+    return order[by], np.r_[False, rank[by][1:] == rank[by][:-1]]
 
 
 def factors(order: np.ndarray, same: np.ndarray) -> np.ndarray:
