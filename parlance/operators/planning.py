@@ -1,7 +1,7 @@
-"""Talker pools, shuffle cycles, stochastic event plans, replanning, layouts and bus power.
+"""Talker pools, shuffle cycles, event plans, replanning, layouts and bus power.
 
-What depends on its own earlier choices (greedy pools, the planner) runs as one small loop for each scenario and seed,
-and scenarios run in parallel; everything else is relational.
+Recurrences of plans (a start waits for the one before, a slot for its last phrase) are running maxima over stretches of
+the clock; draws are hashes of a seed and a name, so results depend on neither order nor partitions.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators import intervals, spread
@@ -22,12 +22,20 @@ def generator(seed: int, *name: object) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(int.from_bytes(digest[:8], "little")))
 
 
-def scenarios(spark: SparkSession, seeds: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """Scenarios with defaults filled in and ranges checked."""
-    raw = [("office", 10, 6.0, None), ("lobby", None, 3.0, 30.0), ("lab", 4, None, 20.0)]
-    rows = spark.createDataFrame([(n, s, v, m, d) for n, v, m, d in raw for s in seeds], "scenario string, seed long, voices int, mean double, seconds double")
-    rows = rows.select("scenario", "seed", F.coalesce("voices", F.lit(8)).alias("voices"), F.coalesce("mean", F.lit(2.0)).alias("mean"), F.coalesce("seconds", F.lit(60.0)).alias("seconds"))
-    return rows.withColumn("valid", (F.col("voices") >= 1) & F.col("mean").between(0.5, F.col("voices")) & F.col("seconds").between(1, 3600))
+def draw(seed: int, *parts: Column) -> Column:
+    """A text to order by: a random one for each seed and parts, the same in every system that has MD5."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), *(p.cast("string") for p in parts)).cast("binary"))
+
+
+def scenarios(texts: DataFrame, column: str) -> DataFrame:
+    """Scenario documents (JSON) to name, voices, mean, seconds with defaults filled in, and valid: whether all ranges hold.
+
+    A text that isn't a JSON object has no name and isn't valid.
+    """
+    doc = F.from_json(column, "name string, voices int, mean double, seconds double")
+    rows = texts.select(*texts.columns, doc.alias("doc__"))
+    rows = rows.select(*texts.columns, "doc__.name", F.coalesce("doc__.voices", F.lit(8)).alias("voices"), F.coalesce("doc__.mean", F.lit(2.0)).alias("mean"), F.coalesce("doc__.seconds", F.lit(60.0)).alias("seconds"))
+    return rows.withColumn("valid", F.col("name").isNotNull() & (F.col("voices") >= 1) & F.col("mean").between(0.5, F.col("voices")) & F.col("seconds").between(1, 3600))
 
 
 def balanced_pool(speakers: DataFrame, keys: list[str], value: str, number: str, size: int, seed: int) -> DataFrame:
@@ -37,7 +45,7 @@ def balanced_pool(speakers: DataFrame, keys: list[str], value: str, number: str,
     """
     by = Window.partitionBy(*keys)
     rows = speakers.withColumn("quartile", F.floor(4 * (F.row_number().over(by.orderBy(value, number)) - 1) / F.count("*").over(by)).cast("int"))
-    rows = rows.withColumn("draw__", F.xxhash64(F.lit(seed), number))
+    rows = rows.withColumn("draw__", draw(seed, F.col(number)))
     quota = F.lit(size // 4) + F.when(F.element_at(F.array(*(F.lit(k) for k in (3, 1, 2, 4))), F.col("quartile") + 1) <= size % 4, 1).otherwise(0)
     place = F.row_number().over(Window.partitionBy(*keys, "quartile").orderBy("draw__", number))
     rows = rows.withColumn("spare__", F.when(place <= quota, 0).otherwise(1))
@@ -84,80 +92,85 @@ def spread_pool(vectors: DataFrame, keys: list[str], number: str, vector: str, s
 
 
 def matched_pool(speakers: DataFrame, keys: list[str], number: str, value: str, size: int) -> DataFrame:
-    """keys, pick, number: for each of size even quantiles of the values, the nearest member not yet taken."""
+    """keys, pick, number: for each of size even quantiles of the values, the nearest member not yet taken (ties: smaller value, then number).
+
+    Fewer than size members are taken before any quantile's turn, so its size nearest are enough: only these few meet.
+    """
+    wanted = speakers.groupBy(*keys).agg(*(F.percentile(value, (k + 0.5) / size).alias(f"q{k}__") for k in range(size)))
+    targets = F.posexplode(F.array(*(f"q{k}__" for k in range(size)))).alias("pick", "q__")
+    near = speakers.select(*keys, number, value).join(wanted.select(*keys, targets), keys).withColumn("far__", F.abs(F.col(value) - F.col("q__")))
+    rank = F.row_number().over(Window.partitionBy(*keys, "pick").orderBy("far__", value, number))
+    near = near.withColumn("rank__", rank).where(F.col("rank__") <= size)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([value, number], ignore_index=True)
-        v, free, picks = pdf[value].to_numpy(float), np.ones(len(pdf), bool), []
-        for q in (np.arange(min(size, len(pdf))) + 0.5) / size:
-            at = int(np.argmin(np.where(free, np.abs(v - np.quantile(v, q)), np.inf)))
-            free[at] = False
-            picks.append(at)
-        return pd.DataFrame({**{k: [x] * len(picks) for k, x in zip(keys, key, strict=True)}, "pick": range(len(picks)), "number": pdf[number].to_numpy()[picks]})
+        taken: list[int] = []
+        for _, part in pdf.sort_values(["pick", "rank__"]).groupby("pick"):
+            free = [n for n in part[number] if n not in taken]
+            taken += free[:1]
+        return pd.DataFrame({**{k: [x] * len(taken) for k, x in zip(keys, key, strict=True)}, "pick": range(len(taken)), "number": taken})
 
     kinds = ", ".join(f"{k} {speakers.schema[k].dataType.simpleString()}" for k in keys)
-    return speakers.select(*keys, number, value).groupBy(*keys).applyInPandas(run, f"{kinds}, pick int, number long")
+    return near.select(*keys, "pick", "rank__", number).groupBy(*keys).applyInPandas(run, f"{kinds}, pick int, number long")
+
 
+def shuffle_cycles(members: DataFrame, keys: list[str], number: str, cycles: int, seed: int) -> DataFrame:
+    """keys, cycle, position, number: every member of a group once in each cycle, in random order; none of the last fifth of a cycle opens the next.
+
+    The opener is the first of a cycle's draw that isn't in that fifth. It comes from the front, so it changes no cycle's
+    last fifth (groups of over two members), and a cycle depends on the draws of the one before alone.
+    """
+    rows = members.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))))
+    by = Window.partitionBy(*keys, "cycle")
+    rows = rows.withColumn("draw__", draw(seed, F.col("cycle"), F.col(number))).withColumns({"place__": F.row_number().over(by.orderBy("draw__", number)), "n__": F.count("*").over(by)})
+    tail = rows.where(F.col("place__") > F.col("n__") - F.ceil(F.col("n__") / 5)).select(*keys, (F.col("cycle") + 1).alias("cycle"), number, F.lit(True).alias("tail__"))
+    rows = rows.join(tail, [*keys, "cycle", number], "left").withColumn("tail__", F.coalesce("tail__", F.lit(False)))
+    opener = F.min(F.when(~F.col("tail__"), F.col("place__"))).over(by)
+    place = F.when(F.col("place__") == opener, 0).otherwise(F.col("place__"))
+    return rows.withColumn("order__", place).select(*keys, "cycle", (F.row_number().over(by.orderBy("order__")) - 1).cast("long").alias("position"), number)
 
-def shuffle_cycles(members: list[int], cycles: int, seed: int) -> list[int]:
-    """Every member once in each cycle, in random order; none of the last fifth of a cycle opens the next."""
-    out: list[int] = []
-    for c in range(cycles):
-        order = generator(seed, "cycle", c).permutation(members).tolist()
-        tail = set(out[-(-len(members) // 5) * -1 :]) if out else set()
-        first = next((k for k, m in enumerate(order) if m not in tail), 0)
-        order[0], order[first] = order[first], order[0]
-        out += order
-    return out
 
+#: Microseconds: starts keep so far apart, phrases are at least and at most so long and end on a grid.
+GUARD, SHORTEST, LONGEST, GRID = 40_000_000, 60_000_000, 480_000_000, 1_000_000
 
-#: Microseconds: starts and ends keep so far apart, phrases are at least and at most so long.
-GUARD, SHORTEST, LONGEST = 40_000, 1_000_000, 8_000_000
 
-EVENTS = "scenario string, seed long, event int, slot int, speaker int, start long, end long, gain_db double"
+def phrases(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """rows with length: that of the material, within bounds and on the grid."""
+    return rows.withColumn("length", (F.floor(F.greatest(F.lit(SHORTEST), F.least(F.col(end) - F.col(start), F.lit(LONGEST))) / GRID) * GRID).cast("long"))
 
 
-def plan(rows: DataFrame) -> DataFrame:
-    """Event timelines: each slot speaks and is silent in turn, so that on average mean of its voices run at once.
+def plan(rows: DataFrame, keys: list[str], number: str, start: str, width: int) -> DataFrame:
+    """phrases() with planned: where they start, in order, each the guard after the one before or later.
 
-    Silences are (voices - mean) / mean times as long as phrases on average. A start or an end within the guard of
-    another one moves on. A slot takes the speaker that has rested longest, among three.
+    s(n) = max(t(n), s(n - 1) + guard) is n * guard + max over m <= n of (t(m) - m * guard): a running maximum.
     """
+    placed = spread.numbered(rows, keys, [start, number], F.col(start), width, "n__").withColumn("slack__", F.col(start) - F.col("n__") * GUARD)
+    run = spread.running(spread.dealt(placed, F.col(start), width), keys, [start, number], "slack__", "most__", "max")
+    return run.withColumn("planned", (F.col("most__") + F.col("n__") * GUARD).cast("long")).drop("n__", "slack__", "most__", "range__")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        scenario, seed = key
-        voices, mean, horizon = int(pdf["voices"].iloc[0]), float(pdf["mean"].iloc[0]), int(pdf["seconds"].iloc[0] * 1e6)
-        rng = generator(seed, "plan", scenario)
-        phrase = lambda: int(np.clip(rng.lognormal(np.log(2.0e6), 0.5), SHORTEST, LONGEST))
-        off = max(voices - mean, 0.05) / mean * 2.27e6
-        ready = [(int(rng.exponential(off)), slot) for slot in range(voices)]
-        rested = {s: -1 for s in range(2 * voices)}
-        starts, ends, out = [-GUARD], [-GUARD], []
-        while ready:
-            ready.sort()
-            start, slot = ready.pop(0)
-            start = max(start, starts[-1] + GUARD)
-            if start >= horizon:
-                continue
-            end = start + phrase()
-            while any(abs(end - e) < GUARD for e in ends[-2 * voices :]):
-                end += GUARD
-            choice = sorted((t, s) for s, t in rested.items() if t < start)[:3]
-            speaker = int(choice[rng.integers(len(choice))][1])
-            rested[speaker] = end
-            starts.append(start)
-            ends.append(end)
-            out.append((scenario, seed, len(out), slot, speaker, start, end, float(np.clip(rng.normal(0, 2), -4, 4))))
-            ready.append((end + int(rng.exponential(off)), slot))
-        return pd.DataFrame(out, columns=["scenario", "seed", "event", "slot", "speaker", "start", "end", "gain_db"])
-
-    return rows.select("scenario", "seed", "voices", "mean", "seconds").groupBy("scenario", "seed").applyInPandas(run, EVENTS)
-
-
-def replan(old: DataFrame, fresh: DataFrame, at: int, freeze: int = 500_000) -> DataFrame:
-    """old's events that start before at + freeze, which are final, then fresh's from there on as a new epoch."""
-    kept = old.where(F.col("start") < at + freeze).withColumn("epoch", F.lit(0))
-    return kept.unionByName(fresh.where(F.col("start") >= at + freeze).withColumn("epoch", F.lit(1)))
+
+def plan_slots(rows: DataFrame, keys: list[str], number: str, start: str, slots: int, overlap: int, width: int) -> DataFrame:
+    """phrases() with slot and planned: phrases go round a fixed number of slots, each starting when its slot's last one is about to end.
+
+    s(n) = max(t(n), s(n - 1) + length(n - 1) - overlap) within a slot: with P the running sum of (length - overlap)
+    before n, it is P(n) + max over m <= n of (t(m) - P(m)).
+    """
+    placed = spread.numbered(rows, keys, [start, number], F.col(start), width, "n__").withColumns({"slot": F.pmod(F.col("n__") - 1, F.lit(slots)).cast("long"), "step__": F.col("length") - overlap})
+    by = [*keys, "slot"]
+    run = spread.running(spread.dealt(placed, F.col(start), width), by, [start, number], "step__", "sum__", "sum", before=True)
+    run = run.withColumn("slack__", F.col(start) - F.col("sum__"))
+    run = spread.running(run, by, [start, number], "slack__", "most__", "max")
+    return run.withColumn("planned", (F.col("most__") + F.col("sum__")).cast("long")).drop("n__", "step__", "sum__", "slack__", "most__", "range__")
+
+
+def replan(old: DataFrame, fresh: DataFrame, number: str, at: int, freeze: int, fade: int) -> DataFrame:
+    """Plans (planned, length) joined at a time: old's phrases that start before at + freeze are final (epoch 0), fresh's from there on follow (epoch 1).
+
+    A final phrase that runs past the joint is handed over: cut there, after a fade whose length its number decides.
+    """
+    joint = at + freeze
+    cut = F.lit(joint) + F.pmod(F.col(number), F.lit(4)) * fade
+    kept = old.where(F.col("planned") < joint).withColumns({"epoch": F.lit(0), "length": F.least(F.col("length"), cut - F.col("planned"))})
+    return kept.unionByName(fresh.where(F.col("planned") >= joint).withColumn("epoch", F.lit(1)))
 
 
 def shortened(turns: DataFrame, keys: list[str], order: str, length, most: int) -> DataFrame:

@@ -146,7 +146,11 @@ def json_wrap(t: Tables):
     return rows.select("event_id", F.when(F.try_parse_json("raw").isNotNull(), F.col("raw")).otherwise(F.to_json(F.struct(F.col("raw").alias("text")))).alias("label"))
 
 
-@query()
+@query("""
+WITH b AS (SELECT page_id, url, list_transform(range(0, octet_length(encode(url))), lambda i: ('0x' || substr(hex(encode(url)), 2 * i + 1, 2))::BIGINT) AS b FROM pages),
+h AS (SELECT page_id, url, list_reduce(list_prepend(2166136261::BIGINT, b), lambda a, x: xor(a, x) * 16777619 % 4294967296) AS h FROM b)
+SELECT page_id, '<path:' || printf('%08x', h) || '>' || regexp_extract(url, '(\\.[A-Za-z0-9]+)$', 1) AS logged FROM h
+""")
 def redact(t: Tables):
     return t.pages.select("page_id", C.redact_path(F.col("url")).alias("logged"))
 

@@ -174,11 +174,25 @@ def load_join(t: Tables):
     return sessions.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n"))
 
 
-@query()
+_SCENARIOS = """x AS (SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 6 THEN 'no document' ELSE '{"name":"' || n_name || '"' ||
+  CASE WHEN n_nationkey % 3 > 0 THEN ',"voices":' || n_nationkey % 12 ELSE '' END || CASE WHEN n_nationkey % 4 > 0 THEN ',"mean":' || n_nationkey % 5 || '.5' ELSE '' END ||
+  CASE WHEN n_nationkey % 5 > 0 THEN ',"seconds":' || n_nationkey * 200 ELSE '' END || '}' END AS doc FROM nation)"""
+
+
+@query(f"""
+WITH {_SCENARIOS}, j AS (SELECT n_nationkey, CASE WHEN json_valid(doc) THEN doc::JSON END AS doc FROM x),
+p AS (SELECT n_nationkey, doc->>'name' AS name, coalesce((doc->>'voices')::INTEGER, 8) AS voices, coalesce((doc->>'mean')::DOUBLE, 2.0) AS mean, coalesce((doc->>'seconds')::DOUBLE, 60.0) AS seconds FROM j)
+SELECT *, name IS NOT NULL AND voices >= 1 AND mean BETWEEN 0.5 AND voices AND seconds BETWEEN 1 AND 3600 AS valid FROM p
+""")
 def scenario_rows(t: Tables):
+    """Scenarios read from JSON texts, some of them with gaps, out of range or no JSON."""
     from parlance.operators import planning
 
-    return planning.scenarios(t.spark)
+    k = F.col("n_nationkey")
+    part = lambda test, *text: F.when(test, F.concat(*text)).otherwise("")
+    doc = F.concat(F.lit('{"name":"'), "n_name", F.lit('"'), part(k % 3 > 0, F.lit(',"voices":'), k % 12), part(k % 4 > 0, F.lit(',"mean":'), k % 5, F.lit(".5")), part(k % 5 > 0, F.lit(',"seconds":'), k * 200), F.lit("}"))
+    texts = t.nation.select("n_nationkey", F.when(k % 7 == 6, "no document").otherwise(doc).alias("doc"))
+    return planning.scenarios(texts, "doc").drop("doc")
 
 
 @query()
