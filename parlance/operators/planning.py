@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.operators import intervals, spread
+from parlance.operators import intervals, spread, stats
 
 
 def generator(seed: int, *name: object) -> np.random.Generator:
@@ -43,14 +43,14 @@ def balanced_pool(speakers: DataFrame, keys: list[str], value: str, number: str,
 
     What doesn't divide goes to quartiles 1, 2, 0, 3 in turn; what a quartile lacks comes from all that are left.
     """
-    by = Window.partitionBy(*keys)
-    rows = speakers.withColumn("quartile", F.floor(4 * (F.row_number().over(by.orderBy(value, number)) - 1) / F.count("*").over(by)).cast("int"))
-    rows = rows.withColumn("draw__", draw(seed, F.col(number)))
-    quota = F.lit(size // 4) + F.when(F.element_at(F.array(*(F.lit(k) for k in (3, 1, 2, 4))), F.col("quartile") + 1) <= size % 4, 1).otherwise(0)
+    rows = stats.quartiles(speakers.select(*keys, value, number), keys, value, number).withColumn("quartile", F.col("quartile").cast("int")).withColumn("draw__", draw(seed, F.col(number)))
+    # A member beyond the first size of its quartile's draw is never picked, so only these few meet.
     place = F.row_number().over(Window.partitionBy(*keys, "quartile").orderBy("draw__", number))
-    rows = rows.withColumn("spare__", F.when(place <= quota, 0).otherwise(1))
-    rank = F.row_number().over(by.orderBy("spare__", "draw__", number))
-    return rows.withColumn("rank__", rank).where(F.col("rank__") <= size).drop("rank__", "draw__", "spare__")
+    rows = rows.withColumn("place__", place).where(F.col("place__") <= size)
+    quota = F.lit(size // 4) + F.when(F.element_at(F.array(*(F.lit(k) for k in (3, 1, 2, 4))), F.col("quartile") + 1) <= size % 4, 1).otherwise(0)
+    rows = rows.withColumn("spare__", F.when(F.col("place__") <= quota, 0).otherwise(1))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("spare__", "draw__", number))
+    return rows.withColumn("rank__", rank).where(F.col("rank__") <= size).drop("rank__", "place__", "draw__", "spare__")
 
 
 def spread_pool(vectors: DataFrame, keys: list[str], number: str, vector: str, size: int, seed: int) -> DataFrame:

@@ -52,12 +52,40 @@ def concurrency(df: DataFrame, keys: list[str], width: int, start: str = "start"
     return steps.groupBy(*keys).agg(F.max("on__").alias("max_active"), F.min("on__").alias("min_active"), (F.sum(F.col("on__") * F.col("span__")) / F.sum("span__")).alias("mean_active"))
 
 
+def by_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with range__: ranges of rows in order, which cut a frequent key into several; for running() over values that aren't a clock.
+
+    Ranges come from samples, so they are drawn once and kept.
+    """
+    dealt = df.repartitionByRange(*keys, *order).withColumn("range__", F.spark_partition_id())
+    return dealt.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else dealt.cache()
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with rank__ (from 1, in an order without ties) and size__ within keys; no task has a whole key."""
+    rows = running(by_order(df.withColumn("one__", F.lit(1).cast("long")), keys, order), keys, order, "one__", "rank__")
+    sizes = rows.groupBy(*keys).agg(F.max("rank__").alias("size__"))
+    return rows.drop("one__", "range__").join(sizes, keys)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], at: Column, width: int, name: str) -> DataFrame:
     """df with each row's place (from 1) by key and order."""
     rows = dealt(df.withColumn("one__", F.lit(1).cast("long")), at, width)
     return running(rows, keys, order, "one__", name).drop("one__", "range__")
 
 
+def runs(df: DataFrame, keys: list[str], order: list[str], at: Column, width: int, flag: Column) -> DataFrame:
+    """sequences.runs() for few or uneven keys: keys, run, n, first, last, closed of stretches of rows for which the flag holds.
+
+    A run is named by how many rows without the flag came before it, which is one for all of its rows.
+    """
+    placed = numbered(df.withColumn("flag__", F.coalesce(flag, F.lit(False))), keys, order, at, width, "row__")
+    rows = running(dealt(placed.withColumn("off__", (~F.col("flag__")).cast("long")), at, width), keys, order, "off__", "run")
+    sizes = rows.groupBy(*keys).agg(F.max("row__").alias("last__"))
+    out = rows.where("flag__").groupBy(*keys, "run").agg(F.count("*").alias("n"), F.min("row__").alias("first"), F.max("row__").alias("last"))
+    return out.join(sizes, keys).withColumn("closed", F.col("last") < F.col("last__")).drop("last__")
+
+
 def over_last(df: DataFrame, keys: list[str], order: list[str], at: Column, width: int, n: int, values: dict, block: int = 1 << 16) -> DataFrame:
     """df with aggregates of the last n rows of a key up to each row (fewer at its start).
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators import spread
+
 
 def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * weight) / F.sum(weight)
@@ -14,14 +16,31 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, tie: str) -> DataFrame:
     """The smallest value at which the running weight reaches half of all (the lower one)."""
-    by = Window.partitionBy(*keys).orderBy(value, tie).rowsBetween(Window.unboundedPreceding, 0)
-    run = df.withColumns({"run__": F.sum(weight).over(by), "all__": F.sum(weight).over(Window.partitionBy(*keys))})
+    rows = spread.by_order(df.select(*dict.fromkeys([*keys, value, weight, tie])), keys, [value, tie])
+    run = spread.running(rows, keys, [value, tie], weight, "run__").join(rows.groupBy(*keys).agg(F.sum(weight).alias("all__")), keys)
     return run.groupBy(*keys).agg(F.min(F.when(F.col("run__") >= 0.5 * F.col("all__"), F.col(value))).alias("weighted_median"))
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    """df with rank__ (from 1) and size__ within keys."""
-    return df.withColumns({"rank__": F.row_number().over(Window.partitionBy(*keys).orderBy(value, tie)), "size__": F.count("*").over(Window.partitionBy(*keys))})
+    """keys, value, rank__ (from 1) and size__ within keys."""
+    return spread.ranked(df.select(*dict.fromkeys([*keys, value, tie])), keys, [value, tie])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, tie: str, wanted: dict[str, float]) -> DataFrame:
+    """Quantiles by name, interpolated between the two values around (n - 1) q. Nulls are left out."""
+    rows = ranked(df.where(F.col(value).isNotNull()), keys, value, tie)
+    at = lambda q: (F.col("size__") - 1) * F.lit(q)
+    pick = lambda place: F.min(F.when(F.col("rank__") - 1 == place, F.col(value)))
+    ends = {f"{n}{e}__": pick(f(at(q))) for n, q in wanted.items() for e, f in (("lo", F.floor), ("hi", F.ceil))}
+    out = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in ends.items()), F.max("size__").alias("size__"))
+    between = lambda n, q: F.col(f"{n}lo__") + (at(q) - F.floor(at(q))) * (F.col(f"{n}hi__") - F.col(f"{n}lo__"))
+    return out.select(*keys, *(between(n, q).alias(n) for n, q in wanted.items()))
+
+
+def quartiles(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
+    """keys, value, tie and quartile (0 to 3) of every row."""
+    rows = ranked(df, keys, value, tie)
+    return rows.withColumn("quartile", F.floor(4 * (F.col("rank__") - 1) / F.col("size__"))).drop("rank__", "size__")
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
@@ -63,11 +82,11 @@ def gated_mean(df: DataFrame, keys: list[str], power: str, absolute_db: float, r
     return kept.groupBy(*keys).agg((10 * F.log10(F.avg(power))).alias("gated_db"), F.count("*").alias("n"))
 
 
-def zscores(df: DataFrame, keys: list[str], value: str) -> Column:
-    """Standardised by the population mean and deviation of the keys; 0 where there is no spread."""
-    by = Window.partitionBy(*keys)
-    sd = F.stddev_pop(value).over(by)
-    return F.when(sd > 1e-12, (F.col(value) - F.avg(value).over(by)) / sd).otherwise(0.0)
+def zscores(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """df with z: standardised by the population mean and deviation of the keys; 0 where there is no spread."""
+    moments = df.groupBy(*keys).agg(F.avg(value).alias("mean__"), F.stddev_pop(value).alias("sd__"))
+    z = F.when(F.col("sd__") > 1e-12, (F.col(value) - F.col("mean__")) / F.col("sd__")).otherwise(0.0)
+    return df.join(moments, keys).withColumn("z", z).drop("mean__", "sd__")
 
 
 def covariances(df: DataFrame, columns: list[str]) -> DataFrame:

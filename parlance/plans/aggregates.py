@@ -37,7 +37,8 @@ def agg_count_distinct(t: Tables):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
 def agg_percentile(t: Tables):
-    return t.events.groupBy("event_type").agg(*(F.round(F.percentile("value", q), 6).alias(f"p{round(q * 100)}") for q in (0.1, 0.5, 0.9)))
+    rows = stats.quantiles(t.events, ["event_type"], "value", "event_id", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return rows.select("event_type", *(F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")))
 
 
 @query("""
@@ -145,8 +146,9 @@ def agg_rollup_bands(t: Tables):
 
 @query("SELECT user_id, round(quantile_cont(10 * log10(greatest(value, 1e-20)), 0.9) - quantile_cont(10 * log10(greatest(value, 1e-20)), 0.1), 6) AS spread FROM events GROUP BY 1")
 def agg_l10l90(t: Tables):
-    rows = t.events.select("user_id", C.db(F.col("value")).alias("level"))
-    return rows.groupBy("user_id").agg(F.round(F.percentile("level", 0.9) - F.percentile("level", 0.1), 6).alias("spread"))
+    levels = t.events.select("user_id", "event_id", C.db(F.col("value")).alias("level"))
+    ends = stats.quantiles(levels, ["user_id"], "level", "event_id", {"l10": 0.9, "l90": 0.1})
+    return ends.select("user_id", F.round(F.col("l10") - F.col("l90"), 6).alias("spread"))
 
 
 @query("SELECT event_type, arg_min(user_id, [epoch_us(ts), event_id]) AS first_user FROM events GROUP BY 1")

@@ -261,4 +261,4 @@ SELECT vec_id, round(CASE WHEN sd > 1e-12 THEN (embedding[1]::DOUBLE - m) / sd E
 """)
 def zscore(t: Tables):
     rows = t.embeddings.select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("x"))
-    return rows.select("vec_id", F.round(stats.zscores(rows, ["label"], "x"), 6).alias("z"))
+    return stats.zscores(rows, ["label"], "x").select("vec_id", F.round("z", 6).alias("z"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parlance.operators import intervals, sequences, spread
+from parlance.operators import intervals, sequences, spread, stats
 from parlance.operators.intervals import micros
 from parlance.plans.joins import _ISLANDS, islands_of
 from parlance.plans.registry import DAY, HOUR, SPANS, Tables, query, spans
@@ -97,9 +97,7 @@ SELECT source, quartile, count(*) AS n, min(n_chars) AS lo, max(n_chars) AS hi F
   SELECT source, n_chars, floor(4.0 * (row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1) / count(*) OVER (PARTITION BY source))::BIGINT AS quartile FROM documents) x GROUP BY 1, 2
 """)
 def win_quartile(t: Tables):
-    by = Window.partitionBy("source")
-    quartile = F.floor(4 * (F.row_number().over(by.orderBy("n_chars", "doc_id")) - 1) / F.count("*").over(by))
-    return t.documents.withColumn("quartile", quartile).groupBy("source", "quartile").agg(F.count("*").alias("n"), F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))
+    return stats.quartiles(t.documents, ["source"], "n_chars", "doc_id").groupBy("source", "quartile").agg(F.count("*").alias("n"), F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))
 
 
 @query("SELECT event_id, sum(round(value * 100)::BIGINT) OVER w::DOUBLE / count(*) OVER w / 100 AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS 999 PRECEDING)")
@@ -119,7 +117,7 @@ SELECT event_type, n AS length, count(*) AS gaps FROM r GROUP BY 1, 2
 """)
 def win_gap_sessions(t: Tables):
     means = spread.over_last(t.events, ["event_type"], ["ts", "event_id"], micros("ts"), DAY, 1000, {"mean": lambda by: F.avg("value").over(by)})
-    rows = sequences.runs(means, ["event_type"], ["ts", "event_id"], F.col("value") < 0.063 * F.col("mean"))
+    rows = spread.runs(means.withColumn("at", micros("ts")), ["event_type"], ["at", "event_id"], F.col("at"), DAY, F.col("value") < 0.063 * F.col("mean"))
     return rows.where("closed").groupBy("event_type", F.col("n").alias("length")).agg(F.count("*").alias("gaps"))
 
 

@@ -198,29 +198,71 @@ def test_pools(spark):
     assert medoid.medoid == 2
 
 
-def test_cycles_use_everyone_once():
-    order = planning.shuffle_cycles(list(range(10)), 5, 1)
-    for c in range(5):
-        assert sorted(order[10 * c : 10 * c + 10]) == list(range(10))
-        assert not c or order[10 * c] not in order[10 * c - 2 : 10 * c]
-    assert order == planning.shuffle_cycles(list(range(10)), 5, 1)
-
-
-def test_plans_keep_their_guards(spark):
-    rows = table(spark, [("x", 1, 8, 4.0, 120.0), ("y", 1, 8, 4.0, 120.0)], "scenario string, seed long, voices int, mean double, seconds double")
-    got = planning.plan(rows).toPandas()
-    again = planning.plan(rows.repartition(1)).toPandas()
-    key = ["scenario", "event"]
-    assert got.sort_values(key, ignore_index=True).equals(again.sort_values(key, ignore_index=True))
-    for _, g in got.groupby("scenario"):
-        start, end = np.sort(g["start"]), np.sort(g["end"])
-        assert np.diff(start).min() >= planning.GUARD and (g["end"] > g["start"]).all()
-        assert 2.5 < (g["end"] - g["start"]).sum() / end.max() < 5.5
-        for _, s in g.groupby("slot"):
-            s = s.sort_values("start")
-            assert (s["start"].to_numpy()[1:] >= s["end"].to_numpy()[:-1]).all()
-    fixed = planning.replan(planning.plan(rows), planning.plan(rows), 10_000_000)
-    assert fixed.where("epoch = 0").agg(F.max("start")).first()[0] < 10_500_000
+def test_cycles_use_everyone_once(spark):
+    members = table(spark, [(g, k) for g in "ab" for k in range(10)], "g string, id long")
+    rows = planning.shuffle_cycles(members, ["g"], "id", 5, 1).toPandas()
+    again = planning.shuffle_cycles(members.repartition(1), ["g"], "id", 5, 1).toPandas()
+    assert {tuple(r) for r in rows.to_numpy().tolist()} == {tuple(r) for r in again.to_numpy().tolist()}
+    for _, g in rows.groupby("g"):
+        order = g.sort_values(["cycle", "position"])["id"].tolist()
+        for c in range(5):
+            assert sorted(order[10 * c : 10 * c + 10]) == list(range(10))
+            assert not c or order[10 * c] not in order[10 * c - 2 : 10 * c]
+
+
+def test_plans_against_their_recurrences(spark):
+    rng = np.random.default_rng(4)
+    rows = [("k", k, int(at), int(n)) for k, (at, n) in enumerate(zip(np.sort(rng.integers(0, 10**10, 300)), rng.integers(6, 48, 300) * 10**7, strict=True))]
+    df = table(spark, rows, "k string, id long, t long, length long")
+    got = {r.id: r.planned for r in planning.plan(df, ["k"], "id", "t", 10**9).collect()}
+    last = None
+    for _, k, at, _ in rows:
+        last = at if last is None else max(at, last + planning.GUARD)
+        assert got[k] == last
+    got = {r.id: (r.slot, r.planned) for r in planning.plan_slots(df, ["k"], "id", "t", 4, 10**6, 10**9).collect()}
+    free = {}
+    for n, (_, k, at, length) in enumerate(rows):
+        start = max(at, free.get(n % 4, at))
+        assert got[k] == (n % 4, start)
+        free[n % 4] = start + length - 10**6
+    old = table(spark, [("k", 1, 100, 50), ("k", 2, 990, 300), ("k", 3, 1200, 10)], "k string, id long, planned long, length long")
+    assert {(r.epoch, r.id, r.planned, r.length) for r in planning.replan(old, old.withColumn("planned", F.col("planned") + 40), "id", 900, 100, 7).collect()} == {(0, 1, 100, 50), (0, 2, 990, 24), (1, 2, 1030, 300), (1, 3, 1240, 10)}
+
+
+def test_matched_pool_against_a_loop(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, k, float(v)) for g in "ab" for k, v in enumerate(rng.integers(0, 30, 40))] + [("c", 1, 5.0)]
+    want = set()
+    for g in "abc":
+        own = sorted((v, k) for h, k, v in rows if h == g)
+        values, taken = np.array([v for v, _ in own]), []
+        for pick in range(min(6, len(own))):
+            q = np.quantile(values, (pick + 0.5) / 6)
+            taken.append(min((abs(v - q), v, k) for v, k in own if k not in taken)[2])
+            want.add((g, pick, taken[-1]))
+    assert {tuple(r) for r in planning.matched_pool(table(spark, rows, "g string, id long, v double"), ["g"], "id", "v", 6).collect()} == want
+
+
+def test_quantiles_and_runs_of_a_hot_key(spark):
+    rng = np.random.default_rng(9)
+    rows = [("hot", k, float(v)) for k, v in enumerate(rng.integers(0, 50, 3000))] + [("cold", k, float(k)) for k in range(3)]
+    df = table(spark, rows, "g string, id long, v double").repartition(5)
+    got = {r.g: (r.a, r.b) for r in stats.quantiles(df, ["g"], "v", "id", {"a": 0.1, "b": 0.77}).collect()}
+    for g in ("hot", "cold"):
+        values = [v for h, _, v in rows if h == g]
+        assert got[g] == pytest.approx((np.quantile(values, 0.1), np.quantile(values, 0.77)))
+    runs = lambda r: sorted((x.g, x["first"], x["last"], x.n, x.closed) for x in r.collect())
+    assert runs(spread.runs(df, ["g"], ["id"], F.col("id"), 100, F.col("v") > 20)) == runs(sequences.runs(df, ["g"], ["id"], F.col("v") > 20))
+
+
+def test_exponential_average_against_the_recursion(spark):
+    values = np.random.default_rng(2).standard_normal(900)
+    df = table(spark, [("k", k, float(v)) for k, v in enumerate(values)], "k string, n long, v double")
+    got = {r.n: r.ema for r in sequences.exponential_average(df, ["k"], ["n"], "v", 0.2, F.col("n"), 100).collect()}
+    s = None
+    for k, v in enumerate(values):
+        s = v if s is None else s + 0.2 * (v - s)
+        assert got[k] == pytest.approx(s, abs=1e-12)
 
 
 def test_hysteresis_and_correction():
