@@ -29,7 +29,7 @@ def ordered_limits(low: Column, mean: Column, high: Column, pool: Column) -> tup
 
 def proposals(observed: DataFrame, rules: DataFrame, current: float, low: float, high: float, digits: int) -> DataFrame:
     """metric, reason, proposal: current moved towards the target by a gain, within limits; inside the deadband nothing."""
-    rows = observed.join(F.broadcast(rules), "metric", "left")
+    rows = observed.join(rules, "metric", "left")
     off = F.col("target") - F.col("observed")
     reason = F.when(F.col("target").isNull(), "no rule").when(F.abs(off) <= F.col("deadband"), "deadband").otherwise("changed")
     moved = F.round(C.clamp(F.lit(current) + F.col("gain") * off, low, high), digits)
@@ -38,7 +38,7 @@ def proposals(observed: DataFrame, rules: DataFrame, current: float, low: float,
 
 def counts_for(rows: DataFrame, table: DataFrame, key: str, formula: Column, name: str) -> DataFrame:
     """A table's value for the key, else a formula."""
-    return rows.join(F.broadcast(table.select(key, F.col("value").alias("value__"))), key, "left").withColumn(name, F.coalesce("value__", formula)).drop("value__")
+    return rows.join(table.select(key, F.col("value").alias("value__")), key, "left").withColumn(name, F.coalesce("value__", formula)).drop("value__")
 
 
 def degraded(rows: DataFrame, available: str, wanted: str, policy: str) -> DataFrame:

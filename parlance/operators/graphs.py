@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """node, component (its smallest reachable node). Each round is checkpointed, where a checkpoint folder is set."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest reachable node). Each round is checkpointed, where a checkpoint folder is set; rounds go on until no label changes."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     spark = edges.sparkSession
     held = both.checkpoint() if spark.sparkContext.getCheckpointDir() else both.cache()
     labels = held.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), F.least("u", "label").alias("component"))
-    for _ in range(rounds):
+    while True:
         ahead = labels.select(F.col("node").alias("v"), F.col("component").alias("other"))
         low = held.join(ahead, "v").groupBy("u").agg(F.min("other").alias("other"))
         near = labels.join(low, F.col("node") == F.col("u")).select("node", F.least("component", "other").alias("component"))
@@ -22,5 +22,4 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         same = after.join(labels.select("node", F.col("component").alias("was")), "node").where("component <> was").isEmpty()
         labels = after
         if same:
-            break
-    return labels
+            return labels

@@ -44,7 +44,7 @@ def near_pairs(rows: DataFrame, keys: list[str], number: str, value: str, width:
 def compared(a: DataFrame, b: DataFrame, name: str, tolerances: DataFrame) -> DataFrame:
     """Metrics of two implementations by name, and whether they agree within the metric's tolerance; nulls are left out."""
     both = a.select(name, F.col("value").alias("a")).join(b.select(name, F.col("value").alias("b")), name).where("a is not null and b is not null")
-    return both.join(F.broadcast(tolerances), name, "left").withColumn("ok", F.abs(F.col("a") - F.col("b")) <= F.coalesce("tolerance", F.lit(0.0)))
+    return both.join(tolerances, name, "left").withColumn("ok", F.abs(F.col("a") - F.col("b")) <= F.coalesce("tolerance", F.lit(0.0)))
 
 
 def product(axes: list[tuple[str, DataFrame]]) -> DataFrame:

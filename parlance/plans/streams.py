@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parlance.operators.intervals import micros
-from parlance.plans.registry import HOUR, Tables, query, spans
+from parlance.plans.registry import DAY, HOUR, Tables, query, spans
 from parlance.streaming import stateful as S
 
 
@@ -56,8 +58,8 @@ def stream_session(t: Tables):
 
 @query(f"SELECT event_type, epoch_us(ts) // {HOUR} AS hour, least(count(*), 10) AS passed, greatest(count(*) - 10, 0) AS suppressed FROM events GROUP BY 1, 2")
 def rate_limit(t: Tables):
-    rows = spans(t).withColumn("hour", F.floor(F.col("t0") / HOUR))
-    return S.rate_limited(rows, ["event_type", "hour"], ["t0", "event_id"], 10)
+    rows = S.drained(S.rate_limited(_events(t), ["event_type"], "1 hour", 10), "limited")
+    return rows.select("event_type", F.floor(F.unix_micros("window_start") / HOUR).alias("hour"), "passed", "suppressed")
 
 
 @query("""
@@ -75,9 +77,10 @@ WITH m AS (SELECT conv_id, lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDE
 SELECT conv_id, count(*) FILTER (WHERE NOT ((a = 'start' AND b IN ('system', 'user')) OR (a = 'system' AND b = 'user') OR (a = 'user' AND b = 'assistant') OR (a = 'assistant' AND b = 'user'))) AS illegal FROM m GROUP BY 1
 """)
 def state_machine(t: Tables):
-    legal = t.spark.createDataFrame([("start", "system"), ("start", "user"), ("system", "user"), ("user", "assistant"), ("assistant", "user")], "a string, b string").withColumn("legal", F.lit(True))
-    moves = t.conversations.select("conv_id", F.lag("role", 1, "start").over(Window.partitionBy("conv_id").orderBy("turn")).alias("a"), F.col("role").alias("b"))
-    return moves.join(F.broadcast(legal), ["a", "b"], "left").groupBy("conv_id").agg(F.count_if(F.col("legal").isNull()).alias("illegal"))
+    legal = {"start": {"system", "user"}, "system": {"user"}, "user": {"assistant"}, "assistant": {"user"}}
+    stream = S.table_stream(t.spark, f"{t.folder}/conversations.parquet").select("conv_id", F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"))
+    rows = S.drained(S.stateful(stream, "conv_id", S.moves(legal), "conv_id long, illegal long", "was string", ("turn", "role")), "moves", "append")
+    return rows.groupBy("conv_id").agg(F.sum("illegal").alias("illegal"))
 
 
 @query(f"""
@@ -85,33 +88,74 @@ SELECT event_id, coalesce(t < max(t) OVER (PARTITION BY user_id ORDER BY event_i
 """)
 def stream_late(t: Tables):
     """Events in another order of arrival: which of them a watermark of one day would drop."""
-    rows = spans(t).withColumn("turn", F.col("event_id") % 100)
-    return S.late(rows, ["user_id"], ["turn", "event_id"], "t0", 24 * HOUR).select("event_id", "late")
+    stream = _events(t).select("user_id", "event_id", micros("ts").alias("t"), (F.col("event_id") % 100).alias("turn"))
+    return S.drained(S.stateful(stream, "user_id", S.late(24 * HOUR), "event_id long, late boolean", "seen long", ("turn", "event_id")), "late", "append")
+
 
+_SPAN = 36
 
-@query()
+
+@query(f"""
+WITH ev AS (SELECT user_id, event_id, event_type = 'error' AS err, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+e AS (SELECT user_id, rn, t, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY rn) < {_SPAN * HOUR} THEN 0 ELSE 1 END AS opens FROM ev WHERE err),
+c AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS chain FROM e),
+n AS (SELECT a.user_id, a.chain, a.rn FROM c a JOIN c b ON a.user_id = b.user_id AND b.rn <= a.rn AND a.t - b.t < {_SPAN * HOUR} GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+f AS (SELECT user_id, chain, min(rn) AS rn FROM n GROUP BY 1, 2),
+x AS (SELECT *, max(CASE WHEN err THEN rn END) OVER (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS last FROM ev),
+s AS (SELECT x.user_id, x.event_id, x.rn, coalesce(f.rn <= x.rn AND x.t - c.t < {_SPAN * HOUR}, FALSE) AS active
+  FROM x LEFT JOIN c ON c.user_id = x.user_id AND c.rn = x.last LEFT JOIN f ON f.user_id = x.user_id AND f.chain = c.chain)
+SELECT user_id, event_id, CASE WHEN active THEN 'degraded' ELSE 'running' END AS state FROM (SELECT *, lag(active, 1, FALSE) OVER (PARTITION BY user_id ORDER BY rn) AS was FROM s) y WHERE active <> was
+""")
 def hysteresis(t: Tables):
     out = "user_id long, event_id long, state string"
-    return S.drained(S.stateful(_events(t), "user_id", S.hysteresis, out, "active boolean, recent array<long>"), "hysteresis", "append")
+    return S.drained(S.stateful(_events(t), "user_id", partial(S.hysteresis, hours=_SPAN), out, "active boolean, recent array<long>"), "hysteresis", "append")
 
 
-@query()
+@query("""
+WITH RECURSIVE ev AS (SELECT user_id, event_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS rn, 0::BIGINT AS event_id, 0.0::DOUBLE AS value, 0 AS sign, 0 AS swings FROM ev
+  UNION ALL
+  SELECT user_id, rn, event_id, CASE WHEN far THEN least(60.0, greatest(-60.0, value + least(1.0, greatest(-1.0, 0.02 * off * CASE WHEN swings > 2 THEN 0.5 ELSE 1.0 END)))) ELSE value END, sign, swings FROM (
+    SELECT user_id, rn, event_id, value, off, far, CASE WHEN far THEN sign(off)::INTEGER ELSE was END AS sign,
+      CASE WHEN NOT far THEN swings WHEN was <> 0 AND sign(off) <> was THEN swings + 1 ELSE greatest(0, swings - 1) END AS swings FROM (
+        SELECT e.user_id, e.rn, e.event_id, w.value, 250.0 - (e.x + w.value) AS off, abs(250.0 - (e.x + w.value)) > 10 AS far, w.sign AS was, w.swings FROM w JOIN ev e ON e.user_id = w.user_id AND e.rn = w.rn + 1) a) b)
+SELECT user_id, event_id, round(value, 6) AS trim FROM w WHERE rn > 0
+""")
 def correction_loop(t: Tables):
     out = "user_id long, event_id long, trim double"
     return S.drained(S.stateful(_events(t), "user_id", S.correction, out, "value double, sign int, swings int"), "correction", "append")
 
 
-@query("SELECT user_id, count(*) AS n, max(epoch_us(ts)) AS last FROM events GROUP BY 1")
+_NOW = 1_706_745_600_000_000
+
+
+@query(f"""
+WITH u AS (SELECT user_id, count(*) AS n, {_NOW} - max(epoch_us(ts)) AS age FROM events GROUP BY 1)
+SELECT user_id, n, user_id % 10 <> 0 AS accepted, CASE WHEN user_id % 10 <> 0 THEN 5000000000 - (2 * age * 48000 + 1000000) // 2000000 END AS last FROM u
+""")
 def state_roundtrip(t: Tables):
-    """State exported as ages before now and imported again at another clock gives the same times."""
+    """State exported as JSON of ages, and imported at another clock of another rate; documents of another major version aren't taken."""
     used = spans(t).groupBy("user_id").agg(F.count("*").alias("n"), F.max("t0").alias("last"))
-    now = 1_706_745_600_000_000
-    exported = used.select("user_id", "n", (now - F.col("last")).alias("age"))
-    return exported.select("user_id", "n", (now - F.col("age")).alias("last"))
+    out = S.exported(used, "last", _NOW, "1.2").withColumn("document", F.when(F.col("user_id") % 10 == 0, F.replace("document", F.lit('"1.2"'), F.lit('"2.0"'))).otherwise(F.col("document")))
+    return S.imported(out, "document", 5_000_000_000, 48_000, 1).select("user_id", "n", "accepted", "last")
 
 
-@query()
+@query("""
+WITH s AS (SELECT user_id, value - 0.5 * coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS y, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 4 AS block FROM events),
+b AS (SELECT user_id, block, avg(y * y) AS power FROM s GROUP BY 1, 2 HAVING count(*) = 4)
+SELECT a.user_id, a.block, round(10 * log10(greatest(a.power, 1e-12)), 6) AS level, CASE WHEN a.block >= 3 THEN round(10 * log10(greatest(avg(c.power), 1e-12)), 6) END AS momentary
+FROM b a JOIN b c ON c.user_id = a.user_id AND c.block BETWEEN a.block - 3 AND a.block GROUP BY 1, 2, a.power
+""")
 def stream_meters(t: Tables):
-    from parlance.functions import signal
-
-    return signal.loudness_blocks(signal.synthetic_corpus(t.spark, speakers=2, recordings=1, seconds=4.0, seed=7))
+    """Blocks of pre-emphasised values, and the level of four in a row, undefined until there are four."""
+    from parlance.operators import series, spread
+
+    placed = spread.numbered(spans(t).select("user_id", "event_id", "t0", "value"), ["user_id"], ["t0", "event_id"], F.col("t0"), DAY, "n")
+    before = placed.select("user_id", (F.col("n") + 1).alias("n"), F.col("value").alias("before"))
+    y = F.col("value") - 0.5 * F.coalesce("before", F.lit(0.0))
+    blocks = placed.join(before, ["user_id", "n"], "left").groupBy("user_id", F.floor((F.col("n") - 1) / 4).alias("block")).agg(F.avg(y * y).alias("power"), F.count("*").alias("k")).where("k = 4").drop("k")
+    near = blocks.withColumn("at", F.explode(F.sequence(F.col("block"), F.col("block") + 3)))
+    four = near.groupBy("user_id", F.col("at").alias("block")).agg(F.avg("power").alias("mean"))
+    momentary = F.when(F.col("block") >= 3, F.round(series.level(F.col("mean")), 6))
+    return blocks.join(four, ["user_id", "block"]).select("user_id", "block", F.round(series.level(F.col("power")), 6).alias("level"), momentary.alias("momentary"))

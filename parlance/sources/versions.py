@@ -1,8 +1,15 @@
-"""Versioned tables: a new generation is written beside the old ones, then a manifest points to it."""
+"""Versioned tables: a new generation is written beside the old ones, then a numbered manifest points to it.
+
+A manifest is written under another name and renamed to a number that nobody has: the rename makes it visible whole or
+not at all, and the highest number counts. So a reader always finds a whole manifest, also if a writer stops halfway; of
+two writers at once, the second takes the next number.
+"""
 
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,20 +31,34 @@ def digest(df: DataFrame, columns: list[str]) -> str:
 
 
 def commit(spark: SparkSession, folder: str, version: str, tables: dict[str, DataFrame]) -> None:
-    """Writes all tables of a version, then moves the manifest; readers see the old version until then."""
+    """Writes all tables of a version, then its manifest; readers see the old version until then."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
     path, fs = _fs(spark, folder)
-    fresh, manifest = (spark._jvm.org.apache.hadoop.fs.Path(path, n) for n in (f".manifest-{version}", "manifest.json"))
+    fresh = spark._jvm.org.apache.hadoop.fs.Path(path, f".manifest-{version}-{uuid.uuid4().hex}")
     out = fs.create(fresh, True)
     out.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}).encode()))
     out.close()
-    fs.delete(manifest, False)
-    fs.rename(fresh, manifest)
+    number = max(_manifests(spark, folder), default=0) + 1
+    while not fs.rename(fresh, spark._jvm.org.apache.hadoop.fs.Path(path, _name(number))):
+        number += 1
+
+
+def _name(number: int) -> str:
+    return f"manifest-{number:012d}.json"
+
+
+def _manifests(spark: SparkSession, folder: str) -> list[int]:
+    path, fs = _fs(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return [int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d{12})\.json", n))]
 
 
 def current(spark: SparkSession, folder: str) -> str:
-    return spark.read.option("multiLine", True).json(f"{folder}/manifest.json").first()["version"]
+    newest = max(_manifests(spark, folder), default=None)
+    if newest is None:
+        raise FileNotFoundError(f"{folder} has no manifest")
+    return spark.read.option("multiLine", True).json(f"{folder}/{_name(newest)}").first()["version"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,8 +66,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def purge(spark: SparkSession, folder: str, pinned: set[str] = frozenset()) -> list[str]:
-    """Deletes generations that are neither current nor pinned; gives their names."""
+    """Deletes generations that are neither current nor pinned, and manifests before the newest; gives the generations' names."""
     path, fs = _fs(spark, folder)
+    for number in sorted(_manifests(spark, folder))[:-1]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, _name(number)), False)
     keep, gone = {current(spark, folder), *pinned}, []
     for status in fs.listStatus(path):
         name = status.getPath().getName()

@@ -8,14 +8,17 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; a temporary one where none is set, as in tests."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    """A new folder that all executors share; a temporary one where none is set, as in tests in one process."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    shared = shared or "file://" + tempfile.gettempdir()
     path = f"{shared.rstrip('/')}/parlance-streams/{name}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
@@ -54,23 +57,67 @@ def sessions(stream: DataFrame, keys: list[str], gap: str) -> DataFrame:
     return rows.select(*keys, F.col("w.start").alias("session_start"), "n")
 
 
-def rate_limited(rows: DataFrame, keys: list[str], order: list[str], burst: int) -> DataFrame:
-    """keys, passed, suppressed: of each group's rows the first burst pass, and one summary says how many didn't."""
-    n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    return n.select(*keys, F.least("n", F.lit(burst)).alias("passed"), F.greatest(F.col("n") - burst, F.lit(0)).alias("suppressed"))
+def rate_limited(stream: DataFrame, keys: list[str], length: str, burst: int) -> DataFrame:
+    """keys, window_start, passed, suppressed: of each window's rows the first burst pass, and one summary says how many didn't."""
+    n = stream.withWatermark("at", "1 day").groupBy(*keys, F.window("at", length).alias("w")).agg(F.count("*").alias("n"))
+    return n.select(*keys, F.col("w.start").alias("window_start"), F.least("n", F.lit(burst)).alias("passed"), F.greatest(F.col("n") - burst, F.lit(0)).alias("suppressed"))
 
 
-def late(rows: DataFrame, keys: list[str], arrival: list[str], at: str, delay: int) -> DataFrame:
-    """rows with late: whether a row comes more than delay after the largest time that arrived before it."""
-    seen = F.max(at).over(Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("late", F.coalesce(F.col(at) < seen - delay, F.lit(False)))
+def moves(legal: dict[str, set[str]]) -> Callable:
+    """A step that walks a state machine over roles: a move that isn't legal is counted, and made all the same."""
 
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        was, illegal = state[0] if state else "start", 0
+        for role in rows["role"]:
+            illegal += role not in legal.get(was, ())
+            was = role
+        return pd.DataFrame({"illegal": [illegal]}), (was,)
 
-def stateful(stream: DataFrame, key: str, step: Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]], out: str, state: str) -> DataFrame:
-    """A step over each key's new rows in order of time, from the state that the key's last step left."""
+    return step
+
+
+def late(delay: int, number: str = "event_id") -> Callable:
+    """A step over rows in order of arrival: late are those whose time t lies more than a delay before the largest seen, which others may wait for."""
+
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        before = rows["t"].cummax().shift()
+        if state:
+            before = before.fillna(state[0]).clip(lower=state[0])
+        out = pd.DataFrame({number: rows[number], "late": (rows["t"] < before - delay).to_numpy(bool)})
+        return out, (int(max(rows["t"].max(), state[0] if state else rows["t"].max())),)
+
+    return step
+
+
+def exported(used: DataFrame, last: str, now: int, version: str) -> DataFrame:
+    """used with document: its state as JSON, with ages before now instead of times, the clock's rate and the format's version."""
+    rest = [c for c in used.columns if c != last]
+    return used.select(*rest, F.to_json(F.struct(F.lit(version).alias("version"), F.lit(1_000_000).alias("rate"), (F.lit(now) - F.col(last)).alias("age"), *rest)).alias("document"))
+
+
+def imported(documents: DataFrame, column: str, now: int, rate: int, major: int) -> DataFrame:
+    """documents with last (on a clock of another rate, halves up) and accepted: whether the version's major number is ours; else last is null."""
+    doc = F.from_json(column, "version string, rate long, age long")
+    rows = documents.withColumn("doc__", doc)
+    accepted = F.coalesce(F.split_part("doc__.version", F.lit("."), F.lit(1)) == str(major), F.lit(False))
+    age = F.floor((2 * F.col("doc__.age") * rate + F.col("doc__.rate")) / (2 * F.col("doc__.rate")))
+    return rows.withColumns({"accepted": accepted, "last": F.when(accepted, F.lit(now) - age)}).drop("doc__")
+
+
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A table's rows as they arrive."""
+    pattern = re.sub(r"(\w)(\.parquet)$", r"[\1]\2", path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
+
+
+def stateful(stream: DataFrame, key: str, step: Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]], out: str, state: str, order: tuple[str, ...] = ("at", "event_id")) -> DataFrame:
+    """A step over each key's new rows in order (of time), from the state that the key's last step left.
+
+    A key's rows of one batch are in memory together; a stream of files bounds them by maxFilesPerTrigger.
+    """
 
     def run(k: tuple, pdfs: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(pdfs)).sort_values(["at", "event_id"], ignore_index=True)
+        rows = pd.concat(list(pdfs)).sort_values(list(order), ignore_index=True)
         result, after = step(rows, held.get if held.exists else None)
         held.update(after)
         yield result.assign(**{key: k[0]})[[c.split()[0] for c in out.split(", ")]]
@@ -78,15 +125,16 @@ def stateful(stream: DataFrame, key: str, step: Callable[[pd.DataFrame, tuple |
     return stream.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def hysteresis(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-    """Degraded from three errors within an hour, until an hour has passed without one."""
+def hysteresis(rows: pd.DataFrame, state: tuple | None, hours: float = 1) -> tuple[pd.DataFrame, tuple]:
+    """Degraded from three errors within so many hours, until as many have passed without one."""
     active, recent = bool(state[0]) if state else False, [pd.Timestamp(x, unit="us") for x in (state[1] if state else [])]
-    hour, out = pd.Timedelta(hours=1), []
+    span, out = pd.Timedelta(hours=hours), []
     for at, kind, event in zip(rows["at"], rows["event_type"], rows["event_id"], strict=True):
-        recent = [x for x in recent if at - x < hour]
+        recent = [x for x in recent if at - x < span]
+        held = active and bool(recent)
         if kind == "error":
             recent.append(at)
-        was, active = active, len(recent) >= 3 or (active and bool(recent))
+        was, active = active, held or len(recent) >= 3
         if active != was:
             out.append((event, "degraded" if active else "running"))
     return pd.DataFrame(out, columns=["event_id", "state"]), (active, [x.value // 1000 for x in recent])
