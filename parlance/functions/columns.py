@@ -56,6 +56,52 @@ def interpolate(x: Column, anchors: list[tuple[float, float]], kind: str = "line
     return F.when(x >= anchors[-1][0], F.lit(float(anchors[-1][1]))).otherwise(out)
 
 
+def monotone_cubic(x: Column, anchors: list[tuple[float, float]]) -> Column:
+    """A piecewise cubic between anchors that never leaves the range of its two ends, held at both ends."""
+    slopes = _slopes(anchors)
+    out = F.lit(float(anchors[0][1]))
+    for ((x0, y0), m0), ((x1, y1), m1) in zip(pieces := list(zip(anchors, slopes, strict=True)), pieces[1:], strict=False):
+        h = x1 - x0
+        t = (x - x0) / h
+        value = (2 * t * t * t - 3 * t * t + 1) * y0 + (t * t * t - 2 * t * t + t) * (h * m0) + (3 * t * t - 2 * t * t * t) * y1 + (t * t * t - t * t) * (h * m1)
+        out = F.when(x > x0, value).otherwise(out)
+    return F.when(x >= anchors[-1][0], F.lit(float(anchors[-1][1]))).otherwise(out)
+
+
+def _slopes(anchors: list[tuple[float, float]]) -> list[float]:
+    """Slopes at the anchors: weighted harmonic means within, three-point estimates that keep the shape at the ends."""
+    h = [b[0] - a[0] for a, b in zip(anchors, anchors[1:], strict=False)]
+    d = [(b[1] - a[1]) / w for a, b, w in zip(anchors, anchors[1:], h, strict=False)]
+    if len(d) == 1:
+        return [d[0], d[0]]
+
+    def end(h0: float, h1: float, d0: float, d1: float) -> float:
+        m = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
+        if m * d0 <= 0:
+            return 0.0
+        return 3 * d0 if d0 * d1 <= 0 and abs(m) > 3 * abs(d0) else m
+
+    inner = [0.0 if d[k] * d[k + 1] <= 0 else 3 * (h[k] + h[k + 1]) / ((2 * h[k + 1] + h[k]) / d[k] + (h[k + 1] + 2 * h[k]) / d[k + 1]) for k in range(len(d) - 1)]
+    return [end(h[0], h[1], d[0], d[1]), *inner, end(h[-1], h[-2], d[-1], d[-2])]
+
+
+def parsed(name: str, names: list[str]) -> Column:
+    """A name's number among the names, null if it is none of them."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col(name)).cast("int") - 1, F.lit(-1))
+
+
+def printed(code: Column, names: list[str], other: str) -> Column:
+    return F.coalesce(F.get(F.array(*map(F.lit, names)), code), F.lit(other))
+
+
+def top_peaks(power: Column, n: int, least: float) -> Column:
+    """Places (from 1) of the n strongest local maxima of an array, none under a share of its largest value; ties to the earlier."""
+    inside = F.sequence(F.lit(1), F.size(power) - 2)
+    kept = F.filter(inside, lambda k: (F.get(power, k) > F.get(power, k - 1)) & (F.get(power, k) >= F.get(power, k + 1)) & (F.get(power, k) >= F.array_max(power) * least))
+    ranked = F.array_sort(F.transform(kept, lambda k: F.struct((-F.get(power, k)).alias("p"), (k + 1).alias("k"))))
+    return F.transform(F.slice(ranked, 1, n), lambda x: x["k"])
+
+
 def hours_minutes_seconds(seconds: Column) -> Column:
     s = F.floor(seconds).cast("long")
     return F.when(s >= 3600, F.format_string("%dh%02dm%02ds", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)).when(s >= 60, F.format_string("%dm%02ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%ds", s))

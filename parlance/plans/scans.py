@@ -188,11 +188,14 @@ def scenario_rows(t: Tables):
     """Scenarios read from JSON texts, some of them with gaps, out of range or no JSON."""
     from parlance.operators import planning
 
+    return planning.scenarios(scenario_texts(t), "doc").drop("doc")
+
+
+def scenario_texts(t: Tables):
     k = F.col("n_nationkey")
     part = lambda test, *text: F.when(test, F.concat(*text)).otherwise("")
     doc = F.concat(F.lit('{"name":"'), "n_name", F.lit('"'), part(k % 3 > 0, F.lit(',"voices":'), k % 12), part(k % 4 > 0, F.lit(',"mean":'), k % 5, F.lit(".5")), part(k % 5 > 0, F.lit(',"seconds":'), k * 200), F.lit("}"))
-    texts = t.nation.select("n_nationkey", F.when(k % 7 == 6, "no document").otherwise(doc).alias("doc"))
-    return planning.scenarios(texts, "doc").drop("doc")
+    return t.nation.select("n_nationkey", F.when(k % 7 == 6, "no document").otherwise(doc).alias("doc"))
 
 
 @query()
