@@ -48,6 +48,14 @@ def timeline(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("seed", F.explode("events").alias("e")).select("seed", "e.*")
 
 
+def write_timelines(events: DataFrame, folder: str, seed: str = "seed") -> None:
+    """A timeline document for each seed, its events in order of start and id; the folder's files are what timeline() reads."""
+    fields = [c for c in events.columns if c != seed]
+    rest = [c for c in fields if c not in ("start", "id")]
+    docs = events.groupBy(seed).agg(F.array_sort(F.collect_list(F.struct("start", "id", *rest))).alias("events"))
+    docs.withColumn("part", F.col(seed)).write.partitionBy("part").json(folder)
+
+
 def metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Metric documents, either bare or in a metrics field."""
     docs = spark.read.schema(f"metrics struct<{schema}>, {schema.replace(':', ' ')}").option("multiLine", True).json(path)
@@ -70,3 +78,14 @@ def _fields(schema: str) -> list[str]:
 def write_log(events: DataFrame, folder: str, at: str = "at") -> None:
     """Log events as JSON lines, a folder for each day."""
     events.withColumn("date", F.to_date(at)).write.mode("append").partitionBy("date").json(folder)
+
+
+def rotate_log(spark: SparkSession, folder: str, keep: int) -> list[str]:
+    """Deletes the oldest days of a log, so that the newest few are left; gives their names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    days = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith("date="))
+    gone = days[: max(0, len(days) - keep)]
+    for day in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, day), True)
+    return [d.removeprefix("date=") for d in gone]

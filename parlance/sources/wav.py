@@ -79,6 +79,16 @@ def encode(x: np.ndarray, rate: int, channels: int = 1) -> bytes:
     return b"RIFF" + struct.pack("<I", 20 + len(form) + len(body)) + b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(body)) + body
 
 
+def write_wav(series: DataFrame, name: str, samples: str, rate: int) -> DataFrame:
+    """path, ext, content of a WAV file for each row of samples: what a scan gives for files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf[name].astype(str) + ".wav", "ext": "wav", "content": [encode(np.asarray(x, float), rate) for x in pdf[samples]]})
+
+    return series.select(name, samples).mapInPandas(run, "path string, ext string, content binary")
+
+
 #: Which decoder reads an extension.
 DECODERS = {"wav": decode, "wave": decode, "aif": decode_aiff, "aiff": decode_aiff, "aifc": decode_aiff}
 
