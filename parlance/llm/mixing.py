@@ -134,7 +134,7 @@ def mix(docs: DataFrame, seed: int = 42, doc: str = "doc_id", column: str = "tex
     plan = shared.table(lengths.select("key", "size", "n").join(sources, "key").groupBy("key").applyInPandas(_plan, "key string, size long, times long, more long"), "plan")
     # Slots of a length fill up in order; a slot is taken in full, in part or not at all.
     before = F.sum("n").over(Window.partitionBy("key", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-    cuts = slots.join(plan, ["key", "size"]).withColumn("before", F.coalesce(before, F.lit(0)))
+    cuts = slots.join(plan.hint("merge"), ["key", "size"]).withColumn("before", F.coalesce(before, F.lit(0)))
     cuts = cuts.withColumn("extra", F.least(F.greatest(F.col("more") - F.col("before"), F.lit(0)), "n")).join(sources, "key")
     cuts = cuts.select(F.col("key").alias(n("key")), F.col("size").alias(n("size")), F.col("slot").alias(n("slot")), F.col("times").alias(n("all")), F.col("extra").alias(n("extra")), F.col("n").alias(n("n")), F.col("source_size").alias(n("source_size")), F.col("target").alias(n("target")))
     # Merged, never broadcast: there are as many slots as there are documents, up to SLOTS for each source and length; and
