@@ -191,7 +191,18 @@ def fp_ber(t: Tables):
     return fingerprints.best_matches(fingerprints.bit_errors(t.documents, found)).select("a", "b", "shift", "n", F.round("rate", 6).alias("rate"), "best")
 
 
-@query()
+@query(r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 5 THEN array_to_string(list_slice(w, i, i + 4), ' ') ELSE array_to_string(w, ' ') END AS h
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (SELECT b, list(a) AS earlier FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 180 * common >= 80 * (x.n + y.n) GROUP BY 1),
+d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, coalesce(earlier, []) AS earlier FROM documents LEFT JOIN near ON b = doc_id),
+r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL
+  SELECT d.k, CASE WHEN list_has_any(d.earlier, r.kept) THEN r.kept ELSE list_append(r.kept, d.doc_id) END FROM r JOIN d ON d.k = r.k + 1)
+SELECT doc_id, list_contains((SELECT kept FROM r ORDER BY k DESC LIMIT 1), doc_id) AS accepted FROM documents
+""")
 def dedup_near(t: Tables):
     return fingerprints.near_duplicates(t.documents)
 
