@@ -23,9 +23,12 @@ FLUSH_BYTES = 10 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests in one process."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("parlance.shared.dir", None)
     if not set_dir:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="parlance-")
         spark.conf.set("parlance.shared.dir", set_dir)
     return set_dir.rstrip("/")
