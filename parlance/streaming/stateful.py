@@ -16,7 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share; a temporary one where none is set, as in tests in one process."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     shared = shared or "file://" + tempfile.gettempdir()
     path = f"{shared.rstrip('/')}/parlance-streams/{name}-{uuid.uuid4().hex}"
