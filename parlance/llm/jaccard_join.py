@@ -40,8 +40,8 @@ SMALL_TILE, CENTRES = 8, 3
 #: A shingle of more sets than this has several tiles, by a hash of the set: stars stay within a tile, and crossing pairs
 #: of two tiles are compared in a cell of their own, so no task holds more than two tiles of about so many members.
 PART = 4_096
-#: A task counts shingles in portions of so many hashes and at most so many sets (numbered by 16 bits).
-PORTION, SETS = 1 << 20, 60_000
+#: A task counts shingles in portions of about so many hashes, and of at most so many sets: they are numbered by 16 bits.
+PORTION, SETS = 1 << 20, 0xFFFF
 
 
 def _need(n: np.ndarray) -> np.ndarray:
@@ -56,8 +56,10 @@ def linked(both: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 def _sets(batches, column: str):
     for batch in batches:
         for part in text.chunks(batch, column):
-            values, cuts = text.shingle_sets(*text.buffer(part.column(column)))
-            yield part, values, cuts
+            for s in range(0, part.num_rows, SETS):
+                few = part.slice(s, SETS)
+                values, cuts = text.shingle_sets(*text.buffer(few.column(column)))
+                yield few, values, cuts
 
 
 def _node_ids(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -117,6 +119,8 @@ def _asked(doc: str, column: str, buckets: int):
 
     def settle(held: list[tuple], portion: int):
         doc_id, known, n, sid, values = (np.concatenate(x) for x in zip(*held, strict=True))
+        if len(n) > 0xFFFF:
+            raise ValueError(f"a portion of {len(n)} sets can't be numbered by 16 bits")
         home = int(text.mix(np.array([portion], np.uint64))[0] % np.uint64(buckets))
         # Equal sets post once: the first of them.
         _, first, local = np.unique(sid, return_index=True, return_inverse=True)
@@ -145,11 +149,14 @@ def _asked(doc: str, column: str, buckets: int):
     def run(batches):
         held, size, sets, number = [], 0, 0, TaskContext.get().partitionId() << 32
         for part, values, cuts in _sets(batches, column):
+            if held and sets + part.num_rows > SETS:
+                yield settle(held, number)
+                held, size, sets, number = [], 0, 0, number + 1
             ids = part.column(doc).cast(pa.int64())
             known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False))
             held.append((ids.fill_null(0).to_numpy(), known, np.diff(cuts), _node_ids(values, cuts), values))
             size, sets = size + len(values), sets + len(ids)
-            if size >= PORTION or sets >= SETS:
+            if size >= PORTION:
                 yield settle(held, number)
                 held, size, sets, number = [], 0, 0, number + 1
         if held:
@@ -225,7 +232,7 @@ def _rows_of(docs, later, replies):
     weight = (total[cuts[1:]] - total[cuts[:-1]])[local] / np.maximum(n, 1)
     for s in range(0, len(n), 4096):
         at = range(s, min(s + 4096, len(n)))
-        span = [(cuts[local[k]], cuts[local[k] + 1]) if lead[k] else None for k in at]
+        span = [(cuts[int(local[k])], cuts[int(local[k]) + 1]) if lead[k] else None for k in at]
         part = slice(s, s + 4096)
         yield pa.RecordBatch.from_arrays(
             [

@@ -38,9 +38,23 @@ _LOW = _U64(0xFFFFFFFF)
 ANCHORS, BYTES = 300_000, 1_500_000
 
 
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, _U64), np.ones(1, _U64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base modulo 2^64, and of its inverse: fit for windows of one short length whose bytes are compared."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            made = np.full(n, base, _U64)
+            made[0] = 1
+            _powers[i] = np.multiply.accumulate(made)
+    return _powers[0][:n], _powers[1][:n]
+
+
 def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of the length bytes from each start."""
-    power, inverse = text.powers(len(data) + 1)
+    power, inverse = _power(len(data) + 1)
     prefix = np.empty(len(data) + 1, _U64)
     prefix[0] = 0
     np.cumsum((data.astype(_U64) + _U64(1)) * power[:-1], out=prefix[1:])
@@ -404,7 +418,8 @@ def removed_spans(docs: DataFrame, doc: str = "doc_id", column: str = "text") ->
     """docs with copy__ (all of the text goes) and runs__ (its removed runs of UTF-8 bytes [from, to) as int32 pairs; null if none).
 
     The order is by doc_id (null last) and start. Rows with the same doc_id and different texts are different texts of
-    one place (the smaller hash first); fully equal rows are the same text and get the same runs. Texts under LENGTH
+    one place, in ascending order of their hash (Spark's xxhash64 of the UTF-8 bytes, signed); fully equal rows are the same
+    text and get the same runs. Whole later copies are told by two 64-bit hashes and their length. Texts under LENGTH
     bytes and empty ones lose nothing. All columns of docs are kept (where one ends in two underscores, the new ones have
     more, see shared.namer()); an empty table gives an empty result.
     """
@@ -413,15 +428,16 @@ def removed_spans(docs: DataFrame, doc: str = "doc_id", column: str = "text") ->
     place, content = F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)), F.xxhash64(F.coalesce(F.col(column), F.lit("")))
     texts = docs.select(place.alias("doc_id"), F.col(column).alias("text"), content.alias("cid")).where(F.octet_length("text") >= LENGTH)
     scratch = shared.Scratch(spark)
-    heads = scratch.table(texts.select("doc_id", "cid", F.octet_length("text").alias("n")).distinct(), "heads")
-    firsts = scratch.table(heads.groupBy("cid", "n").agg(F.min("doc_id").alias("first")), "firsts")
+    whole = ["cid", "n", "check"]
+    heads = scratch.table(texts.select("doc_id", "cid", F.octet_length("text").alias("n"), F.xxhash64(F.lit(LENGTH), "text").alias("check")).distinct(), "heads")
+    firsts = scratch.table(heads.groupBy(whole).agg(F.min("doc_id").alias("first")), "firsts")
 
     found = texts.select("text", "cid").mapInArrow(shared.tidy(_anchor_rows(buckets)), _SCHEMA)
     places = shared.route(shared.route(found, buckets).mapInArrow(shared.tidy(_repeated(buckets)), _SCHEMA), buckets).mapInArrow(shared.tidy(_by_text), "cid long, places binary")
     places = scratch.table(places.join(firsts.select("cid", F.col("first").alias("doc_id")), "cid"), "places")
     around = texts.join(places, ["doc_id", "cid"]).select("doc_id", "cid", "text", "places").mapInArrow(shared.tidy(_around_rows(buckets)), _SCHEMA)
     spans = shared.route(shared.route(around, buckets).mapInArrow(shared.tidy(_factor_rows(buckets)), _SCHEMA), buckets).mapInArrow(shared.tidy(_merged), "doc_id long, cid long, runs binary")
-    copies = heads.join(firsts, ["cid", "n"]).where("doc_id > first").select("doc_id", "cid", F.lit(True).alias("copy"), F.lit(None).cast("binary").alias("runs"))
+    copies = heads.join(firsts, whole).where("doc_id > first").select("doc_id", "cid", F.lit(True).alias("copy"), F.lit(None).cast("binary").alias("runs"))
     marks = shared.table(spans.select("doc_id", "cid", F.lit(False).alias("copy"), "runs").unionByName(copies), "spans")
     scratch.clear()
 

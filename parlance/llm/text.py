@@ -15,8 +15,11 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+#: Two prime moduli under 2^31 with a base each: unlike a polynomial modulo 2^64, these tell Thue-Morse words apart.
+_FIELDS = ((2_147_483_647, 1_190_494_759), (2_147_483_629, 1_606_938_045))
+_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, U64), np.ones(1, U64)) for _ in _FIELDS]
+#: Longer spans have their bytes' products reduced first: sums of this many products of 8 and 31 bits fit 64.
+_EXACT = 1 << 24
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,14 +32,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash's base modulo 2^64, and of its inverse."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, base, U64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+def _series(base: int, prime: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo prime, by doubling."""
+    out = np.ones(1, U64)
+    while len(out) < n:
+        out = np.r_[out, out * U64(pow(base, len(out), prime)) % U64(prime)]
+    return out[:n]
+
+
+def powers(field: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a field's base, and of its inverse."""
+    prime, base = _FIELDS[field]
+    if len(_powers[field][0]) < n:
+        n_made = max(n, CHUNK_BYTES + 1)
+        made = _series(base, prime, n_made), _series(pow(base, -1, prime), prime, n_made)
+        if n > 8 * CHUNK_BYTES:  # those of a very long text aren't kept
+            return made
+        _powers[field] = made
+    return _powers[field][0][:n], _powers[field][1][:n]
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,14 +94,22 @@ def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
+    """A 64-bit hash of each span of bytes: its polynomials over two prime fields (62 bits), mixed with its length.
+
+    Two different spans of n bytes meet for about (n / 2^31)^2 of all pairs of bases; the bases are fixed.
+    """
     if not len(starts):
         return np.zeros(0, U64)
-    power, inverse = powers(len(data) + 1)
-    prefix = np.empty(len(data) + 1, U64)
-    prefix[0] = 0
-    np.cumsum((data.astype(U64) + U64(1)) * power[:-1], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    size, value = (ends - starts).astype(U64), np.zeros(len(starts), U64)
+    long = int(size.max()) > _EXACT
+    prefix = np.zeros(len(data) + 1, U64)
+    for field, (prime, _) in enumerate(_FIELDS):
+        power, inverse = powers(field, len(data) + 1)
+        product = (data.astype(U64) + U64(1)) * power[:-1]
+        # Sums wrap, but the difference of two is right as long as a span's own sum fits.
+        np.cumsum(product % U64(prime) if long else product, out=prefix[1:])
+        value = value << U64(32) | (prefix[ends] - prefix[starts]) % U64(prime) * inverse[starts] % U64(prime)
+    return mix(value + size * U64(0xD6E8FEB86659FD93))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

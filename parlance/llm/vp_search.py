@@ -17,6 +17,10 @@ from parlance.llm import shared
 
 #: Vectors of a shard, at most about, and of a leaf.
 SHARD, LEAF = 8_192, 128
+#: Two ways to add up a cosine differ by less.
+ROOM = 1e-12
+#: Queries that a tree takes at once.
+ASKED = 1_024
 
 
 def usable(column: str = "embedding"):
@@ -47,26 +51,31 @@ class Tree:
         self.nodes[k] = (rows,)
         return k
 
-    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(cosines, rows) of each query's k nearest rows whose id isn't its own; -inf and -1 where there are fewer."""
-        best, row = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
+    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(q, row, cosine) of every row that can be among the k nearest of a query, a row whose id is the query's own left out.
+
+        The cosines are products of matrices, whose last bits depend on where a row stands. So all rows within ROOM of a
+        query's k-th are given, ties with it included; the caller scores them exactly and then cuts. A leaf's rows are
+        weighed against the k-th known so far, and once more against the final one.
+        """
+        best, found = np.full((len(queries), k), -np.inf), []
 
         def visit(node: int, active: np.ndarray):
             if not len(active):
                 return
             if len(self.nodes[node]) == 1:
                 rows = self.nodes[node][0]
-                for s in range(0, len(active), 1024):
-                    a = active[s : s + 1024]
-                    cos = queries[a] @ self.unit[rows].T
-                    cos[own[a][:, None] == ids[rows][None, :]] = -np.inf
-                    every = np.concatenate([best[a], cos], axis=1)
-                    which = np.concatenate([row[a], np.broadcast_to(rows, cos.shape)], axis=1)
-                    name = np.where(which >= 0, ids[which], np.iinfo(np.int64).max)
-                    top = np.lexsort((name, -every), axis=1)[:, :k]
-                    best[a], row[a] = np.take_along_axis(every, top, 1), np.take_along_axis(which, top, 1)
-                    # A query's own row isn't found, not even where there are fewer than k others.
-                    row[a] = np.where(np.isneginf(best[a]), -1, row[a])
+                for r in range(0, len(rows), 1024):
+                    some = rows[r : r + 1024]
+                    for s in range(0, len(active), 1024):
+                        a = active[s : s + 1024]
+                        cos = queries[a] @ self.unit[some].T
+                        cos[own[a][:, None] == ids[some][None, :]] = -np.inf
+                        every = np.concatenate([best[a], cos], axis=1)
+                        best[a] = -np.partition(-every, k - 1, axis=1)[:, :k]
+                        best[a] = -np.sort(-best[a], axis=1)
+                        q, j = np.nonzero((cos >= best[a, -1][:, None] - ROOM) & (cos > -np.inf))
+                        found.append((a[q], some[j], cos[q, j]))
                 return
             point, middle, near, far = self.nodes[node]
             d = chord(queries[active] @ self.unit[point])
@@ -79,7 +88,11 @@ class Tree:
             visit(near, active[~inside & cross])
 
         visit(0, np.arange(len(queries)))
-        return best, row
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, row, cos = (np.concatenate(x) for x in zip(*found, strict=True))
+        stay = cos >= best[q, -1] - ROOM
+        return q[stay], row[stay], cos[stay]
 
 
 def chord(cosine: np.ndarray) -> np.ndarray:
@@ -135,23 +148,38 @@ def _search(k: int, factor: float):
                 continue
             for length, parts in held.items():
                 ids, every = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.argsort(ids, kind="stable")
+                # Of equal vectors no query needs more than the k smallest ids and, as one may be its own, one more.
+                _, same = np.unique(every, axis=0, return_inverse=True)
+                order = np.lexsort((ids, same.ravel()))
+                same = same.ravel()[order]
+                order = order[np.arange(len(same)) - np.searchsorted(same, same) <= k]
                 every = _scaled(every[order])
                 trees[length] = ids[order], every, Tree(every / _norm(every)[:, None])
             held = {}
             for rows, matrix in vectors:
-                rows, matrix = rows[asks[rows]], _scaled(matrix[asks[rows]])
-                if not len(rows) or matrix.shape[1] not in trees:
+                asked, matrix = rows[asks[rows]], _scaled(matrix[asks[rows]])
+                if not len(asked) or matrix.shape[1] not in trees:
                     continue
                 ids, every, tree = trees[matrix.shape[1]]
-                cos, found = tree.search(matrix / _norm(matrix)[:, None], vec[rows], ids, k, factor)
-                q, j = np.nonzero(found >= 0)
-                at = found[q, j]
-                yield pa.RecordBatch.from_arrays([pa.array(vec[rows][q]), pa.array(ids[at]), pa.array(cosine(matrix[q], every[at]))], names=["query_id", "vec_id", "score"])
+                for s in range(0, len(asked), ASKED):
+                    yield _best(tree, matrix[s : s + ASKED], vec[asked[s : s + ASKED]], ids, every, k, factor)
 
     return run
 
 
+def _best(tree: Tree, matrix: np.ndarray, vec: np.ndarray, ids: np.ndarray, every: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
+    """The k nearest of a shard's rows for each query, by exact scores; a repeated vec_id counts once, by its best row."""
+    q, at, _ = tree.search(matrix / _norm(matrix)[:, None], vec, ids, k, factor)
+    score = np.concatenate([cosine(matrix[q[s : s + 4096]], every[at[s : s + 4096]]) for s in range(0, max(1, len(q)), 4096)])
+    order = np.lexsort((ids[at], -score, q))
+    q, at, score = q[order], at[order], score[order]
+    _, once = np.unique(np.stack([q, ids[at]]), axis=1, return_index=True)
+    once.sort()
+    q, at, score = q[once], at[once], score[once]
+    stay = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return pa.RecordBatch.from_arrays([pa.array(vec[q[stay]]), pa.array(ids[at[stay]]), pa.array(score[stay])], names=["query_id", "vec_id", "score"])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest vectors other than its own vec_id, ties to the smaller vec_id.
 

@@ -6,7 +6,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from parlance.llm import jaccard_join, suffix_dedup
@@ -102,6 +105,16 @@ def test_join_over_many_portions(odd_docs, odd_rows):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked_groups([r[:2] for r in odd_rows])
 
 
+def test_join_of_more_sets_than_a_portion_numbers(spark, tmp_path):
+    """One file, read as one partition: a long text, then 39,000 linked pairs of 14 words, whose sets pass 16 bits."""
+    pair = lambda k: [" ".join(f"w{k}x{j}" for j in range(14)) + end for end in ("", f" y{k}")]
+    texts = [" ".join(f"l{j}" for j in range(1_060_000)), *(t for k in range(39_000) for t in pair(k))]
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts}), tmp_path / "docs.parquet")
+    docs = spark.read.parquet(str(tmp_path / "docs.parquet")).coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {0: 0} | {1 + k: 1 + k - k % 2 for k in range(78_000)}
+
+
 def test_bit_counts_bound_overlap_from_above():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -124,7 +137,8 @@ def test_components(spark, edges):
 
 def removed(rows, length=100):
     """(doc_id, text) to what is left, by looking at every string of the corpus in order."""
-    place = lambda r: (r[0] is None, r[0] or 0)
+    signed = lambda t: (h := xxhash.xxh64((t or "").encode(), seed=42).intdigest()) - (h >> 63 << 64)
+    place = lambda r: (r[0] is None, r[0] or 0, signed(r[1]))
     seen, out = {}, {}
     for d, t in sorted(set(rows), key=place):
         raw = (t or "").encode()

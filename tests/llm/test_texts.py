@@ -7,11 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from parlance.llm import chat_format, mixing, ngram_lm, order_minhash, packing, text, vp_search
+from parlance.llm import chat_format, jaccard_join, mixing, ngram_lm, order_minhash, packing, text, vp_search
 
 
 def tokens(t):
@@ -371,9 +373,53 @@ def test_search(spark):
     assert vp_search.vector_neighbours(df.limit(0)).count() == 0
 
 
-def test_words_are_bytes_between_white_space():
-    import pyarrow as pa
+def test_search_with_ties(spark):
+    """Every ninth vector is the same: ties go to the smaller vec_id, whatever place of a block a row has."""
+    rng = np.random.default_rng(1)
+    vectors = rng.standard_normal((2_003, 64))
+    vectors[5::9] = vectors[5]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    for size in (8_192, 300):
+        vp_search.SHARD, old = size, vp_search.SHARD
+        got = vp_search.vector_neighbours(df).orderBy("query_id", "rank").collect()
+        vp_search.SHARD = old
+        found = defaultdict(list)
+        for r in got:
+            found[r.query_id].append((r.vec_id, r.score))
+        for q in range(0, 2_003, 50):
+            score = vp_search.cosine(np.broadcast_to(vectors[q], vectors.shape), vectors)
+            order = [k for k in np.lexsort((np.arange(2_003), -score)) if k != q][:5]
+            assert found[q] == [(k, score[k]) for k in order]
+
+
+def test_words_that_collide_in_powers_of_two(spark):
+    """Thue-Morse words and their complements, which every polynomial modulo 2^64 takes for equal."""
+    pairs = [["".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n)) for flip in (0, 1)] for n in (1_024, 2_048, 4_096)]
+    for a, b in pairs:
+        data, offsets = text.buffer(pa.array([a, b]))
+        assert len(set(text.words(data, offsets)[0].tolist())) == 2
+        trained, scored = next(d for d in range(1_000) if zlib.crc32(str(d).encode()) % 7 != 2), next(d for d in range(1_000) if zlib.crc32(str(d).encode()) % 7 == 2)
+        df = spark.createDataFrame([(trained, a), (scored, b)], "doc_id long, text string")
+        assert {r.doc_id: r.n_known for r in ngram_lm.lm_scores(df).collect()} == {trained: 2, scored: 1}
+        assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()} == {trained: trained, scored: scored}
+        path = public_tokenizers.path("word_bpe_49k.json")
+        tok = Tokenizer.from_file(path)
+        want = {d: np.array([*tok.encode(t, add_special_tokens=False).ids, 0], np.uint32) for d, t in ((trained, a), (scored, b))}
+        got = {(r.doc_id, r.piece): r.ids_crc32 for r in packing.pack_documents(df, path).collect()}
+        assert got == {(d, j): zlib.crc32(x[s : s + 2048].tobytes()) for d, x in want.items() for j, s in enumerate(range(0, len(x), 2048))}
+
+
+def test_spans_are_hashed_alike_wherever_they_stand(monkeypatch):
+    raw = np.random.default_rng(0).integers(0, 256, 5_000).astype(np.uint8)
+    data = np.r_[raw, np.zeros(77, np.uint8), raw, raw[:-1]]
+    starts, ends = np.array([0, 5_077, 10_077, 4_000, 9_077]), np.array([5_000, 10_077, 15_076, 4_100, 9_177])
+    one, two, other, *short = text.spans_hash(data, starts, ends).tolist()
+    assert one == two != other and len(set(short)) == 1
+    monkeypatch.setattr(text, "_EXACT", 10)
+    assert text.spans_hash(data, starts, ends).tolist() == [one, two, other, *short]
+
 
+def test_words_are_bytes_between_white_space():
     samples = ["", " a\tb ", "Ä b\x0bC\x0c", "x" * 5000, "a\x1cb \xa0", None]
     data, offsets = text.buffer(pa.array(samples))
     starts, ends = text.bounds(data, offsets)
