@@ -13,14 +13,9 @@ folder that isn't a file system of the machine, an array is copied once to an un
 
 from __future__ import annotations
 
-import contextlib
-import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,45 +111,6 @@ def _pairs(buckets: int, hot):
     return run
 
 
-def _store(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    """The shared folder's file system, as tasks' Python can open it, and its path there."""
-    return pa.fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
-
-
-def _save(folder: str, name: str, values: np.ndarray) -> None:
-    """An array as a file of the shared folder; a task that runs again replaces it by the same one."""
-    fs, path = _store(folder)
-    fresh = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(fresh) as out:
-        out.write(values.tobytes())
-    fs.move(fresh, f"{path}/{name}")
-
-
-_open_arrays: dict[str, np.ndarray] = {}
-
-
-def _load(folder: str, name: str, dtype: str) -> np.ndarray:
-    key = f"{folder}/{name}"
-    if key not in _open_arrays:
-        for old in [k for k in _open_arrays if not k.startswith(folder)]:
-            del _open_arrays[old]
-        fs, path = _store(folder)
-        path = f"{path}/{name}"
-        n = fs.get_file_info(path)
-        if n.type == pa.fs.FileType.NotFound or not n.size:
-            _open_arrays[key] = np.zeros(0, dtype)
-        elif isinstance(fs, pa.fs.LocalFileSystem):
-            _open_arrays[key] = np.memmap(path, dtype, "r")
-        else:
-            with tempfile.NamedTemporaryFile(delete=False) as copy, fs.open_input_stream(path) as source:
-                while block := source.read(1 << 24):
-                    copy.write(block)
-            _open_arrays[key] = np.memmap(copy.name, dtype, "r")
-            with contextlib.suppress(OSError):
-                os.unlink(copy.name)  # the mapping keeps it until the task's process ends
-    return _open_arrays[key]
-
-
 _STEP = "bucket int, n long, blob binary, totals array<long>"
 
 
@@ -186,7 +142,7 @@ def _count_pairs(folder: str, buckets: int):
         keys, small = keys[order], np.minimum(counts[order], _MANY).astype(np.uint8)
         many = counts[order] >= _MANY
         for name, values in (("key", keys), ("count", small), ("many", keys[many]), ("manycount", counts[order][many])):
-            _save(folder, f"pair-{name}-{k}", values)
+            shared.save_array(folder, f"pair-{name}-{k}", values)
         router = shared.Router("u8", "i8", "f4", "f4", "f4", "f4")
         by = np.argsort(words, kind="stable")
         cuts = np.flatnonzero(np.r_[True, words[by][1:] != words[by][:-1]])
@@ -221,7 +177,7 @@ def _count_words(folder: str):
         cuts = np.flatnonzero(np.r_[True, got[0][order][1:] != got[0][order][:-1]])
         cols = [got[0][order][cuts], *(np.add.reduceat(c[order].astype(np.float64 if c.dtype.kind == "f" else np.int64), cuts) for c in got[1:])]
         for (name, dtype), values in zip(_WORD, cols, strict=True):
-            _save(folder, f"word-{name}-{k}", values.astype(dtype))
+            shared.save_array(folder, f"word-{name}-{k}", values.astype(dtype))
         is_word = cols[0] != _BEGIN
         totals = [*_totals(cols[2][is_word].astype(np.int64)), int(is_word.sum()), int(cols[1][is_word].sum())]
         yield pa.RecordBatch.from_arrays([pa.array([totals], pa.list_(pa.int64()))], names=["totals"])
@@ -258,13 +214,13 @@ class Model:
         cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]][: len(b)])
         for s, e in zip(cuts.tolist(), np.r_[cuts[1:], len(b)][: len(cuts)].tolist(), strict=True):
             k = int(b[s])
-            have = _load(self.folder, f"{kind}-{first}-{k}", "u8")
+            have = shared.load_array(self.folder, f"{kind}-{first}-{k}", "u8")
             if len(have):
                 asked = keys[order[s:e]]
                 at = np.minimum(np.searchsorted(have, asked), len(have) - 1)
                 hit = np.asarray(have[at]) == asked
                 for o, (name, d) in zip(out, names, strict=True):
-                    o[order[s:e][hit]] = _load(self.folder, f"{kind}-{name}-{k}", d)[at[hit]]
+                    o[order[s:e][hit]] = shared.load_array(self.folder, f"{kind}-{name}-{k}", d)[at[hit]]
         return out
 
     def score(self, contexts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

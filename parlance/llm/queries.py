@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.llm.byte_bpe import coding_digests
 from parlance.llm.chat_format import DIGESTS_SQL, chat_digests
 from parlance.llm.jaccard_join import jaccard_components
+from parlance.llm.lexical_search import SEARCH_SQL, search
 from parlance.llm.line_crf import quality
 from parlance.llm.mixing import mixture_report
 from parlance.llm.ngram_lm import lm_scores
@@ -14,6 +16,7 @@ from parlance.llm.order_minhash import fingerprints
 from parlance.llm.packing import pack_documents
 from parlance.llm.suffix_dedup import removal_digests
 from parlance.llm.toxicity import toxicity
+from parlance.llm.vector_codes import CODES_SQL, code_digests
 from parlance.llm.vp_search import vector_neighbours
 
 
@@ -61,6 +64,18 @@ def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_digests(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coding_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +89,9 @@ QUERIES = {
         op8_best_fit_packing,
         op9_source_mixing,
         op10_line_crf_quality,
+        op11_vector_codes,
+        op12_byte_bpe,
+        op13_lexical_search,
     )
 }
 
@@ -108,4 +126,6 @@ SELECT query_id, rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) t
 WHERE rank <= 5
 """,
+    "op11_vector_codes": CODES_SQL,
+    "op13_lexical_search": SEARCH_SQL,
 }

@@ -9,12 +9,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,6 +152,46 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+def _store(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """The shared folder's file system, as tasks' Python can open it, and its path there."""
+    return pa.fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
+def save_array(folder: str, name: str, values: np.ndarray) -> None:
+    """An array as a file of the shared folder; a task that runs again replaces it by the same one."""
+    fs, path = _store(folder)
+    fresh = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(fresh) as out:
+        out.write(values.tobytes())
+    fs.move(fresh, f"{path}/{name}")
+
+
+_open_arrays: dict[str, np.ndarray] = {}
+
+
+def load_array(folder: str, name: str, dtype: str) -> np.ndarray:
+    """An array of save_array(), mapped; an empty one if there is none. A task's process keeps those of one folder open."""
+    key = f"{folder}/{name}"
+    if key not in _open_arrays:
+        for old in [k for k in _open_arrays if not k.startswith(folder)]:
+            del _open_arrays[old]
+        fs, path = _store(folder)
+        path = f"{path}/{name}"
+        n = fs.get_file_info(path)
+        if n.type == pa.fs.FileType.NotFound or not n.size:
+            _open_arrays[key] = np.zeros(0, dtype)
+        elif isinstance(fs, pa.fs.LocalFileSystem):
+            _open_arrays[key] = np.memmap(path, dtype, "r")
+        else:
+            with tempfile.NamedTemporaryFile(delete=False) as copy, fs.open_input_stream(path) as source:
+                while block := source.read(1 << 24):
+                    copy.write(block)
+            _open_arrays[key] = np.memmap(copy.name, dtype, "r")
+            with contextlib.suppress(OSError):
+                os.unlink(copy.name)  # the mapping keeps it until the task's process ends
+    return _open_arrays[key]
+
+
 def namer(columns: list[str]) -> Callable[[str], str]:
     """Names for working columns that none of these columns has: a name with two underscores behind it, or more."""
     mark = "__"

@@ -112,6 +112,12 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(value + size * U64(0xD6E8FEB86659FD93))
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all spans in turn: starts[0], starts[0] + 1, ... of sizes[0] places, then those of the next."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words with A-Z lower-cased, and where each text's words begin (n + 1 cuts)."""
     starts, ends = bounds(data, offsets)
