@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators import intervals, spread, stats
+from parlance.operators.kept import kept
 
 
 def generator(seed: int, *name: object) -> np.random.Generator:
@@ -59,7 +60,6 @@ def spread_pool(vectors: DataFrame, keys: list[str], number: str, vector: str, s
     A round is a broadcast of each group's last pick, a new least distance of each row and the first three of each group,
     so no task has a whole group.
     """
-    held = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
     rows = vectors.select(*keys, F.to_json(F.struct(*keys)).alias("g__"), number, F.transform(vector, lambda x: x.cast("double")).alias("v__"))
     groups = rows.groupBy("g__").agg(*(F.first(k).alias(k) for k in keys), F.count("*").alias("n__"))
 
@@ -73,20 +73,20 @@ def spread_pool(vectors: DataFrame, keys: list[str], number: str, vector: str, s
             yield pd.DataFrame(out, columns=["g__", "pick", "draw__"])
 
     names = F.array(*(F.col(k).cast("string") for k in keys)).alias("names__")
-    drawn = held(groups.select("g__", names, "n__").mapInPandas(draw, "g__ string, pick int, draw__ long"))
+    drawn = kept(groups.select("g__", names, "n__").mapInPandas(draw, "g__ string, pick int, draw__ long"))
     place = spread.numbered(rows.select("g__", number), ["g__"], [number], F.col(number), 1 << 16, "place__")
     first = place.join(F.broadcast(drawn.where("pick = 0")), "g__").where("place__ = draw__ + 1").select("g__", number, "pick")
-    last = held(rows.join(F.broadcast(first), ["g__", number]).select("g__", number, "pick", "v__"))
+    last = kept(rows.join(F.broadcast(first), ["g__", number]).select("g__", number, "pick", "v__"))
     picks, left = last, rows.select("g__", number, "v__", F.lit(float("inf")).alias("far__"))
     for r in range(1, size):
         before = last.select("g__", F.col(number).alias("last__"), F.col("v__").alias("p__"))
         squares = F.zip_with("v__", "p__", lambda x, y: (x - y) * (x - y))
         far = F.least("far__", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)))
-        left = held(left.join(F.broadcast(before), "g__").select("g__", number, "v__", F.when(F.col(number) == F.col("last__"), -1.0).otherwise(far).alias("far__")))
+        left = kept(left.join(F.broadcast(before), "g__").select("g__", number, "v__", F.when(F.col(number) == F.col("last__"), -1.0).otherwise(far).alias("far__")))
         rank = F.row_number().over(Window.partitionBy("g__").orderBy(F.desc("far__"), number))
         best = left.where("far__ >= 0").select("g__", number, "far__").withColumn("rank__", rank).where("rank__ <= 3")
         chosen = best.join(F.broadcast(drawn.where(F.col("pick") == r)), "g__").where("rank__ = draw__ + 1").select("g__", number, "pick")
-        last = held(left.join(F.broadcast(chosen), ["g__", number]).select("g__", number, "pick", "v__"))
+        last = kept(left.join(F.broadcast(chosen), ["g__", number]).select("g__", number, "pick", "v__"))
         picks = picks.unionByName(last)
     return picks.join(groups, "g__").select(*keys, "pick", F.col(number).cast("long").alias("number"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from parlance.operators import spread
+from parlance.operators import recurrence
+from parlance.operators.kept import kept
 
 
 def runs(df: DataFrame, keys: list[str], order: list[str], flag: Column) -> DataFrame:
@@ -47,11 +48,6 @@ def later_copies(df: DataFrame, content: Column, order: list[str]) -> DataFrame:
     return keyed.join(first, "content__").where(F.struct(*order) != F.col("first__")).drop("content__", "first__")
 
 
-def _checkpoints(df: DataFrame) -> bool:
-    """Whether the session has a checkpoint folder."""
-    return bool(df.sparkSession.sparkContext.getCheckpointDir())
-
-
 def dense_ids(known: DataFrame, fresh: DataFrame, name: str, number: str) -> DataFrame:
     """known and new names with ids: new ones, in order, go on after the largest that is known.
 
@@ -59,8 +55,7 @@ def dense_ids(known: DataFrame, fresh: DataFrame, name: str, number: str) -> Dat
     """
     new = fresh.select(name).distinct().join(known.select(name), name, "left_anti")
     # Ranges come from samples, so they are drawn once and kept.
-    dealt = new.repartitionByRange(name).withColumn("part__", F.spark_partition_id())
-    dealt = dealt.checkpoint() if _checkpoints(dealt) else dealt.cache()
+    dealt = kept(new.repartitionByRange(name).withColumn("part__", F.spark_partition_id()))
     sizes = dealt.groupBy("part__").agg(F.count("*").alias("n__"))
     before = sizes.withColumn("before__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n__")
     top = known.agg(F.coalesce(F.max(number), F.lit(0)).alias("top__"))
@@ -74,19 +69,5 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, r
 
 
 def exponential_average(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, at: Column, width: int) -> DataFrame:
-    """df's keys and order with ema: s += alpha * (x - s), begun with the first value. at and width: see spread.numbered().
-
-    What lies so far back that its weight is under 1e-18 can't change a double, so an average is a weighted sum over the
-    rows before it: one window over a block of rows, whose weights rise with their place. No task has a whole key.
-    """
-    from math import ceil, log
-
-    reach = ceil(log(1e-18) / log(1 - alpha)) + 1
-    rows = spread.numbered(df.select(*keys, *order, F.col(value).cast("double").alias("x__")), keys, order, at, width, "n__")
-    # Weights stay within the range of doubles: a block is as long as the reach, and sees one block before it.
-    rows = rows.withColumn("block__", F.floor((F.col("n__") - 1) / reach)).withColumn("in__", F.explode(F.array("block__", F.col("block__") + 1)))
-    grown = F.pow(F.lit(1 - alpha), -((F.col("n__") - 1) - (F.col("in__") - 1) * reach))
-    first = F.when(F.col("n__") == 1, 1.0).otherwise(alpha)
-    by = Window.partitionBy(*keys, "in__").orderBy("n__").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("ema", F.sum(F.col("x__") * first * grown).over(by) / grown)
-    return out.where("in__ = block__").select(*keys, *order, "ema")
+    """df's keys and order with ema: s += alpha * (x - s), begun with the first value; see recurrence.scan()."""
+    return recurrence.scan(df, keys, order, value, recurrence.exponential(alpha), at, width, "ema")

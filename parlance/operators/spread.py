@@ -10,12 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators.kept import kept
+
 
 def dealt(df: DataFrame, at: Column, width: int) -> DataFrame:
     """df with range__, the stretch of the clock that a row falls into; the order of rows must begin with that clock."""
     return df.withColumn("range__", F.floor(at / F.lit(width)))
 
 
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of which nulls are equal; the right side's other columns follow the left ones."""
+    right = right.select(*(F.col(c).alias(f"{c}right__") for c in on), *(c for c in right.columns if c not in on))
+    both = left.join(right, [left[c].eqNullSafe(right[f"{c}right__"]) for c in on], how)
+    return both.drop(*(f"{c}right__" for c in on))
+
+
 def _combined(how: str, a: Column, b: Column) -> Column:
     return F.greatest(a, b) if how == "max" else F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
 
@@ -30,7 +39,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str], value: str, name
     totals = rows.groupBy(*keys, "range__").agg(function(value).alias("total__"))
     totals = totals.withColumn("earlier__", function("total__").over(earlier)).drop("total__")
     within = Window.partitionBy(*keys, "range__").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    out = rows.withColumn("within__", function(value).over(within)).join(totals, [*keys, "range__"])
+    out = joined(rows.withColumn("within__", function(value).over(within)), totals, [*keys, "range__"])
     return out.withColumn(name, _combined(how, F.col("within__"), F.col("earlier__"))).drop("within__", "earlier__")
 
 
@@ -58,7 +67,7 @@ def by_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     Ranges come from samples, so they are drawn once and kept.
     """
     dealt = df.repartitionByRange(*keys, *order).withColumn("range__", F.spark_partition_id())
-    return dealt.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else dealt.cache()
+    return kept(dealt)
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

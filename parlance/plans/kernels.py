@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from parlance.operators import sequences
 from parlance.operators import series as S
 from parlance.plans.registry import DAY, Tables, query, spans
 
@@ -30,11 +29,6 @@ def _powers(t: Tables):
     return _frames(t).select("user_id", "frame", F.posexplode(F.array(*S.band_powers(F.col("x")))).alias("k", "p")).withColumn("k", (F.col("k") + 1).cast("long"))
 
 
-@query(f"WITH {_L} SELECT user_id, count(*) FILTER (WHERE active) AS active_frames FROM a GROUP BY 1")
-def feat_vad(t: Tables):
-    return S.activity(_frames(t), "user_id").groupBy("user_id").agg(F.count_if("active").alias("active_frames"))
-
-
 @query("""
 WITH t AS (SELECT user_id, k, count(*) AS n, sum(value * value) AS energy, count(*) FILTER (WHERE abs(value) >= pow(2.0, 9 - k)) AS c FROM events, (SELECT unnest(range(0, 16)) AS k) x GROUP BY 1, 2),
 l AS (SELECT user_id, k, c / n AS share, 10 * log10(greatest(energy, 1e-20) / c) AS level FROM t WHERE c > 0)
@@ -50,13 +44,6 @@ def feat_snr(t: Tables):
     return rows.select("user_id", F.round(F.col("on") - F.col("floor"), 6).alias("snr_db"))
 
 
-@query(f"WITH {_P}, m AS (SELECT user_id, k, avg(p) AS p FROM p GROUP BY 1, 2) SELECT user_id, k, round(10 * log10(greatest(p / sum(p) OVER (PARTITION BY user_id), 1e-12)), 6) AS level_db FROM m")
-def feat_ltass(t: Tables):
-    bands = _powers(t).groupBy("user_id", "k").agg(F.avg("p").alias("p"))
-    whole = bands.groupBy("user_id").agg(F.sum("p").alias("whole"))
-    return bands.join(whole, "user_id").select("user_id", "k", F.round(S.level(F.col("p") / F.col("whole")), 6).alias("level_db"))
-
-
 @query(f"WITH {_D}, n AS (SELECT user_id, lag, count(*) AS n FROM v GROUP BY 1, 2) SELECT user_id, arg_min(lag, [-n, lag]) AS period, sum(n)::BIGINT AS frames FROM n GROUP BY 1")
 def feat_f0(t: Tables):
     """The commonest period of a user's frames, the shorter on ties."""
@@ -118,16 +105,6 @@ def feat_all(t: Tables):
     return rows.select("user_id", "frames", *(F.round(c, 6).alias(c) for c in ("peak", "level_db", "spread_db", "busy", "crest", "depth", "rate")))
 
 
-@query(f"""
-WITH {_P} SELECT a.user_id, a.k, a.frame, round(10 * log10(greatest(sum(b.p * pow(0.7, a.frame - b.frame) * CASE WHEN b.frame = 0 THEN 1.0 ELSE 0.3 END), 1e-12)), 4) AS level_db
-FROM p a JOIN p b ON a.user_id = b.user_id AND a.k = b.k AND b.frame <= a.frame GROUP BY 1, 2, 3
-""")
-def spec_blocks(t: Tables):
-    """Band levels of frames, smoothed over time."""
-    rows = sequences.exponential_average(_powers(t), ["user_id", "k"], ["frame"], "p", 0.3, F.col("frame"), 1 << 16)
-    return rows.select("user_id", "k", "frame", F.round(S.level(F.col("ema")), 4).alias("level_db"))
-
-
 @query(f"""
 WITH {_L}, e AS (SELECT w, user_id, frame - 2 * w AS j, pow(10.0, level / 20) AS x FROM l, (SELECT unnest(range(0, 100000)) AS w) g WHERE frame >= 2 * w AND frame < 2 * w + 4),
 full_ AS (SELECT * FROM e QUALIFY count(*) OVER (PARTITION BY user_id, w) = 4)

@@ -139,23 +139,3 @@ def state_roundtrip(t: Tables):
     used = spans(t).groupBy("user_id").agg(F.count("*").alias("n"), F.max("t0").alias("last"))
     out = S.exported(used, "last", _NOW, "1.2").withColumn("document", F.when(F.col("user_id") % 10 == 0, F.replace("document", F.lit('"1.2"'), F.lit('"2.0"'))).otherwise(F.col("document")))
     return S.imported(out, "document", 5_000_000_000, 48_000, 1).select("user_id", "n", "accepted", "last")
-
-
-@query("""
-WITH s AS (SELECT user_id, value - 0.5 * coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS y, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 4 AS block FROM events),
-b AS (SELECT user_id, block, avg(y * y) AS power FROM s GROUP BY 1, 2 HAVING count(*) = 4)
-SELECT a.user_id, a.block, round(10 * log10(greatest(a.power, 1e-12)), 6) AS level, CASE WHEN a.block >= 3 THEN round(10 * log10(greatest(avg(c.power), 1e-12)), 6) END AS momentary
-FROM b a JOIN b c ON c.user_id = a.user_id AND c.block BETWEEN a.block - 3 AND a.block GROUP BY 1, 2, a.power
-""")
-def stream_meters(t: Tables):
-    """Blocks of pre-emphasised values, and the level of four in a row, undefined until there are four."""
-    from parlance.operators import series, spread
-
-    placed = spread.numbered(spans(t).select("user_id", "event_id", "t0", "value"), ["user_id"], ["t0", "event_id"], F.col("t0"), DAY, "n")
-    before = placed.select("user_id", (F.col("n") + 1).alias("n"), F.col("value").alias("before"))
-    y = F.col("value") - 0.5 * F.coalesce("before", F.lit(0.0))
-    blocks = placed.join(before, ["user_id", "n"], "left").groupBy("user_id", F.floor((F.col("n") - 1) / 4).alias("block")).agg(F.avg(y * y).alias("power"), F.count("*").alias("k")).where("k = 4").drop("k")
-    near = blocks.withColumn("at", F.explode(F.sequence(F.col("block"), F.col("block") + 3)))
-    four = near.groupBy("user_id", F.col("at").alias("block")).agg(F.avg("power").alias("mean"))
-    momentary = F.when(F.col("block") >= 3, F.round(series.level(F.col("mean")), 6))
-    return blocks.join(four, ["user_id", "block"]).select("user_id", "block", F.round(series.level(F.col("power")), 6).alias("level"), momentary.alias("momentary"))

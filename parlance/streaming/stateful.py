@@ -35,15 +35,19 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """What a stream gives for all that is there now, as a table."""
+    """What a stream gives for all that is there now, as a table.
+
+    A batch has a folder of its own, which it overwrites: one that runs again after a crash is there once. In mode
+    "complete" each batch is the whole result, and the last one counts.
+    """
     spark = stream.sparkSession
     base = folder(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out" if mode == "complete" else f"{base}/out/*")
 
 
 def windowed(stream: DataFrame, keys: list[str], length: str, slide: str | None = None) -> DataFrame:
