@@ -139,3 +139,38 @@ def state_roundtrip(t: Tables):
     used = spans(t).groupBy("user_id").agg(F.count("*").alias("n"), F.max("t0").alias("last"))
     out = S.exported(used, "last", _NOW, "1.2").withColumn("document", F.when(F.col("user_id") % 10 == 0, F.replace("document", F.lit('"1.2"'), F.lit('"2.0"'))).otherwise(F.col("document")))
     return S.imported(out, "document", 5_000_000_000, 48_000, 1).select("user_id", "n", "accepted", "last")
+
+
+_HOUR_MS = 3_600_000
+#: Horizons and step of snapshots, in ms.
+_HORIZONS, _STEP = [10 * _HOUR_MS, 60 * _HOUR_MS, 600 * _HOUR_MS], 12 * _HOUR_MS
+
+
+@query(f"""
+WITH e AS (SELECT user_id, epoch_ms(ts) AS t, value FROM events), w AS (SELECT max(epoch_ms(ts)) - 86400000 AS now FROM events),
+a AS (SELECT user_id, unnest(range((min(t) + {_STEP - 1}) // {_STEP}, now // {_STEP} + 1)) * {_STEP} AS upto FROM e, w GROUP BY user_id, now)
+SELECT a.user_id, a.upto, {", ".join(f"count(*) FILTER (WHERE t > a.upto - {h}) AS n{k}, round(10 * log10(avg(value * value + 1e-12) FILTER (WHERE t > a.upto - {h})), 6) AS level{k}" for k, h in enumerate(_HORIZONS))}
+FROM a JOIN e ON e.user_id = a.user_id AND t > a.upto - {_HORIZONS[-1]} AND t <= a.upto GROUP BY 1, 2
+""")
+def horizon_snapshots(t: Tables):
+    """A user's level over the last 10, 60 and 600 hours, every 12 hours; older rows leave the state."""
+    from parlance.streaming import timers
+
+    stream = S.event_stream(t.spark, f"{t.folder}/events.parquet").withColumn("t", F.unix_millis("at"))
+    out = S.drained(timers.snapshots(stream, "user_id", _HORIZONS, _STEP, "1 day"), "horizons", "append")
+    return out.select("user_id", F.col("at").alias("upto"), *(c for k in range(3) for c in (F.col(f"n{k}"), F.round(10 * F.log10(F.col(f"power{k}") + 1e-12), 6).alias(f"level{k}"))))
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, epoch_ms(ts) AS t, event_type FROM events), w AS (SELECT max(epoch_ms(ts)) - 86400000 AS now FROM events),
+s AS (SELECT r.user_id, r.event_id, r.t, min(v.t) AS first FROM e r LEFT JOIN e v ON v.user_id = r.user_id AND v.event_type = 'view' AND v.t >= r.t - {10 * _HOUR_MS} WHERE r.event_type = 'click' GROUP BY 1, 2, 3),
+p AS (SELECT *, CASE WHEN first IS NOT NULL THEN greatest(0, ceil((first - t) / {_HOUR_MS}))::INTEGER ELSE 99 END AS tries FROM s, w WHERE t + {10 * _HOUR_MS} <= now)
+SELECT user_id, event_id AS number, CASE WHEN tries <= 10 THEN tries ELSE 10 END AS postponed, CASE WHEN tries <= 10 THEN 'started' ELSE 'starved' END AS outcome FROM p
+""")
+def postponed_starts(t: Tables):
+    """Clicks wait for a view of their user, looked for every hour; after ten hours they starve."""
+    from parlance.streaming import timers
+
+    stream = S.event_stream(t.spark, f"{t.folder}/events.parquet").where("event_type in ('click', 'view')")
+    rows = stream.select("user_id", "at", F.unix_millis("at").alias("t"), F.col("event_id").alias("number"), (F.col("event_type") == "view").alias("is_source"))
+    return S.drained(timers.postponed(rows, "user_id", _HOUR_MS, 10, "1 day"), "postponed", "append")

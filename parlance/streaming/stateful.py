@@ -34,14 +34,15 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(pattern).withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "complete", base: str | None = None) -> DataFrame:
     """What a stream gives for all that is there now, as a table.
 
     A batch has a folder of its own, which it overwrites: one that runs again after a crash is there once. In mode
-    "complete" each batch is the whole result, and the last one counts.
+    "complete" each batch is the whole result, and the last one counts. With a base folder of an earlier call the stream
+    goes on from its state, and all that has come out so far is given.
     """
     spark = stream.sparkSession
-    base = folder(spark, name)
+    base = base or folder(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={number}")
