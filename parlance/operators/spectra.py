@@ -24,11 +24,13 @@ def edges(band: int) -> tuple[float, float]:
     return 10 ** ((band - 0.5) / 10), 10 ** ((band + 0.5) / 10)
 
 
-def hops(df: DataFrame, keys: list[str], order: list[str], value: str, hop: int, at: Column, width: int) -> DataFrame:
-    """keys, hop (from 0), x: whole hops of so many values by key and order; null values count as 0. See spread.numbered()."""
+def hops(df: DataFrame, keys: list[str], order: list[str], value: str, hop: int, at: Column, width: int, rest: bool = False) -> DataFrame:
+    """keys, hop (from 0), x: whole hops of so many values by key and order (rest: also the shorter one at a key's end);
+    null values count as 0. See spread.numbered()."""
     rows = spread.numbered(df.select(*keys, *order, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x__")), keys, order, at, width, "n__")
     cell = rows.select(*keys, F.floor((F.col("n__") - 1) / hop).cast("long").alias("hop"), F.struct("n__", "x__").alias("v__"))
-    cut = cell.groupBy(*keys, "hop").agg(F.array_sort(F.collect_list("v__")).alias("v__")).where(F.size("v__") == hop)
+    cut = cell.groupBy(*keys, "hop").agg(F.array_sort(F.collect_list("v__")).alias("v__"))
+    cut = cut if rest else cut.where(F.size("v__") == hop)
     return cut.select(*keys, "hop", F.col("v__.x__").alias("x"))
 
 

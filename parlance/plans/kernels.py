@@ -44,13 +44,6 @@ def feat_snr(t: Tables):
     return rows.select("user_id", F.round(F.col("on") - F.col("floor"), 6).alias("snr_db"))
 
 
-@query(f"WITH {_D}, n AS (SELECT user_id, lag, count(*) AS n FROM v GROUP BY 1, 2) SELECT user_id, arg_min(lag, [-n, lag]) AS period, sum(n)::BIGINT AS frames FROM n GROUP BY 1")
-def feat_f0(t: Tables):
-    """The commonest period of a user's frames, the shorter on ties."""
-    n = S.periods(_frames(t)).groupBy("user_id", "lag").agg(F.count("*").alias("n"))
-    return n.groupBy("user_id").agg(F.min_by("lag", F.struct(-F.col("n"), "lag")).alias("period"), F.sum("n").alias("frames"))
-
-
 _R = """r AS (SELECT user_id, level > lag(level) OVER w AND level >= lead(level) OVER w AS peak, active FROM a WINDOW w AS (PARTITION BY user_id ORDER BY frame))"""
 
 

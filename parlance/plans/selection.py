@@ -219,18 +219,6 @@ def reverberation(t: Tables):
     return stats.quantiles(decays, ["user_id"], "decay", "event_id", {"median": 0.5}).join(n, "user_id").select("user_id", "n", F.round("median", 6).alias("median"), ((F.col("n") >= 5) & (F.col("median") < 1.0)).alias("reverberant"))
 
 
-@query(f"""
-WITH {_FRAMES}, i AS (SELECT user_id, frame, abs(x) AS x, abs(-x / 16 + 9 * lead(x, 1) OVER w / 16 + 9 * lead(x, 2) OVER w / 16 - lead(x, 3) OVER w / 16) AS y FROM f WINDOW w AS (PARTITION BY user_id, frame ORDER BY pos))
-SELECT user_id, frame, round(greatest(max(x), max(y)), 6) AS peak FROM i GROUP BY 1, 2
-""")
-def true_peak(t: Tables):
-    """A frame's peak, also between its values, where four neighbours say what lies in the middle."""
-    x = F.col("x")
-    taps = [-1 / 16, 9 / 16, 9 / 16, -1 / 16]
-    between = F.transform(F.sequence(F.lit(1), F.lit(S.FRAME - 3)), lambda i: F.abs(sum((F.get(x, i - 1 + j) * c for j, c in enumerate(taps)), F.lit(0.0))))
-    return _frames(t).select("user_id", "frame", F.round(F.greatest(F.array_max(F.transform(x, lambda v: F.abs(v))), F.array_max(between)), 6).alias("peak"))
-
-
 @query("SELECT doc_id, greatest(n_chars, 0.001) AS weight, n_chars AS speech, round(pow(10.0, least(n_chars, 2000) / 1000.0), 6) AS power FROM documents")
 def contribution(t: Tables):
     n = F.col("n_chars")

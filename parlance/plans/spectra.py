@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.operators import loudness, series, spectra, spread, stats
+from parlance.operators import loudness, peaks, pitch, series, spectra, spread, stats
 from parlance.operators.intervals import micros
 from parlance.operators.kept import kept
 from parlance.plans.registry import DAY, Tables, query
@@ -117,3 +117,64 @@ def feat_vad(t: Tables):
     floors = stats.floor_percentile(rows, _KEYS, "level", "frame", 0.1).withColumnRenamed("floor_percentile", "floor_db")
     active = (F.col("level") > F.col("floor_db") + 1.0) & (F.col("flat") < 0.5)
     return spread.joined(rows, floors, _KEYS).groupBy("event_type").agg(F.count("*").alias("frames"), F.count_if(active).alias("active"), F.round(F.first("floor_db"), 6).alias("floor_db"))
+
+
+def _taps_sql() -> str:
+    taps = peaks.phases(4)
+    return ", ".join(f"({j}, {peaks.TAPS - 1 - i}, {float(c)!r})" for j, row in enumerate(taps) for i, c in enumerate(row))
+
+
+@query(f"""
+WITH {_NUMBERED}, c(phase, back, tap) AS (VALUES {_taps_sql()}),
+y AS (SELECT a.event_type, a.n, phase, sum(tap * b.x) AS y FROM n a JOIN c ON true JOIN n b ON b.event_type = a.event_type AND b.n = a.n - back GROUP BY 1, 2, 3)
+SELECT a.event_type, (a.n - 1) // 100 AS block, round(max(abs(a.x)), 6) AS sample_peak, round(greatest(max(abs(a.x)), max(abs(y))), 6) AS true_peak FROM n a JOIN y ON y.event_type = a.event_type AND y.n = a.n GROUP BY 1, 2
+""")
+def true_peak(t: Tables):
+    """The peaks of blocks of 100 values, also between them, at four times their rate."""
+    rows = peaks.true_peaks(t.events, _KEYS, _ORDER, "value", 100, 4, micros("ts"), DAY)
+    return rows.select("event_type", "block", F.round("sample_peak", 6).alias("sample_peak"), F.round("true_peak", 6).alias("true_peak"))
+
+
+#: Frames of 64 values at 1,000 a second: a window of 40 and lags up to 24, a frame every 16 values.
+_WINDOW, _PITCH_RATE, _LOW, _HIGH, _CLEAR = 40, 1_000.0, 42.0, 400.0, 0.7
+
+
+def _tracks(t: Tables):
+    framed = spectra.frames(t.events, _KEYS, _ORDER, "value", SIZE, 16, micros("ts"), DAY)
+    return pitch.track(framed, _KEYS, _PITCH_RATE, _WINDOW, _LOW, _HIGH, _CLEAR)
+
+
+_FIRST, _LAST = int(_PITCH_RATE / _HIGH), int(_PITCH_RATE / _LOW)
+_TRACK = f"""{_NUMBERED},
+c AS (SELECT event_type, (n - 1) // 16 - d AS frame, (n - 1) % 16 + d * 16 AS pos, x FROM n, (SELECT unnest([0, 1, 2, 3]) AS d) s WHERE (n - 1) // 16 >= d),
+w AS MATERIALIZED (SELECT event_type, frame, pos, x FROM c QUALIFY count(*) OVER (PARTITION BY event_type, frame) = {SIZE}),
+d AS (SELECT a.event_type, a.frame, lag, sum((a.x - b.x) * (a.x - b.x)) AS d FROM w a, (SELECT unnest(range(1, {SIZE - _WINDOW + 1})) AS lag) g, w b
+  WHERE a.pos < {_WINDOW} AND b.event_type = a.event_type AND b.frame = a.frame AND b.pos = a.pos + lag GROUP BY 1, 2, 3),
+m AS MATERIALIZED (SELECT event_type, frame, lag, d * lag / sum(d) OVER (PARTITION BY event_type, frame ORDER BY lag) AS cm FROM d),
+b AS (SELECT event_type, frame, min(lag) AS begin FROM m WHERE cm < {_CLEAR} AND lag BETWEEN {_FIRST} AND {_LAST} GROUP BY 1, 2),
+s AS (SELECT *, lead(cm) OVER v AS after, lag(cm) OVER v AS before FROM m WINDOW v AS (PARTITION BY event_type, frame ORDER BY lag)),
+p AS (SELECT event_type, frame, min(lag) AS best FROM s JOIN b USING (event_type, frame) WHERE lag >= begin AND (lag = {_LAST} OR lag <= {_LAST} AND after >= cm) GROUP BY 1, 2),
+r AS (SELECT event_type, frame, {_PITCH_RATE} / (best + CASE WHEN after IS NOT NULL AND best > 1 AND abs(before - 2 * cm + after) > 1e-12 THEN 0.5 * (before - after) / (before - 2 * cm + after) ELSE 0 END) AS raw
+  FROM p JOIN s USING (event_type, frame) WHERE lag = best),
+h AS (SELECT a.event_type, a.frame, list_sort(list(b.raw)) AS v FROM r a JOIN r b ON b.event_type = a.event_type AND b.frame BETWEEN a.frame - 2 AND a.frame + 2 GROUP BY 1, 2),
+t AS (SELECT w.event_type, w.frame, v[len(v) // 2 + 1] AS hz FROM (SELECT DISTINCT event_type, frame FROM w) w LEFT JOIN h USING (event_type, frame))"""
+
+
+@query(f"WITH {_TRACK} SELECT event_type, frame, round(hz, 4) AS hz FROM t")
+def pitch_track(t: Tables):
+    """The pitch of each frame, null where there is none."""
+    return _tracks(t).select("event_type", "frame", F.round("hz", 4).alias("hz"))
+
+
+@query(f"""
+WITH {_TRACK}, k AS (SELECT event_type, greatest(0, least({pitch.BINS - 1}, floor((12 * log2(hz / {pitch.REFERENCE_HZ}) + {pitch.BELOW + pitch.SEMITONES}) / {pitch.SEMITONES}))) AS bin, count(*) AS n FROM t WHERE hz IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT e.event_type, string_agg((round(1000 * coalesce(n, 0) / total))::BIGINT, ' ' ORDER BY g) AS histogram FROM (SELECT event_type, sum(n) AS total FROM k GROUP BY 1) e
+  CROSS JOIN (SELECT unnest(range({pitch.BINS})) AS g) LEFT JOIN k ON k.event_type = e.event_type AND k.bin = g GROUP BY 1)
+SELECT event_type, count(*) AS frames, round(count(hz) / count(*), 6) AS voiced, round(avg(hz), 4) AS mean, round(quantile_cont(hz, 0.05), 4) AS p5, round(quantile_cont(hz, 0.5), 4) AS median,
+  round(quantile_cont(hz, 0.95), 4) AS p95, round(12 * log2(quantile_cont(hz, 0.95) / quantile_cont(hz, 0.05)), 4) AS semitones, any_value(histogram) AS histogram FROM t LEFT JOIN f USING (event_type) GROUP BY 1
+""")
+def feat_f0(t: Tables):
+    """Statistics and histogram (in thousandths) of the pitch of each kind of event."""
+    rows = pitch.track_statistics(_tracks(t), _KEYS)
+    bins = F.array_join(F.transform("histogram", lambda p: F.round(1000 * p).cast("long")), " ")
+    return rows.select("event_type", "frames", F.round("voiced", 6).alias("voiced"), *(F.round(c, 4).alias(c) for c in ("mean", "p5", "median", "p95", "semitones")), bins.alias("histogram"))

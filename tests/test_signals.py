@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators import loudness, recurrence, spectra
+from parlance.operators import loudness, peaks, pitch, recurrence, spectra
 
 RATE = 48_000
 
@@ -121,3 +121,48 @@ def test_long_term_spectrum_and_flatness(spark):
     assert abs(long["white"].centroid - RATE / 4) < 500 and long["white"].bandwidth > 23_000 and long["tone"].bandwidth < 5_000
     flat = {r.k: r.f for r in rows.groupBy("k").agg(F.avg(spectra.flatness(F.col("power"), 3, 42)).alias("f")).collect()}
     assert flat["tone"] < 0.1 < 0.45 < flat["white"]
+
+
+def test_peaks_between_values(spark, monkeypatch):
+    """A sine of a quarter of the rate, whose values are all 1, has peaks of the root of 2; taps reach over blocks and keys begin at rest."""
+    n, t = 2_003, F.col("id")
+    wave = spark.range(n).select(F.lit("sine").alias("k"), t.alias("t"), (math.sqrt(2) * F.sin(math.pi / 2 * t + math.pi / 4)).alias("x"))
+    odd = spark.createDataFrame([(None, 0, -3.0), ("one", 0, None)], "k string, t long, x double")
+    for block in (12, 100, 5_000):
+        got = {(r.k, r.block): r for r in peaks.true_peaks(wave.unionByName(odd), ["k"], ["t"], "x", block, 4, F.col("t"), 64).collect()}
+        assert len(got) == -(-n // block) + 2
+        inner = [r for (k, b), r in got.items() if k == "sine" and b * block >= 100 or block == 5_000 and k == "sine"]
+        assert all(abs(20 * math.log10(max(r.true_peak for r in inner)) - 3.01) < 0.3 and abs(r.sample_peak - 1) < 1e-9 for r in inner)
+        assert got[None, 0].true_peak >= 3.0 == got[None, 0].sample_peak and got["one", 0].true_peak == 0.0
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal(250)
+    df = spark.createDataFrame([("a", k, float(v)) for k, v in enumerate(x)], "k string, t long, x double")
+    full = np.abs(np.lib.stride_tricks.sliding_window_view(np.r_[np.zeros(11), x], 12) @ peaks.phases(4).T).max(axis=1)
+    got = peaks.true_peaks(df, ["k"], ["t"], "x", 20, 4, F.col("t"), 7).orderBy("block").collect()
+    assert np.allclose([r.true_peak for r in got], [max(full[s : s + 20].max(), np.abs(x[s : s + 20]).max()) for s in range(0, 250, 20)])
+    assert peaks.oversampling(48_000) == 4 and peaks.oversampling(96_000) == 2 and peaks.oversampling(192_000) == 1
+
+
+def test_pitch_of_sines(spark):
+    """Tones of known pitch at 16 kHz, noise and silence."""
+    rate, seconds = 16_000, 0.5
+    rng = np.random.default_rng(2)
+    n = int(rate * seconds)
+    series = {"a": 0.5 * np.sin(2 * np.pi * 110.0 / rate * np.arange(n)), "b": 0.1 * np.sin(2 * np.pi * 233.1 / rate * np.arange(n)), "noise": rng.standard_normal(n), "none": np.zeros(n)}
+    rows = [(k, s // 500, x[s : s + 500].tolist()) for k, x in series.items() for s in range(0, n, 500)]
+    df = spark.createDataFrame(rows, "k string, part long, v array<double>").select("k", F.posexplode("v").alias("p", "x"), "part").select("k", (F.col("part") * 500 + F.col("p")).alias("t"), "x")
+    framed = spectra.frames(df, ["k"], ["t"], "x", 960, 160, F.col("t"), rate)
+    tracks = pitch.track(framed, ["k"], rate, 640, 60.0, 400.0)
+    found = {r.k: r for r in pitch.track_statistics(tracks, ["k"]).collect()}
+    assert found["a"].voiced == found["b"].voiced == 1.0 and found["none"].voiced == 0.0 and found["none"].histogram is None and found["noise"].voiced < 0.2
+    for k, hz in (("a", 110.0), ("b", 233.1)):
+        assert abs(found[k].mean - hz) < 0.2 and abs(found[k].p5 - hz) < 0.5 and abs(found[k].semitones) < 0.1
+        assert abs(sum(found[k].histogram) - 1) < 1e-12 and found[k].histogram[int((12 * math.log2(hz / 100) + 8) // 2)] == 1.0
+
+
+def test_differences_by_definition():
+    x = np.random.default_rng(3).standard_normal((5, 64))
+    cm = pitch.normalised_differences(x, 40)
+    for row, own in zip(x, cm, strict=True):
+        d = [sum((row[:40] - row[k : k + 40]) ** 2) for k in range(25)]
+        assert np.allclose(own[1:], [d[k] * k / sum(d[1 : k + 1]) for k in range(1, 25)])
