@@ -6,7 +6,7 @@ from importlib import import_module
 
 from parlance.plans.registry import ORACLES, QUERIES
 
-for _name in ("scans", "joins", "aggregates", "windows", "scalars", "planning", "streams", "kernels", "spectra", "selection", "files"):
+for _name in ("scans", "joins", "aggregates", "windows", "scalars", "planning", "streams", "kernels", "spectra", "random", "selection", "files"):
     import_module(f"parlance.plans.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
