@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What stands between a version's name and its folder's own.
+_MARK = "@"
+
+
 def _fs(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -31,13 +35,17 @@ def digest(df: DataFrame, columns: list[str]) -> str:
 
 
 def commit(spark: SparkSession, folder: str, version: str, tables: dict[str, DataFrame]) -> None:
-    """Writes all tables of a version, then its manifest; readers see the old version until then."""
+    """Writes all tables of a version into a fresh folder, then its manifest; readers see the old version until then.
+
+    A version's name can be used again, also while it is current: its new tables stand beside the old ones.
+    """
+    place = f"{version}{_MARK}{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
+        df.write.mode("errorifexists").parquet(f"{folder}/{place}/{name}")
     path, fs = _fs(spark, folder)
     fresh = spark._jvm.org.apache.hadoop.fs.Path(path, f".manifest-{version}-{uuid.uuid4().hex}")
     out = fs.create(fresh, True)
-    out.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}).encode()))
+    out.write(bytearray(json.dumps({"version": version, "folder": place, "tables": sorted(tables)}).encode()))
     out.close()
     number = max(_manifests(spark, folder), default=0) + 1
     while not fs.rename(fresh, spark._jvm.org.apache.hadoop.fs.Path(path, _name(number))):
@@ -54,26 +62,31 @@ def _manifests(spark: SparkSession, folder: str) -> list[int]:
     return [int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d{12})\.json", n))]
 
 
-def current(spark: SparkSession, folder: str) -> str:
+def _manifest(spark: SparkSession, folder: str) -> dict:
     newest = max(_manifests(spark, folder), default=None)
     if newest is None:
         raise FileNotFoundError(f"{folder} has no manifest")
-    return spark.read.option("multiLine", True).json(f"{folder}/{_name(newest)}").first()["version"]
+    return spark.read.option("multiLine", True).schema("version string, folder string").json(f"{folder}/{_name(newest)}").first().asDict()
+
+
+def current(spark: SparkSession, folder: str) -> str:
+    return _manifest(spark, folder)["version"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{current(spark, folder)}/{name}")
+    return spark.read.parquet(f"{folder}/{_manifest(spark, folder)['folder']}/{name}")
 
 
 def purge(spark: SparkSession, folder: str, pinned: set[str] = frozenset()) -> list[str]:
-    """Deletes generations that are neither current nor pinned, and manifests before the newest; gives the generations' names."""
+    """Deletes generations that are neither current nor of a pinned version, and manifests before the newest; gives their versions."""
     path, fs = _fs(spark, folder)
     for number in sorted(_manifests(spark, folder))[:-1]:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, _name(number)), False)
-    keep, gone = {current(spark, folder), *pinned}, []
+    live, gone = _manifest(spark, folder)["folder"], []
     for status in fs.listStatus(path):
         name = status.getPath().getName()
-        if status.isDirectory() and name not in keep:
+        version = name.rpartition(_MARK)[0]
+        if status.isDirectory() and name != live and version not in pinned:
             fs.delete(status.getPath(), True)
-            gone.append(name)
+            gone.append(version)
     return sorted(gone)

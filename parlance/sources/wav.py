@@ -46,7 +46,8 @@ def decode(raw: bytes) -> tuple[int, int, np.ndarray]:
 
 
 def decode_aiff(raw: bytes) -> tuple[int, int, np.ndarray]:
-    """The same of AIFF and AIFF-C with big- or little-endian integers or 32-bit floats."""
+    """The same of AIFF and AIFF-C with big- or little-endian integers of up to 32 bits (in whole bytes, bits to the left), or
+    32-bit floats. Samples begin at the data chunk's own offset."""
     if len(raw) < 12 or raw[:4] != b"FORM" or raw[8:12] not in (b"AIFF", b"AIFC"):
         raise ValueError("decode.notAiff")
     at, form, body = 12, None, None
@@ -58,15 +59,19 @@ def decode_aiff(raw: bytes) -> tuple[int, int, np.ndarray]:
             # An 80-bit float: a sign and 15 bits of exponent, then 64 bits with the leading one written out.
             form = int(mantissa * 2.0 ** ((exponent & 0x7FFF) - 16383 - 63)), channels, bits, chunk[18:22] if raw[8:12] == b"AIFC" else b"NONE"
         elif name == b"SSND":
-            body = chunk[8:]
+            body = chunk[8 + struct.unpack_from(">I", chunk)[0] :] if len(chunk) >= 8 else None
         at += 8 + size + size % 2
     if not form or body is None:
         raise ValueError("decode.noData")
     rate, channels, bits, kind = form
     if kind in (b"fl32", b"FL32"):
         x = np.frombuffer(body[: len(body) // 4 * 4], ">f4").astype(np.float32)
-    elif kind in (b"NONE", b"twos", b"sowt") and bits in (16, 32):
-        x = np.frombuffer(body[: len(body) // (bits // 8) * (bits // 8)], f"{'<' if kind == b'sowt' else '>'}i{bits // 8}") / float(1 << (bits - 1))
+    elif kind in (b"NONE", b"twos", b"sowt") and 1 <= bits <= 32:
+        width = -(-bits // 8)
+        parts = np.frombuffer(body[: len(body) // width * width], np.uint8).reshape(-1, width)
+        whole = np.zeros((len(parts), 4), np.uint8)
+        whole[:, :width] = parts[:, ::-1] if kind == b"sowt" else parts
+        x = whole.view(">i4").ravel() / float(1 << 31)
     else:
         raise ValueError("decode.unsupported")
     return rate, channels, x.astype(np.float32)

@@ -1,6 +1,7 @@
 """Readers, writers, versions and the corpus job on files made here."""
 
 import json
+import struct
 
 import numpy as np
 import pytest
@@ -51,6 +52,19 @@ def test_decoding_aiff():
     assert (rate, channels) == (44_100, 1) and np.allclose(got, x, atol=1e-4)
 
 
+@pytest.mark.parametrize("bits", [8, 12, 16, 24, 32])
+@pytest.mark.parametrize("kind", [b"NONE", b"sowt"])
+def test_decoding_aiff_of_any_width(bits, kind):
+    """Integers in whole bytes, in both orders, behind an offset that the data chunk states."""
+    width, values = -(-bits // 8), [0, 1, -1, (1 << (bits - 1)) - 1, -(1 << (bits - 1))]
+    stored = b"".join((v << (8 * width - bits)).to_bytes(width, "little" if kind == b"sowt" else "big", signed=True) for v in values)
+    form = struct.pack(">hIhHQ", 1, len(values), bits, 16383 + 15, 48_000 << 48) + (kind + b"\0\0" if kind == b"sowt" else b"")
+    chunks = b"COMM" + struct.pack(">I", len(form)) + form + b"SSND" + struct.pack(">II", 8 + 6 + len(stored), 6) + b"\0\0\0\0" + b"ignore" + stored
+    rate, channels, got = wav.decode_aiff(b"FORM" + struct.pack(">I", 4 + len(chunks)) + (b"AIFC" if kind == b"sowt" else b"AIFF") + chunks)
+    assert (rate, channels) == (48_000, 1) and np.allclose(got, [v / (1 << (bits - 1)) for v in values])
+
+
+
 def test_scan_and_corpus_job(spark, folder):
     found = files.scan(spark, str(folder))
     assert sorted(r.ext for r in found.select("ext").collect()) == ["mp3", "wav", "wav", "wav", "wav", "wav", "wav"]
@@ -73,6 +87,11 @@ def test_scan_and_corpus_job(spark, folder):
     versions.commit(spark, target, "next", {"recording": rows.limit(1)})
     assert versions.current(spark, target) == "next" and versions.table(spark, target, "recording").count() == 1
     assert versions.purge(spark, target) == [version]
+    # A version that is current is written again; until its manifest is there, its tables stay.
+    old = versions.table(spark, target, "recording")
+    versions.commit(spark, target, "next", {"recording": old.unionByName(old)})
+    assert old.count() == 1 and versions.table(spark, target, "recording").count() == 2
+    assert versions.purge(spark, target, {"next"}) == [] and versions.purge(spark, target) == ["next"]
 
 
 def test_wav_data_source(spark, folder):
