@@ -158,7 +158,11 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple | None:
-    """A field learnt from labelled documents: at most sample of each class, those with the smallest hashes of doc_id."""
+    """A field learnt from labelled documents: at most sample of each class, those with the smallest hashes of doc_id.
+
+    Null doc_ids and labels take no part; of labels that differ the larger counts; a doc_id with several texts is learnt from
+    its smallest one that isn't null. None without labels of both classes. Other columns are ignored.
+    """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     prior = known.agg(F.avg("quality").alias("p")).first()["p"]
     if prior is None:
@@ -166,6 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple | N
     pick = lambda y: known.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most 2 * sample rows are broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(pick(1).unionByName(pick(0))), "doc_id")
+    # One row of each doc_id, the smallest text: repeats don't enlarge the task that fits.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     got = rows.withColumns({"prior": F.lit(float(prior)), "one": F.lit(1)}).groupBy("one").applyInPandas(_fit, "field array<double>, curve array<double>").collect()
     if not got or got[0]["field"] is None:
         return None

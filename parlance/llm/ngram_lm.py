@@ -186,7 +186,10 @@ def _count_words(folder: str):
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """What is taken from counts of 0, 1, 2 and more, from how many counts are 1, 2, 3 and 4."""
+    """What is taken from counts of 0, 1, 2 and more, from how many counts are 1, 2, 3 and 4.
+
+    Where one of these is 0, as in a small corpus, the formula is undefined, and 0.5, 1 and 1.5 stand in.
+    """
     n1, n2, n3, n4 = n
     if min(n1, n2, n3, n4) == 0:
         return np.array([0, 0.5, 1, 1.5])

@@ -103,7 +103,11 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """A chain learnt from labelled documents: at most sample rows of each class, those with the smallest hashes of doc_id."""
+    """A chain learnt from labelled documents: at most sample of each class, those with the smallest hashes of doc_id.
+
+    Null doc_ids and labels take no part; of labels that differ the larger counts; a doc_id with several texts is learnt from
+    its smallest one (null first, which is the empty text). None without labelled documents. Other columns are ignored.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     prior = known.agg(F.avg("toxic").alias("p")).first()["p"]
     if prior is None:
@@ -111,6 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
     pick = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most 2 * sample rows are broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(F.broadcast(pick(1).unionByName(pick(0))), "doc_id")
+    # One row of each doc_id, the smallest text: repeats don't enlarge the task that fits.
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "x.text", "x.lang", "toxic")
     rows = rows.mapInArrow(shared.tidy(_sample_features), "doc_id long, lang string, toxic int, features binary")
     fitted = rows.withColumns({"prior": F.lit(float(prior)), "one": F.lit(1)}).groupBy("one").applyInPandas(_fit, "model string").collect()
     return json.loads(fitted[0]["model"]) if fitted else None

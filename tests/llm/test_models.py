@@ -1,5 +1,6 @@
 """Trained models by held-out accuracy, and the pipeline stage by stage."""
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -208,3 +209,15 @@ def test_only_the_guarded_entry_imports_this_subpackage():
     for path in (root / "parlance").rglob("*.py"):
         if "llm" not in path.parts:
             assert not re.search(r"parlance\.llm|corpus_pipeline", path.read_text()), path
+
+
+def test_repeated_rows_are_learnt_from_once(spark):
+    """Documents that are there many times, or with several texts, don't enlarge the fitting task or change a model."""
+    good = [(k, f"A calm line about gardens number {k}.\nAnother line follows here.", "en") for k in range(40)]
+    bad = [(k, f"zzz buy !!! {k} $$$ 000\nwww now now", "en") for k in range(40, 80)]
+    labels = spark.createDataFrame([(k, int(k < 40), int(k >= 40)) for k in range(80)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    often = once.unionByName(once).unionByName(once.limit(5)).unionByName(once.where("doc_id = 3").withColumn("text", F.lit("zzzz")))
+    for learn in (line_crf.train, toxicity.train):
+        a, b = learn(once, labels), learn(often, labels)
+        assert json.dumps(a, default=lambda x: x.tolist()) == json.dumps(b, default=lambda x: x.tolist())

@@ -392,6 +392,12 @@ def test_search_with_ties(spark):
             assert found[q] == [(k, score[k]) for k in order]
 
 
+def test_discounts():
+    assert ngram_lm.discounts([5, 4, 0, 1]).tolist() == [0, 0.5, 1, 1.5]
+    y = 10 / (10 + 2 * 6)
+    assert np.allclose(ngram_lm.discounts([10, 6, 4, 3]), [0, 1 - 2 * y * 6 / 10, 2 - 3 * y * 4 / 6, 3 - 4 * y * 3 / 4])
+
+
 def test_words_that_collide_in_powers_of_two(spark):
     """Thue-Morse words and their complements, which every polynomial modulo 2^64 takes for equal."""
     pairs = [["".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n)) for flip in (0, 1)] for n in (1_024, 2_048, 4_096)]
