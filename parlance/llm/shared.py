@@ -137,6 +137,10 @@ def route(blobs: DataFrame, buckets: int) -> DataFrame:
     return blobs.repartitionById(buckets, F.col("bucket"))
 
 
+#: What empties the tables that modules keep while a task runs.
+FORGET: list[Callable] = []
+
+
 def tidy(run: Callable) -> Callable:
     """A task's function that gives its memory back when it ends: Python workers live on, and idle ones would keep it."""
 
@@ -145,6 +149,8 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
+            for forget in FORGET:
+                forget()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL("libc.so.6").malloc_trim(0)

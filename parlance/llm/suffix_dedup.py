@@ -39,16 +39,18 @@ ANCHORS, BYTES = 300_000, 1_500_000
 
 
 _BASE = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, _U64), np.ones(1, _U64)]
+_powers: list[np.ndarray] = []
+shared.FORGET.append(_powers.clear)
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base modulo 2^64, and of its inverse: fit for windows of one short length whose bytes are compared."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             made = np.full(n, base, _U64)
             made[0] = 1
-            _powers[i] = np.multiply.accumulate(made)
+            _powers.append(np.multiply.accumulate(made))
     return _powers[0][:n], _powers[1][:n]
 
 

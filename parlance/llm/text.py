@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from parlance.llm import shared
+
 U64 = np.uint64
 #: Bytes of text that are worked on at once, unless one text is longer.
 CHUNK_BYTES = 1 << 20
@@ -17,7 +19,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Two prime moduli under 2^31 with a base each: unlike a polynomial modulo 2^64, these tell Thue-Morse words apart.
 _FIELDS = ((2_147_483_647, 1_190_494_759), (2_147_483_629, 1_606_938_045))
-_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, U64), np.ones(1, U64)) for _ in _FIELDS]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+shared.FORGET.append(_powers.clear)
 #: Longer spans have their bytes' products reduced first: sums of this many products of 8 and 31 bits fit 64.
 _EXACT = 1 << 24
 
@@ -34,22 +37,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _series(base: int, prime: int, n: int) -> np.ndarray:
     """base^0 to base^(n - 1) modulo prime, by doubling."""
-    out = np.ones(1, U64)
-    while len(out) < n:
-        out = np.r_[out, out * U64(pow(base, len(out), prime)) % U64(prime)]
-    return out[:n]
+    out = np.ones(n, np.uint32)
+    made = 1
+    while made < n:
+        more = min(made, n - made)
+        out[made : made + more] = out[:more].astype(U64) * U64(pow(base, made, prime)) % U64(prime)
+        made += more
+    return out
 
 
 def powers(field: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of a field's base, and of its inverse."""
     prime, base = _FIELDS[field]
-    if len(_powers[field][0]) < n:
-        n_made = max(n, CHUNK_BYTES + 1)
-        made = _series(base, prime, n_made), _series(pow(base, -1, prime), prime, n_made)
-        if n > 8 * CHUNK_BYTES:  # those of a very long text aren't kept
-            return made
-        _powers[field] = made
-    return _powers[field][0][:n], _powers[field][1][:n]
+    made = _powers.get(field)
+    if made is None or len(made[0]) < n:
+        size = n + (n >> 4)
+        made = _series(base, prime, size), _series(pow(base, -1, prime), prime, size)
+        if n <= 8 * CHUNK_BYTES:  # those of a very long text aren't kept
+            _powers[field] = made
+    return made[0][:n], made[1][:n]
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
