@@ -96,7 +96,7 @@ def matched_pool(speakers: DataFrame, keys: list[str], number: str, value: str,
 
     Fewer than size members are taken before any quantile's turn, so its size nearest are enough: only these few meet.
     """
-    wanted = speakers.groupBy(*keys).agg(*(F.percentile(value, (k + 0.5) / size).alias(f"q{k}__") for k in range(size)))
+    wanted = stats.quantiles(speakers, keys, value, number, {f"q{k}__": (k + 0.5) / size for k in range(size)})
     targets = F.posexplode(F.array(*(f"q{k}__" for k in range(size)))).alias("pick", "q__")
     near = speakers.select(*keys, number, value).join(wanted.select(*keys, targets), keys).withColumn("far__", F.abs(F.col(value) - F.col("q__")))
     rank = F.row_number().over(Window.partitionBy(*keys, "pick").orderBy("far__", value, number))

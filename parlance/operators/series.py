@@ -11,7 +11,7 @@ from math import cos, pi, sin
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.operators import spread
+from parlance.operators import spread, stats
 
 #: Values of a frame, frames of a modulation window and from one such window to the next.
 FRAME, WINDOW, HOP = 8, 4, 2
@@ -41,7 +41,7 @@ def level(power: Column) -> Column:
 def activity(frames: DataFrame, key: str, margin: float = 3.0) -> DataFrame:
     """frames with level, floor (the key's tenth percentile of levels) and active: over the floor by a margin."""
     rows = frames.withColumn("level", level(mean_power()))
-    floors = rows.groupBy(key).agg(F.percentile("level", 0.1).alias("floor"))
+    floors = stats.quantiles(rows, [key], "level", "frame", {"floor": 0.1})
     return rows.join(floors, key).withColumn("active", F.col("level") > F.col("floor") + margin)
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.operators import spread
+from parlance.operators import selecting, spread
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -16,9 +16,7 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, tie: str) -> DataFrame:
     """The smallest value at which the running weight reaches half of all (the lower one)."""
-    rows = spread.by_order(df.select(*dict.fromkeys([*keys, value, weight, tie])), keys, [value, tie])
-    run = spread.running(rows, keys, [value, tie], weight, "run__").join(rows.groupBy(*keys).agg(F.sum(weight).alias("all__")), keys)
-    return run.groupBy(*keys).agg(F.min(F.when(F.col("run__") >= 0.5 * F.col("all__"), F.col(value))).alias("weighted_median"))
+    return selecting.values_at(df, keys, value, tie, {"weighted_median": lambda n: 0.5 * n}, weight).drop("all__")
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
@@ -28,12 +26,11 @@ def ranked(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
 
 def quantiles(df: DataFrame, keys: list[str], value: str, tie: str, wanted: dict[str, float]) -> DataFrame:
     """Quantiles by name, interpolated between the two values around (n - 1) q. Nulls are left out."""
-    rows = ranked(df.where(F.col(value).isNotNull()), keys, value, tie)
-    at = lambda q: (F.col("size__") - 1) * F.lit(q)
-    pick = lambda place: F.min(F.when(F.col("rank__") - 1 == place, F.col(value)))
-    ends = {f"{n}{e}__": pick(f(at(q))) for n, q in wanted.items() for e, f in (("lo", F.floor), ("hi", F.ceil))}
-    out = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in ends.items()), F.max("size__").alias("size__"))
-    between = lambda n, q: F.col(f"{n}lo__") + (at(q) - F.floor(at(q))) * (F.col(f"{n}hi__") - F.col(f"{n}lo__"))
+    at = lambda q, size: (size - 1) * F.lit(q)
+    ends = {f"{n}{e}__": lambda size, q=q, f=f: f(at(q, size)) + 1 for n, q in wanted.items() for e, f in (("lo", F.floor), ("hi", F.ceil))}
+    out = selecting.values_at(df, keys, value, tie, ends)
+    part = lambda q: at(q, F.col("all__")) - F.floor(at(q, F.col("all__")))
+    between = lambda n, q: F.col(f"{n}lo__") + part(q) * (F.col(f"{n}hi__") - F.col(f"{n}lo__"))
     return out.select(*keys, *(between(n, q).alias(n) for n, q in wanted.items()))
 
 
@@ -44,15 +41,13 @@ def quartiles(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    """Element n / 2 (from 0) of the sorted values."""
-    rows = ranked(df, keys, value, tie)
-    return rows.groupBy(*keys).agg(F.min(F.when(F.col("rank__") == F.floor(F.col("size__") / 2) + 1, F.col(value))).alias("upper_median"))
+    """Element n / 2 (from 0) of the sorted values without nulls."""
+    return selecting.values_at(df, keys, value, tie, {"upper_median": lambda n: F.floor(n / 2) + 1}).drop("all__")
 
 
 def floor_percentile(df: DataFrame, keys: list[str], value: str, tie: str, q: float) -> DataFrame:
-    """Element floor(q n) (from 0) of the sorted values."""
-    rows = ranked(df, keys, value, tie)
-    return rows.groupBy(*keys).agg(F.min(F.when(F.col("rank__") == F.floor(F.lit(q) * F.col("size__")) + 1, F.col(value))).alias("floor_percentile"))
+    """Element floor(q n) (from 0) of the sorted values without nulls; the last for q = 1."""
+    return selecting.values_at(df, keys, value, tie, {"floor_percentile": lambda n: F.floor(F.lit(q) * n) + 1}).drop("all__")
 
 
 def bin_of(value: Column, edges: list[float]) -> Column:

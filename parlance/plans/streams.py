@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from parlance.operators import stats
 from parlance.operators.intervals import micros
 from parlance.plans.registry import DAY, HOUR, Tables, query, spans
 from parlance.streaming import stateful as S
@@ -68,7 +69,9 @@ FROM (SELECT epoch_us(ts) // 86400000000 AS day, quantile_cont(value, 0.99) AS p
 """)
 def health(t: Tables):
     level = lambda c, ok, warn: F.when(ok, "ok").when(warn, "warn").otherwise("critical")
-    days = t.events.groupBy(F.floor(micros("ts") / 86_400_000_000).alias("day")).agg(F.percentile("value", 0.99).alias("p99"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    rows = t.events.withColumn("day", F.floor(micros("ts") / 86_400_000_000))
+    errors = rows.groupBy("day").agg(F.count_if(F.col("event_type") == "error").alias("errors"))
+    days = stats.quantiles(rows, ["day"], "value", "event_id", {"p99": 0.99}).join(errors, "day")
     return days.select("day", F.round("p99", 6).alias("p99"), level("p99", F.col("p99") < 400, F.col("p99") <= 485).alias("load"), level("errors", F.col("errors") == 0, F.col("errors") <= 60).alias("faults"))
 
 

@@ -69,7 +69,8 @@ SELECT user_id, min(gap) AS least, round(avg(gap), 3) AS mean, round(quantile_co
 def win_spacing(t: Tables):
     gap = F.col("t0") - F.lag("t0").over(Window.partitionBy("user_id").orderBy("t0", "event_id"))
     rows = spans(t).withColumn("gap", gap).where("gap is not null")
-    return rows.groupBy("user_id").agg(F.min("gap").alias("least"), F.round(F.avg("gap"), 3).alias("mean"), F.round(F.percentile("gap", 0.05), 3).alias("p5"))
+    p5 = stats.quantiles(rows, ["user_id"], "gap", "event_id", {"p5": 0.05})
+    return rows.groupBy("user_id").agg(F.min("gap").alias("least"), F.round(F.avg("gap"), 3).alias("mean")).join(p5, "user_id").withColumn("p5", F.round("p5", 3))
 
 
 @query("""
@@ -80,7 +81,8 @@ SELECT event_type, min(gap) AS least, round(quantile_cont(gap::DOUBLE, 0.05), 6)
 def win_reuse_gap(t: Tables):
     rows = spread.numbered(t.events, ["event_type"], ["ts", "event_id"], micros("ts"), DAY, "rn")
     rows = rows.withColumn("gap", F.col("rn") - F.lag("rn").over(Window.partitionBy("event_type", "user_id").orderBy("rn"))).where("gap is not null")
-    return rows.groupBy("event_type").agg(F.min("gap").alias("least"), F.round(F.percentile("gap", 0.05), 6).alias("p5"))
+    p5 = stats.quantiles(rows, ["event_type"], "gap", "event_id", {"p5": 0.05})
+    return rows.groupBy("event_type").agg(F.min("gap").alias("least")).join(p5, "event_type").withColumn("p5", F.round("p5", 6))
 
 
 @query("""
