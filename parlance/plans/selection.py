@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import columns as C
-from parlance.operators import planning, selection, sequences, spatial, spread, stats
+from parlance.operators import documents, planning, selection, sequences, spatial, spread, stats
 from parlance.operators import series as S
+from parlance.operators.documents import Field
 from parlance.plans.joins import _ISLANDS, islands_of
 from parlance.plans.kernels import _F as _FRAMES
 from parlance.plans.kernels import _frames
@@ -140,6 +141,43 @@ def preset_check(t: Tables):
     return selection.problems(planning.scenarios(scenario_texts(t), "doc")).select("n_nationkey", "error")
 
 
+_PRESETS = """
+CASE WHEN c_custkey % 11 = 10 THEN c_name ELSE concat('{"schemaVersion":"', CASE WHEN c_custkey % 13 = 0 THEN 2 ELSE 1 END, '.', c_custkey % 4, '"',
+  CASE WHEN c_custkey % 7 > 0 THEN concat(',"name":"', c_name, '"') ELSE '' END, ',"strategy":"', c_mktsegment, '","macros":{"strengthDb":', c_acctbal,
+  CASE WHEN c_custkey % 3 > 0 THEN concat(',"character":0.', c_custkey % 10) ELSE '' END, CASE WHEN c_custkey % 5 = 0 THEN ',"voiceAmount":"high"' ELSE '' END,
+  CASE WHEN c_custkey % 6 = 0 THEN ',"mood":{"deep":1}' ELSE '' END, '},"outputs":', CASE WHEN c_custkey % 9 = 0 THEN '[]' ELSE concat('{"limiter":{"enabled":',
+  CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE '1' END, ',"ceilingDbtp":-', c_custkey % 4, '.5}}') END, CASE WHEN c_custkey % 8 = 0 THEN ',"colour":null' ELSE '' END, '}') END"""
+
+_PRESET = [
+    Field("schemaVersion", "version", True, version=(1, 2)), Field("name", "text", True), Field("strategy", "text", choices=("FURNITURE", "MACHINERY", "BUILDING")),
+    Field("macros", "object", True), Field("macros.strengthDb", "number", True, 0, 5000), Field("macros.character", "number", True, 0, 1), Field("macros.voiceAmount", "number", False, 0, 1),
+    Field("outputs", "object", True), Field("outputs.limiter", "object"), Field("outputs.limiter.enabled", "flag", True), Field("outputs.limiter.ceilingDbtp", "number", False, -2, 0),
+]
+
+
+@query(f"""
+WITH d AS (SELECT c_custkey, {_PRESETS} AS doc FROM customer), j AS (SELECT c_custkey, CASE WHEN json_valid(doc) THEN doc::JSON END AS doc FROM d),
+s AS (SELECT * FROM (VALUES ('schemaVersion', '$', 'VARCHAR', true, NULL, NULL), ('name', '$', 'VARCHAR', true, NULL, NULL), ('strategy', '$', 'VARCHAR', false, NULL, NULL), ('macros', '$', 'OBJECT', true, NULL, NULL),
+  ('macros.strengthDb', '$.macros', 'BIGINT|DOUBLE', true, 0.0, 5000.0), ('macros.character', '$.macros', 'BIGINT|DOUBLE', true, 0, 1), ('macros.voiceAmount', '$.macros', 'BIGINT|DOUBLE', false, 0, 1),
+  ('outputs', '$', 'OBJECT', true, NULL, NULL), ('outputs.limiter', '$.outputs', 'OBJECT', false, NULL, NULL), ('outputs.limiter.enabled', '$.outputs.limiter', 'BOOLEAN', true, NULL, NULL),
+  ('outputs.limiter.ceilingDbtp', '$.outputs.limiter', 'BIGINT|DOUBLE', false, -2, 0)) f(path, parent, kinds, needed, low, high)),
+x AS (SELECT c_custkey, s.*, nullif(json_type(doc, '$.' || path), 'NULL') AS kind, json_extract_string(doc, '$.' || path) AS text, coalesce(json_type(doc, parent) = 'OBJECT', false) AS inside FROM j, s WHERE json_type(doc) = 'OBJECT'),
+k AS (SELECT *, coalesce(regexp_matches(kind, kinds), false) AS fits FROM x),
+u AS (SELECT c_custkey, parent, unnest(json_keys(doc, parent)) AS name FROM j, (SELECT DISTINCT parent FROM s) p WHERE json_type(doc, parent) = 'OBJECT')
+SELECT c_custkey, '$' AS path, 'document' AS fault FROM j WHERE doc IS NULL
+UNION ALL SELECT c_custkey, path, 'type' FROM k WHERE kind IS NOT NULL AND NOT fits
+UNION ALL SELECT c_custkey, path, 'missing' FROM k WHERE needed AND inside AND kind IS NULL
+UNION ALL SELECT c_custkey, path, 'range' FROM k WHERE fits AND NOT TRY_CAST(text AS DOUBLE) BETWEEN low AND high
+UNION ALL SELECT c_custkey, path, 'choice' FROM k WHERE path = 'strategy' AND fits AND text NOT IN ('FURNITURE', 'MACHINERY', 'BUILDING')
+UNION ALL SELECT c_custkey, path, 'version' FROM k WHERE path = 'schemaVersion' AND fits AND split_part(text, '.', 1)::INTEGER > 1
+UNION ALL SELECT c_custkey, concat(substr(parent || '.', 3), name), 'unknown' FROM u WHERE concat(substr(parent || '.', 3), name) NOT IN (SELECT path FROM s)
+""")
+def preset_faults(t: Tables):
+    """Every fault of a preset document for each customer, by its path."""
+    docs = t.customer.select("c_custkey", F.expr(_PRESETS).alias("doc"))
+    return documents.faults(docs, ["c_custkey"], "doc", _PRESET).select("c_custkey", "path", "fault")
+
+
 @query("SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2 ELSE NULL END AS code, CASE left(o_orderpriority, 1) WHEN '1' THEN '1-URGENT' WHEN '2' THEN '2-HIGH' WHEN '3' THEN '3-MEDIUM' ELSE 'unknown' END AS printed FROM orders")
 def enum_parse(t: Tables):
     names = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
