@@ -174,6 +174,8 @@ def postponed_starts(t: Tables):
     """Clicks wait for a view of their user, looked for every hour; after ten hours they starve."""
     from parlance.streaming import timers
 
-    stream = S.event_stream(t.spark, f"{t.folder}/events.parquet").where("event_type in ('click', 'view')")
-    rows = stream.select("user_id", "at", F.unix_millis("at").alias("t"), F.col("event_id").alias("number"), (F.col("event_type") == "view").alias("is_source"))
+    stream = S.event_stream(t.spark, f"{t.folder}/events.parquet")
+    # Every event moves the clock; those that neither ask nor are a source have no flag.
+    source = F.when(F.col("event_type").isin("click", "view"), F.col("event_type") == "view")
+    rows = stream.select("user_id", "at", F.unix_millis("at").alias("t"), F.col("event_id").alias("number"), source.alias("is_source"))
     return S.drained(timers.postponed(rows, "user_id", _HOUR_MS, 10, "1 day"), "postponed", "append")

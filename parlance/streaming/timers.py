@@ -79,7 +79,9 @@ def snapshots(stream: DataFrame, key: str, horizons: list[int], step: int, delay
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("at", T.LongType())])
     for k in range(len(horizons)):
         schema = schema.add(f"n{k}", T.LongType()).add(f"power{k}", T.DoubleType())
-    rows = stream.where("t is not null and value is not null").withWatermark("at", delay).select(F.col(key).cast("long").alias("key"), "at", "t", F.col("value").cast("double").alias("value"))
+    # Names the time, or the filter would be moved before the watermark: rows without a value move the clock, too.
+    counts = F.when(F.col("at").isNotNull(), F.col("t").isNotNull() & F.col("value").isNotNull())
+    rows = stream.withWatermark("at", delay).where(counts).select(F.col(key).cast("long").alias("key"), "at", "t", F.col("value").cast("double").alias("value"))
     return rows.groupBy("key").transformWithStateInPandas(run, schema, "append", "EventTime").withColumnRenamed("key", key)
 
 
@@ -149,9 +151,12 @@ def postponed(stream: DataFrame, key: str, step: int, most: int, delay: str) ->
 
     The stream has the key (a number), at (a timestamp), t (its ms), number and is_source. A request comes out once the
     watermark has passed its last step, and just once. Rows later than the delay are dropped; null times are left out.
+    Rows whose is_source is null only move the clock: a stream that is filtered before would be behind it.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    rows = stream.where("t is not null").withWatermark("at", delay).select(F.col(key).cast("long").alias("key"), "at", "t", F.col("number").cast("long").alias("number"), "is_source")
+    # Names the time, or the filter would be moved before the watermark.
+    counts = F.when(F.col("at").isNotNull(), F.col("t").isNotNull() & F.col("is_source").isNotNull())
+    rows = stream.withWatermark("at", delay).where(counts).select(F.col(key).cast("long").alias("key"), "at", "t", F.col("number").cast("long").alias("number"), "is_source")
     schema = "key long, number long, postponed int, outcome string"
     return rows.groupBy("key").transformWithStateInPandas(Postponed(step, most), schema, "append", "EventTime").withColumnRenamed("key", key)

@@ -86,3 +86,12 @@ def test_postponed(spark, tmp_path, rows):
             want.append((user, number, *((tries, "started") if tries is not None and tries <= 10 else (10, "starved"))))
     assert one == four == sorted(want, key=str)
     assert {r[3] for r in want} == {"started", "starved"} and {r[2] for r in want} >= {0, 1, 5, 10}
+
+
+def test_other_rows_move_the_clock(spark, tmp_path):
+    """A request is due, and a snapshot, though only a row of another kind or without a value says that time has passed."""
+    stored(tmp_path, [(1, HOUR, 2.0, 7, False), (1, 21 * HOUR, None, 8, None)], "part0")
+    asked = stateful.drained(timers.postponed(stream(spark, tmp_path), "user", HOUR, 10, "1 hour"), "clock", "append").collect()
+    assert [tuple(r) for r in asked] == [(1, 7, 10, "starved")]
+    shots = stateful.drained(timers.snapshots(stream(spark, tmp_path), "user", [50 * HOUR], 6 * HOUR, "1 hour"), "clock", "append").collect()
+    assert sorted(tuple(r) for r in shots) == [(1, 6 * HOUR * k, 1, 4.0) for k in (1, 2, 3)]
