@@ -139,7 +139,15 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit_power(a: Column) -> Column:
     """An array scaled so that its squares add up to one."""
-    return F.transform(a, lambda x: x.cast("double") / F.sqrt(dot(a, a)))
+    # The norm in an array of one: as a column inside the lambda it would be worked out again for each component.
+    scaled = F.transform(F.array(F.sqrt(dot(a, a))), lambda norm: F.transform(a, lambda x: F.when(norm == 0, x * float("nan")).otherwise(x.cast("double") / norm)))
+    return F.element_at(scaled, 1)
+
+
+def rounded(x: Column, places: int) -> Column:
+    """x rounded, with its sign also where that leaves zero, as IEEE 754 and other engines have it."""
+    r = F.round(x, places)
+    return F.when(r == 0, x * 0.0).otherwise(r)
 
 
 def weighted_distance(a: Column, b: Column, weights: list[float]) -> Column:

@@ -113,7 +113,7 @@ def array_dot(t: Tables):
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * embedding[i]::DOUBLE))), 6)) AS unit FROM embeddings")
 def array_l2(t: Tables):
-    return t.embeddings.select("vec_id", F.transform(C.unit_power(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return t.embeddings.select("vec_id", F.transform(C.unit_power(F.col("embedding")), lambda x: C.rounded(x, 6)).alias("unit"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")

@@ -215,6 +215,20 @@ def test_near_duplicates_against_a_loop(spark, monkeypatch, rounds):
     assert got == accepted_by_loop(rows)
 
 
+def test_unit_vectors_keep_the_sign_of_zero(spark):
+    rows = table(spark, [(1, [-1e-7, 3.0, 4.0]), (2, [0.0, 0.0, 0.0])], "id int, v array<double>")
+    got = {r.id: r.unit for r in rows.select("id", F.transform(C.unit_power(F.col("v")), lambda x: C.rounded(x, 6)).alias("unit")).collect()}
+    assert str(got[1]) == "[-0.0, 0.6, 0.8]" and str(got[2]) == "[nan, nan, nan]"
+
+
+def test_equal_values_have_equal_means(spark):
+    values = [29.27, 122.79, 0.1, 0.2, 0.3, 1e6, 55.55]
+    rows = table(spark, [(g, x) for g in range(2) for x in (values if g else values[::-1])] + [(2, 1e30), (2, 3e30)], "g int, x double").coalesce(1)
+    assert sum(values) != sum(values[::-1])
+    got = {r.g: r.m for r in rows.groupBy("g").agg(stats.steady_mean("x").alias("m")).collect()}
+    assert got[0] == got[1] and got[2] == 2e30
+
+
 def test_pools(spark):
     rows = table(spark, [("g", k, float(k % 13)) for k in range(40)], "g string, id long, v double")
     balanced = planning.balanced_pool(rows, ["g"], "v", "id", 10, 3).groupBy("quartile").count().collect()
