@@ -14,6 +14,15 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * weight) / F.sum(weight)
 
 
+def steady_mean(value: str) -> Column:
+    """The mean of doubles from their exact sum to 12 places: equal values have equal means, in whatever order they are added up.
+
+    Where one isn't finite or is too large for that (10^26), it is the plain mean.
+    """
+    exact = F.col(value).try_cast("decimal(38,12)")
+    return F.when(F.count(exact) == F.count(value), F.try_sum(exact).cast("double") / F.count(value)).otherwise(F.avg(value))
+
+
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, tie: str) -> DataFrame:
     """The smallest value at which the running weight reaches half of all (the lower one)."""
     return selecting.values_at(df, keys, value, tie, {"weighted_median": lambda n: 0.5 * n}, weight).drop("all__")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.operators import planning
+from parlance.operators import planning, stats
 from parlance.plans.registry import DAY, HOUR, SPANS, Tables, query, spans
 
 
@@ -34,7 +34,8 @@ r AS (SELECT DISTINCT event_type, 0::BIGINT AS k, []::BIGINT[] AS taken FROM m
 SELECT event_type, k::INTEGER - 1 AS pick, taken[k] AS number FROM r WHERE k > 0
 """)
 def pool_matched(t: Tables):
-    return planning.matched_pool(t.events.groupBy("event_type", "user_id").agg(F.avg("value").alias("pitch")), ["event_type"], "user_id", "pitch", 6)
+    # Means that are equal must stay so: ties go to the smaller number.
+    return planning.matched_pool(t.events.groupBy("event_type", "user_id").agg(stats.steady_mean("value").alias("pitch")), ["event_type"], "user_id", "pitch", 6)
 
 
 @query("""
