@@ -69,11 +69,35 @@ FEATURE_WEIGHTS = [1.0, 0.5, 0.5, 0.5, 0.25, 0.25, 0.25]
 
 
 #: Rows of a block, and query rows that are compared with a block at once.
-BLOCK, STEP = 8192, 256
+BLOCK, STEP = 8192, 64
+
+
+def _parted(ql: np.ndarray, bl: np.ndarray) -> np.ndarray:
+    """Whether both have a language, and not the same one."""
+    return (ql != bl) & (ql >= 0) & (bl >= 0)
+
+
+def _exact(qx: np.ndarray, ql: np.ndarray, bx: np.ndarray, bl: np.ndarray, weights: list[float]) -> np.ndarray:
+    """Distances of features in the last place, term by term."""
+    d = np.zeros(np.broadcast_shapes(ql.shape, bl.shape))
+    for c, w in enumerate(weights):
+        d += (qx[..., c] - bx[..., c]) ** 2 * w
+    return np.sqrt(d) + _parted(ql, bl)
+
+
+def _squares(qx: np.ndarray, bx: np.ndarray, weights: list[float]) -> tuple[np.ndarray, float]:
+    """All squared distances without the language by one product of matrices, and a bound of the squares' size: they are off by less than 1e-14 of it."""
+    q, b = qx * np.sqrt(weights), bx * np.sqrt(weights)
+    nq, nb = (q * q).sum(1), (b * b).sum(1)
+    left = np.column_stack((-2 * q, nq, np.ones(len(q))))
+    return left @ np.column_stack((b, np.ones(len(b)), nb)).T, float(nq.max() + nb.max())
 
 
 def _by_blocks(vectors: DataFrame, weights: list[float], reduced, kind: str, asking: Column | None = None) -> DataFrame:
-    """What reduced makes of distances (query ids, ids in order, distances; infinite to itself) of every pair of blocks; asking: which rows are queries."""
+    """What reduced makes of every pair of blocks, given queries and others (ids, features, languages, -1 for none; others in order of language); asking: which rows are queries.
+
+    Vectors that hold values which aren't finite have no distances.
+    """
     k = max(4, -(-vectors.count() // BLOCK))
     rows = vectors.select("vec_id", "label", F.transform(F.slice("embedding", 1, len(weights)), lambda x: x.cast("double")).alias("e"), F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int").alias("block"))
     every = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
@@ -81,52 +105,76 @@ def _by_blocks(vectors: DataFrame, weights: list[float], reduced, kind: str, ask
     other = rows.select("vec_id", "label", "e", F.lit(False).alias("asks"), every.alias("i"), F.col("block").alias("j"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", ignore_index=True)
-        asks, ids, x, labels = pdf["asks"].to_numpy(bool), pdf["vec_id"].to_numpy(), np.stack(pdf["e"].to_numpy()), pd.factorize(pdf["label"])[0]
-        qi, qx, ql, bi, bx, bl = ids[asks], x[asks], labels[asks], ids[~asks], x[~asks], labels[~asks]
-        out = []
-        for at in range(0, len(qi) if len(bi) and len(qi) else 0, STEP):
-            q = slice(at, at + STEP)
-            d = np.zeros((len(qi[q]), len(bi)))
-            for c, w in enumerate(weights):
-                d += (qx[q, c, None] - bx[None, :, c]) ** 2 * w
-            d = np.sqrt(d) + ((ql[q, None] != bl) & (ql[q, None] >= 0) & (bl >= 0))
-            d[qi[q, None] == bi] = np.inf
-            out.append(reduced(qi[q], bi, d))
+        x, labels = np.stack(pdf["e"].to_numpy()).astype(np.float64), pd.factorize(pdf["label"])[0]
+        fine, asks, ids = np.isfinite(x).all(1), pdf["asks"].to_numpy(bool), pdf["vec_id"].to_numpy()
+        q, b = np.flatnonzero(asks & fine), np.flatnonzero(~asks & fine)
+        b = b[np.argsort(labels[b], kind="stable")]
+        out = [reduced((ids[own], x[own], labels[own]), (ids[b], x[b], labels[b])) for at in range(0, len(q) if len(b) else 0, STEP) for own in (q[at : at + STEP],)]
         return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in kind.split(", ")])
 
-    return asked.unionByName(other).groupBy("i", "j").applyInPandas(run, kind)
+    # As many tasks as pairs of blocks: by their size alone, which is small, they would be put together in a few.
+    return asked.unionByName(other).repartition(k * k, "i", "j").groupBy("i", "j").applyInPandas(run, kind)
 
 
 def query_distances(vectors: DataFrame, every: int = 100, weights: list[float] = FEATURE_WEIGHTS) -> DataFrame:
     """a, b, distance of each speaker whose number is divisible by every, to all other speakers, by blocks; language is label."""
 
-    def given(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pd.DataFrame:
-        i, j = np.nonzero(np.isfinite(d))
-        return pd.DataFrame({"a": a[i], "b": b[j], "distance": d[i, j]})
+    def given(q: tuple, b: tuple) -> pd.DataFrame:
+        d = _exact(q[1][:, None], q[2][:, None], b[1][None], b[2][None], weights)
+        i, j = np.nonzero(q[0][:, None] != b[0])
+        return pd.DataFrame({"a": q[0][i], "b": b[0][j], "distance": d[i, j]})
 
     return _by_blocks(vectors, weights, given, "a long, b long, distance double", F.col("vec_id") % every == 0)
 
 
 def nearest(vectors: DataFrame, weights: list[float] = FEATURE_WEIGHTS) -> DataFrame:
-    """a, b, distance: the nearest other speaker of each (the smallest number on ties of 6 digits), by blocks."""
-
-    def least(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pd.DataFrame:
-        d = np.round(d, 6)
-        at = d.argmin(1)
-        rows = pd.DataFrame({"a": a, "b": b[at], "distance": d[np.arange(len(a)), at]})
-        return rows[np.isfinite(rows["distance"])]
+    """a, b, distance: the nearest other speaker of each (the smallest number on ties of 6 digits), by blocks.
+
+    Products of matrices say which can be nearest, within their error and the digits; only these are worked out term by term.
+    """
+
+    def least(q: tuple, b: tuple) -> pd.DataFrame:
+        (qi, qx, ql), (bi, bx, bl) = q, b
+        d, size = _squares(qx, bx, weights)
+        if np.isin(qi, bi).any():
+            d[qi[:, None] == bi] = np.inf
+        error, cuts = 1e-14 * size, [0, *(np.flatnonzero(np.diff(bl)) + 1), len(bl)]
+        parts = [(slice(x, y), _parted(ql, bl[x]).astype(float)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        best = np.min([np.sqrt(np.maximum(d[:, s].min(1), 0) + error) + far for s, far in parts], axis=0)
+        at, to = [], []
+        for s, far in parts:
+            reach = best + 2e-6 - far
+            i, j = np.nonzero(d[:, s] <= np.where(reach >= 0, reach * reach + error, -np.inf)[:, None])
+            at.append(i), to.append(j + s.start)
+        i, j = np.concatenate(at), np.concatenate(to)
+        i, j = i[np.isfinite(d[i, j])], j[np.isfinite(d[i, j])]
+        rows = pd.DataFrame({"a": qi[i], "b": bi[j], "distance": np.round(_exact(qx[i], ql[i], bx[j], bl[j], weights), 6)})
+        return rows.sort_values(["a", "distance", "b"]).drop_duplicates("a")
 
     found = _by_blocks(vectors, weights, least, "a long, b long, distance double")
     return found.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"), F.min("distance").alias("distance"))
 
 
 def distance_sums(vectors: DataFrame, weights: list[float] = FEATURE_WEIGHTS) -> DataFrame:
-    """a, total: the distances of each speaker to all others added up, by blocks."""
-
-    def added(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pd.DataFrame:
-        others = np.isfinite(d)
-        return pd.DataFrame({"a": a, "distance": np.where(others, d, 0.0).sum(1)})[others.any(1)]
+    """a, total: the distances of each speaker to all others added up, by blocks.
+
+    Squares come from products of matrices; small ones, which would lose digits, are worked out term by term.
+    """
+
+    def added(q: tuple, b: tuple) -> pd.DataFrame:
+        (qi, qx, ql), (bi, bx, bl) = q, b
+        d, size = _squares(qx, bx, weights)
+        i, j = np.nonzero(d <= 1e-6 * size)
+        n = np.bincount(bl[bl >= 0], minlength=int(max(ql.max(), bl.max(), 0)) + 1)
+        far, others = np.where(ql >= 0, n.sum() - n[np.maximum(ql, 0)], 0), np.full(len(qi), len(bi))
+        np.sqrt(np.maximum(d, 0, out=d), out=d)
+        d[i, j] = _exact(qx[i], np.full(len(i), -1), bx[j], np.full(len(j), -1), weights)
+        if np.isin(qi, bi).any():
+            i, j = np.nonzero(qi[:, None] == bi)
+            d[i, j] = 0.0
+            np.subtract.at(far, i, _parted(ql[i], bl[j]).astype(far.dtype))
+            np.subtract.at(others, i, 1)
+        return pd.DataFrame({"a": qi, "distance": d.sum(1) + far})[others > 0]
 
     return _by_blocks(vectors, weights, added, "a long, distance double").groupBy("a").agg(F.round(F.sum("distance"), 6).alias("total"))
 

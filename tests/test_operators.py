@@ -239,6 +239,25 @@ def test_gram_counts_shuffle_no_text(spark):
     assert "LeftAnti" in text and "hashpartitioning(gram" not in text.split("Union")[0]
 
 
+def test_nearest_and_sums_by_products(spark, monkeypatch):
+    """Copies, near copies, ties of 6 digits and missing languages, over many blocks."""
+    monkeypatch.setattr(curation, "BLOCK", 40)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(150, 8)), 2)
+    x[50:60], x[60:70], x[70:80] = x[:10], x[:10] + 3e-7, x[10:20] * [1, 1, 1, 1, 1, 1, 1, 9]
+    rows = [(k, v.tolist(), [None, 1, 2, 3][k % 4]) for k, v in enumerate(x)]
+    vectors, w = table(spark, rows, "vec_id long, embedding array<double>, label int"), curation.FEATURE_WEIGHTS
+    d = np.sqrt((((x[:, None, :7] - x[None, :, :7]) ** 2) * w).sum(2)) + [[bool(p[2] and q[2] and p[2] != q[2]) for q in rows] for p in rows]
+    np.fill_diagonal(d, np.inf)
+    want = {k: min((round(float(y), 6), j) for j, y in enumerate(d[k])) for k in range(150)}
+    near, sums = curation.nearest(vectors).collect(), curation.distance_sums(vectors).collect()
+    assert {r.a: (r.distance, r.b) for r in near} == want
+    np.fill_diagonal(d, 0)
+    assert len(sums) == 150 and all(abs(r.total - d[r.a].sum()) < 1.1e-6 for r in sums)
+    product, size = curation._squares(x[:, :7], x[:, :7], w)
+    assert np.abs(product - (((x[:, None, :7] - x[None, :, :7]) ** 2) * w).sum(2)).max() < 1e-14 * size
+
+
 def test_pools(spark):
     rows = table(spark, [("g", k, float(k % 13)) for k in range(40)], "g string, id long, v double")
     balanced = planning.balanced_pool(rows, ["g"], "v", "id", 10, 3).groupBy("quartile").count().collect()
