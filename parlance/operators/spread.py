@@ -109,3 +109,8 @@ def over_last(df: DataFrame, keys: list[str], order: list[str], at: Column, widt
     by = Window.partitionBy(*keys, "in__").orderBy("place__").rowsBetween(1 - n, 0)
     out = rows.withColumns({name: value(by) for name, value in values.items()})
     return out.where("in__ = block__").drop("place__", "block__", "in__")
+
+
+def even(rows: DataFrame, key: str, most: int = 20_000) -> DataFrame:
+    """rows dealt by a key to tasks of about so many: for work that is long by the row, where a file of few bytes would be one task."""
+    return rows.repartition(max(1, -(-rows.count() // most)), key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import random64 as R
+from parlance.operators import spread
 from parlance.plans.registry import Tables, query
 
 _MASTER, _WRAP = 42, 1 << 64
@@ -48,7 +49,8 @@ SELECT c_custkey, hash::VARCHAR AS hash, seed::VARCHAR AS seed, x0::VARCHAR AS x
 """)
 def random_streams(t: Tables):
     """Each customer's stream (by segment and key): its hash and seed, three numbers, a uniform one, one of a thousand, and a waiting time."""
-    rows = t.customer.select("c_custkey", R.byte_hash(F.col("c_mktsegment")).alias("hash"), R.stream_seed(_MASTER, F.col("c_mktsegment"), F.col("c_custkey")).alias("seed"))
+    customers = spread.even(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey")
+    rows = customers.select("c_custkey", R.byte_hash(F.col("c_mktsegment")).alias("hash"), R.stream_seed(_MASTER, F.col("c_mktsegment"), F.col("c_custkey")).alias("seed"))
     rows = rows.withColumn("x", R.draws(F.col("seed"), 3))
     u = R.uniform(F.col("x")[0])
     shown = [R.unsigned(c).cast("string").alias(n) for n, c in (("hash", F.col("hash")), ("seed", F.col("seed")), *((f"x{k}", F.col("x")[k]) for k in range(3)))]

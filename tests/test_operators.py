@@ -258,6 +258,13 @@ def test_nearest_and_sums_by_products(spark, monkeypatch):
     assert np.abs(product - (((x[:, None, :7] - x[None, :, :7]) ** 2) * w).sum(2)).max() < 1e-14 * size
 
 
+def test_even_tasks(spark):
+    even = spread.even(spark.range(1_000).coalesce(1), "id", 100)
+    sizes = [r["count"] for r in even.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1_000 and max(sizes) < 200
+    assert spread.even(spark.range(0), "id").count() == 0
+
+
 def test_pools(spark):
     rows = table(spark, [("g", k, float(k % 13)) for k in range(40)], "g string, id long, v double")
     balanced = planning.balanced_pool(rows, ["g"], "v", "id", 10, 3).groupBy("quartile").count().collect()
