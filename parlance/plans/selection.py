@@ -174,7 +174,8 @@ UNION ALL SELECT c_custkey, concat(substr(parent || '.', 3), name), 'unknown' FR
 """)
 def preset_faults(t: Tables):
     """Every fault of a preset document for each customer, by its path."""
-    docs = t.customer.select("c_custkey", F.expr(_PRESETS).alias("doc"))
+    customers = spread.even(t.customer.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), "c_custkey")
+    docs = customers.select("c_custkey", F.expr(_PRESETS).alias("doc"))
     return documents.faults(docs, ["c_custkey"], "doc", _PRESET).select("c_custkey", "path", "fault")
 
 
