@@ -265,6 +265,18 @@ def test_even_tasks(spark):
     assert spread.even(spark.range(0), "id").count() == 0
 
 
+def test_flat_runs_in_one_order(spark, tmp_path):
+    from parlance.plans import QUERIES
+
+    values = [None, None, 1.0, 1.0, 1.0, 2.0, 1.0, 1.0, None]
+    rows = [(1, k, 1, 1, q, 1.0) for k, q in enumerate(values)] + [(2, k, 1, 1, float(k), 1.0) for k in range(5)]
+    table(spark, rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["win_flat_runs"](spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [(1, 3)]
+    # Two orders of the rows were two windows, and their sorts were held at once.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
 def test_pools(spark):
     rows = table(spark, [("g", k, float(k % 13)) for k in range(40)], "g string, id long, v double")
     balanced = planning.balanced_pool(rows, ["g"], "v", "id", 10, 3).groupBy("quartile").count().collect()
