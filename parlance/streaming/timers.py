@@ -21,46 +21,60 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class Horizons(StatefulProcessor):
-    """At every multiple of a step, for each horizon: how many of a key's values lie in it, and the level of their mean square."""
+    """At every multiple of a step, for each horizon: how many of a key's values lie in it, and the level of their mean square.
+
+    The state has a row for each batch with rows of the key: their first time, and their times and values as arrays. A row
+    for each value would go to the state store and back one by one.
+    """
 
     def __init__(self, horizons: list[int], step: int):
         self.horizons, self.step = horizons, step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ring = handle.getListState("ring", "t long, x double")
+        self.ring = handle.getListState("ring", "t long, times binary, x binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        fresh = pd.concat(list(rows))
-        self.ring.appendList(list(zip(fresh["t"].tolist(), fresh["value"].tolist(), strict=True)))
-        if not list(self.handle.listTimers()):
-            first = int(fresh["t"].min())
-            self.handle.registerTimer(-(-first // self.step) * self.step)
+        t, x = [], []
+        for part in rows:
+            t.append(part["t"].to_numpy(np.int64))
+            x.append(part["value"].to_numpy(np.float64))
+        t, x = np.concatenate(t), np.concatenate(x)
+        self.ring.appendValue((int(t.min()), t.tobytes(), x.tobytes()))
+        due, timers = -(-int(t.min()) // self.step) * self.step, [int(at) for at in self.handle.listTimers()]
+        if timers and due < min(timers):
+            self.handle.deleteTimer(min(timers))
+        if not timers or due < min(timers):
+            self.handle.registerTimer(due)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         held = list(self.ring.get())
-        t, x = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64)
-        at, now, out = int(expiredTimerInfo.getExpiryTimeInMs()), int(timerValues.getCurrentWatermarkInMs()), []
-        while at <= now and (t > at - self.horizons[-1]).any():
-            row = [at]
-            for h in self.horizons:
-                own = x[(t > at - h) & (t <= at)]
-                row += [len(own), float(np.mean(own * own)) if len(own) else None]
-            if row[-2]:
-                out.append((*key, *row))
-            at += self.step
-        stay = t > at - self.horizons[-1]
-        if stay.any():
-            self.ring.put(list(zip(t[stay].tolist(), x[stay].tolist(), strict=True)))
+        t, x = (np.frombuffer(b"".join(bytes(r[k]) for r in held), kind) for k, kind in ((1, np.int64), (2, np.float64)))
+        order = np.argsort(t, kind="stable")
+        t, x = t[order], x[order]
+        at, now, longest = int(expiredTimerInfo.getExpiryTimeInMs()), int(timerValues.getCurrentWatermarkInMs()), self.horizons[-1]
+        steps = np.arange(at, min(now, int(t[-1]) + longest - 1) + 1, self.step)
+        # A place more, as an empty horizon at the end begins there.
+        squares, upto = np.append(x * x, 0.0), np.searchsorted(t, steps, "right")
+        out = {"key": np.full(len(steps), key[0]), "at": steps}
+        for k, h in enumerate(self.horizons):
+            since = np.searchsorted(t, steps - h, "right")
+            n = upto - since
+            total = np.add.reduceat(squares, np.column_stack((since, upto)).ravel())[::2] if len(steps) else np.zeros(0)
+            out |= {f"n{k}": n, f"power{k}": np.where(n > 0, total / np.maximum(n, 1), np.nan)}
+        at += len(steps) * self.step
+        # Those that stay are at the end.
+        first = int(np.searchsorted(t, at - longest, "right"))
+        if first < len(t):
+            self.ring.put([(int(t[first]), t[first:].tobytes(), x[first:].tobytes())])
             # Nothing happens before the first of them is in a horizon.
-            self.handle.registerTimer(max(at, -(-int(t[stay].min()) // self.step) * self.step))
+            self.handle.registerTimer(max(at, -(-int(t[first]) // self.step) * self.step))
         else:
             self.ring.clear()
-        yield pd.DataFrame(out, columns=self.columns(["key"]))
-
-    def columns(self, keys: list[str]) -> list[str]:
-        return [*keys, "at", *(f"{c}{k}" for k in range(len(self.horizons)) for c in ("n", "power"))]
+        some = n > 0
+        if some.any():
+            yield pd.DataFrame({c: v[some] for c, v in out.items()})
 
     def close(self) -> None:
         pass

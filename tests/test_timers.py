@@ -76,6 +76,24 @@ def test_snapshots(spark, tmp_path, rows):
     assert min(r.v["t"] for r in left.collect()) > now - step - horizons[-1]
 
 
+def test_snapshots_state_rows_and_order(spark, tmp_path):
+    """A batch leaves one state row a key, however many values it has; a row before the next timer, but not too late, has its snapshots."""
+    first = [(1, 100 * HOUR + k, 2.0, k, False) for k in range(50)]
+    second = [(1, 80 * HOUR, 3.0, 50, False), (1, 101 * HOUR, 2.0, 51, False)]
+    third = [(2, 200 * HOUR, 1.0, 52, False)]
+    folder, base = tmp_path / "ordered", f"file://{tmp_path}/ordered-base"
+    folder.mkdir()
+    make = lambda: timers.snapshots(stream(spark, folder), "user", [6 * HOUR, 24 * HOUR], 12 * HOUR, "24 hours")
+    for k, rows in enumerate((first, second)):
+        stored(folder, rows, f"part{k}")
+        stateful.drained(make(), "ordered", "append", base)
+    held = spark.read.format("statestore").option("path", f"{base}/state").option("stateVarName", "ring").load()
+    assert held.count() == 2
+    stored(folder, third, "part2")
+    got = sorted(map(tuple, stateful.drained(make(), "ordered", "append", base).select("user", "at", "n0", "n1", "power1").collect()))
+    assert got == [(1, 84 * HOUR, 1, 1, 9.0), (1, 96 * HOUR, 0, 1, 9.0), (1, 108 * HOUR, 0, 51, 4.0), (1, 120 * HOUR, 0, 51, 4.0)]
+
+
 def test_postponed(spark, tmp_path, rows):
     one, four, _ = runs(spark, tmp_path, rows, "postponed", lambda s: timers.postponed(s, "user", HOUR, 10, "1 hour"))
     now, want = max(r[1] for r in rows) - HOUR, []
