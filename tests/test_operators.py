@@ -1,5 +1,8 @@
 """Operators on small cases: boundaries, ties, determinism and signals whose answers are known."""
 
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -397,3 +400,53 @@ def test_synthetic_recordings_depend_on_their_numbers_only(spark):
     a = signal.synthetic_corpus(spark, 2, 2, 2.0, 1).orderBy("speaker", "recording").toPandas()
     b = signal.synthetic_corpus(spark, 3, 2, 2.0, 1).where("speaker < 2").orderBy("speaker", "recording").toPandas()
     assert all(np.array_equal(x, y) for x, y in zip(a["samples"], b["samples"], strict=True))
+
+
+def searched(texts, ask, least=2, best=8):
+    """Every vote of every pair by plain Python, and the best few alignments of each text that asks."""
+    want = set()
+    grams = {k: [tuple(w[i : i + 4]) for i in range(len(w) - 3)] for k, t in texts.items() for w in (t.split(),)}
+    for a in filter(ask, texts):
+        votes = Counter((b, pb - pa) for pa, x in enumerate(grams[a]) for b in texts if b != a for pb in range(0, len(grams[b]), 4) if grams[b][pb] == x)
+        rows = sorted((-n, b, shift) for (b, shift), n in votes.items() if n >= least)[:best]
+        want |= {(a, b, shift, -n, k + 1) for k, (n, b, shift) in enumerate(rows)}
+    return want
+
+
+@pytest.mark.parametrize("sizes", [{}, {"asked": (40, 3), "indexed": (30, 5), "laid": 7}])
+def test_search_by_cells(spark, sizes):
+    """Copies, one word over and over, few words, and no texts: the same whatever a task's share is."""
+    rng = random.Random(3)
+    texts = {k: " ".join(rng.choice("abc") for _ in range(rng.choice([2, 4, 9, 30]))) for k in range(40)}
+    texts |= {40: texts[3], 41: texts[3], 42: "a " * 40, 43: "a " * 25, 44: "a " * 40, 45: "", 46: "\u00a0"}
+    docs = table(spark, [*texts.items(), (47, None)], "doc_id long, text string")
+    got = fingerprints.search(docs, F.col("doc_id") % 3 == 0, **sizes)
+    assert {(r.a, r.b, r["shift"], r.votes, r["rank"]) for r in got.collect()} == searched(texts, lambda k: k % 3 == 0)
+    assert fingerprints.search(docs.where("doc_id > 44"), F.col("doc_id") % 3 == 0, **sizes).isEmpty()
+    assert fingerprints.search(docs, F.lit(False), **sizes).isEmpty()
+
+
+def most_rows(df):
+    """The most rows that any node of a plan has made."""
+    df.collect()
+    left, most = [df._jdf.queryExecution().executedPlan()], 0
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(node.plan())
+        else:
+            children, rows = node.children(), node.metrics().get("numOutputRows")
+            left += [children.apply(k) for k in range(children.size())]
+            most = max(most, rows.get().value() if rows.isDefined() else 0)
+    return most
+
+
+def test_search_frequent_grams(spark):
+    """Texts that share a line: their pairs are as many as the square of their number, and no step gives them all out."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.col("id"), F.lit(" x y z one two three four five six seven eight nine ten")).alias("text"))
+    found = fingerprints.search(docs, F.col("doc_id") % 2 == 0)
+    assert most_rows(found) < 400 * 200 // 2
+    assert {(r.b, r.rank) for r in found.where("a = 0").collect()} == {(k, k) for k in range(1, 9)}
