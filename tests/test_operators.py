@@ -450,3 +450,14 @@ def test_search_frequent_grams(spark):
     found = fingerprints.search(docs, F.col("doc_id") % 2 == 0)
     assert most_rows(found) < 400 * 200 // 2
     assert {(r.b, r.rank) for r in found.where("a = 0").collect()} == {(k, k) for k in range(1, 9)}
+
+
+def test_near_duplicates_hash_once(spark, monkeypatch):
+    """Runs of words are hashed where their text has come, not for a filter before it travels as well."""
+    plans, real = [], fingerprints.kept
+    monkeypatch.setattr(fingerprints, "kept", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j k"), (3, "x y"), (4, "")]
+    got = fingerprints.near_duplicates(table(spark, rows, "doc_id long, text string"))
+    assert {r.doc_id: r.accepted for r in got.collect()} == {1: True, 2: False, 3: True, 4: True}
+    assert any("xxhash64" in p for p in plans)
+    assert not [line for p in plans for line in p.split("\n") if "Filter" in line and "xxhash64" in line]
