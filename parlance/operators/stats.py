@@ -23,6 +23,16 @@ def steady_mean(value: str) -> Column:
     return F.when(F.count(exact) == F.count(value), F.try_sum(exact).cast("double") / F.count(value)).otherwise(F.avg(value))
 
 
+def mean_in_order(df: DataFrame, keys: list[str], value: str, order: list[str], name: str = "mean") -> DataFrame:
+    """keys and the mean of doubles that are added one after another in an order, as one reader of the table does: the same to the last bit, however rows are dealt.
+
+    Such a sum can't be cut, so a key's rows are gone through in one task, which spills those it can't hold.
+    """
+    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = df.select(*keys, F.struct(*order).alias("at__"), F.avg(value).over(by).alias("mean__"))
+    return run.groupBy(*keys).agg(F.max_by("mean__", "at__").alias(name))
+
+
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, tie: str) -> DataFrame:
     """The smallest value at which the running weight reaches half of all (the lower one)."""
     return selecting.values_at(df, keys, value, tie, {"weighted_median": lambda n: 0.5 * n}, weight).drop("all__")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.operators import planning, stats
+from parlance.operators.kept import kept
 from parlance.plans.registry import DAY, HOUR, SPANS, Tables, query, spans
 
 
@@ -34,8 +35,9 @@ r AS (SELECT DISTINCT event_type, 0::BIGINT AS k, []::BIGINT[] AS taken FROM m
 SELECT event_type, k::INTEGER - 1 AS pick, taken[k] AS number FROM r WHERE k > 0
 """)
 def pool_matched(t: Tables):
-    # Means that are equal must stay so: ties go to the smaller number.
-    return planning.matched_pool(t.events.groupBy("event_type", "user_id").agg(stats.steady_mean("value").alias("pitch")), ["event_type"], "user_id", "pitch", 6)
+    # Where two are equally near, the last bits of their means decide: events are added up in order, as in the SQL. Read several times: written once.
+    pitches = kept(stats.mean_in_order(t.events, ["event_type", "user_id"], "value", ["event_id"], "pitch"))
+    return planning.matched_pool(pitches, ["event_type"], "user_id", "pitch", 6)
 
 
 @query("""

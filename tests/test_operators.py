@@ -231,6 +231,20 @@ def test_equal_values_have_equal_means(spark):
     assert got[0] == got[1] and got[2] == 2e30
 
 
+def test_means_in_order_are_those_of_a_loop(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(g), k, float(x)) for k, (g, x) in enumerate(zip(rng.integers(0, 5, 600), rng.integers(1, 50_000, 600) / 100, strict=True))]
+    rows += [(5, 600, None), (5, 601, 0.1), (5, 602, None), (6, 603, None)]
+    want = {}
+    for g in range(7):
+        total, own = 0.0, [x for h, _, x in rows if h == g and x is not None]
+        for x in own:
+            total += x
+        want[g] = total / len(own) if own else None
+    df = table(spark, [rows[k] for k in rng.permutation(len(rows))], "g int, id long, x double").repartition(7)
+    assert {r.g: r["mean"] for r in stats.mean_in_order(df, ["g"], "x", ["id"]).collect()} == want
+
+
 def test_gram_counts_shuffle_no_text(spark):
     rows = [(1, "a b c d a b c d"), (2, "a b c d"), (2, "a b c d e"), (3, "a b c"), (4, None), (None, "x y z w"), (None, "x y z w v")]
     got = fingerprints.gram_counts(table(spark, rows, "doc_id long, text string"))

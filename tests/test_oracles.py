@@ -46,3 +46,11 @@ def test_query(spark, duck, name):
 
 def test_oracles_have_queries():
     assert set(plans.ORACLES) <= set(plans.QUERIES)
+
+
+def test_pool_matched_where_last_bits_decide(spark, tmp_path):
+    """Of 15 pitches, two targets lie midway between two of them."""
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"COPY (SELECT k AS event_id, (hash(k) % 15)::BIGINT AS user_id, 'kind ' || hash(k, 1) % 20 AS event_type, (hash(k, 2) % 50000 + 1) / 100 AS value FROM range(4000) x(k)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert rows(plans.QUERIES["pool_matched"](spark, str(tmp_path)).toPandas()) == rows(con.sql(plans.ORACLES["pool_matched"]).df())
