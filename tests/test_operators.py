@@ -440,6 +440,14 @@ def test_search_by_cells(spark, sizes):
     assert fingerprints.search(docs, F.lit(False), **sizes).isEmpty()
 
 
+def test_search_ties_with_a_copy(spark):
+    """A text's own class has nine alignments as good as those with a text between it and its copy."""
+    texts = {0: "w " * 40, 1: "w " * 37, 2: "w " * 36, 3: "w " * 35, 4: "w  " * 40, 5: "x y z " * 20, 6: "x y z " * 19, 7: "x y z  " * 20}
+    for ask in (lambda k: k == 0, lambda k: k < 8):
+        got = fingerprints.search(table(spark, [*texts.items()], "doc_id long, text string"), F.col("doc_id").isin([k for k in texts if ask(k)]))
+        assert {(r.a, r.b, r["shift"], r.votes, r["rank"]) for r in got.collect()} == searched(texts, ask)
+
+
 def most_rows(df):
     """The most rows that any node of a plan has made."""
     df.collect()
